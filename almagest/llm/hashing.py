@@ -62,6 +62,18 @@ class ByteHash:
         return mix(raw)
 
 
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int, chunk: int = 1 << 17) -> np.ndarray:
+    """Hash of ``buf[start[k]:end[k]]`` for every k, starts ascending; a chunk of the buffer at a time, for bounded memory."""
+    out = np.empty(len(start), dtype=U)
+    a = 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(start, start[a] + chunk)))
+        base, top = int(start[a]), int(end[a:z].max())
+        out[a:z] = ByteHash(buf[base:top], lane).of(start[a:z] - base, end[a:z] - base)
+        a = z
+    return out
+
+
 def joined(texts: list[bytes], separator: bytes = b"\n") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One buffer of all texts, each followed by the separator; where each text starts and ends in it."""
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
@@ -88,7 +100,7 @@ class Words:
         self.count = np.searchsorted(self.start, self.text_end) - self.first
 
     def hashes(self, lane: int) -> np.ndarray:
-        return ByteHash(self.buf, lane).of(self.start, self.end) if len(self.start) else np.zeros(0, dtype=U)
+        return range_hashes(self.buf, self.start, self.end, lane)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first)), self.count)

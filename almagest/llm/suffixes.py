@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, answers_in_order, distinct, gathered, pack, pack_many, packed, texts_of, unpack, unpack_many
-from almagest.llm.hashing import ByteHash, joined, mix
+from almagest.llm.hashing import joined, mix, range_hashes
 
 SPREAD = 128
 KEY, OWN = 0, 1
@@ -93,24 +93,31 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     return order[1:]
 
 
-class Anchors:
-    """The window starts of a block by anchor: windows ``low[k]..high[k]`` have the anchor ``at[k]``, ascending."""
-
-    def __init__(self, texts: list[bytes], length: int) -> None:
-        self.buf, self.start, self.end = joined(texts)
-        n = len(self.buf)
-        padded = np.concatenate((self.buf, np.zeros(8, dtype=np.uint8)))
+def least_positions(buf: np.ndarray, spread: int, chunk: int = 1 << 17) -> np.ndarray:
+    """For each i: the first position in i..i+spread-1 with the least fingerprint of its next 8 bytes."""
+    out = np.empty(max(0, len(buf) - spread + 1), dtype=np.int64)
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    for a in range(0, len(out), chunk):
+        n = min(chunk, len(out) - a) + spread - 1
         gram = np.zeros(n, dtype=np.uint64)
         for j in range(8):
-            gram |= padded[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+            gram |= padded[a + j : a + j + n].astype(np.uint64) << np.uint64(8 * j)
         least = mix(gram) & np.uint64(0xFFFFFFFF00000000) | np.arange(n, dtype=np.uint64)
-        del gram
-        step, spread = 1, min(SPREAD, length)
+        step = 1
         while step < spread:
             more = min(step, spread - step)
-            least = np.minimum(least[:-more], least[more:]) if len(least) > more else least[:0]
+            least = np.minimum(least[:-more], least[more:])
             step += more
-        least = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        out[a : a + len(least)] = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
+    return out
+
+
+class Anchors:
+    """The window starts of a block by anchor: windows ``low[k]..high[k]`` have the anchor ``at[k]``, ascending."""
+
+    def __init__(self, texts: list[bytes], length: int) -> None:
+        self.buf, self.start, self.end = joined(texts)
+        least = least_positions(self.buf, min(SPREAD, length))
         inside = np.zeros(len(least) + 1, dtype=np.int32)
         fits = self.end - self.start >= length
         np.add.at(inside, self.start[fits], 1)
@@ -171,12 +178,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
 
     def first(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
         x = Anchors(texts_of(pdf), length)
-        sums = ByteHash(x.buf, 0)
-        core = sums.of(x.at, x.at + core_length)
-        context = mix(sums.of(x.low, x.high + length) + (x.at - x.low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        core = range_hashes(x.buf, x.at, x.at + core_length, 0)
+        context = mix(range_hashes(x.buf, x.low, x.high + length, 0) + (x.at - x.low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         doc = np.searchsorted(x.start, x.at, side="right") - 1
         upto = np.minimum(np.append(x.at[1:], len(x.buf)), x.end[doc])
-        order = np.array(suffix_array(sums.of(x.at, upto).view(np.int64)), dtype=np.int64)
+        order = np.array(suffix_array(range_hashes(x.buf, x.at, upto, 0).view(np.int64)), dtype=np.int64)
         ordered, around = core[order], context[order]
         head = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)))
         size = np.diff(np.append(head, len(ordered)))
@@ -201,11 +207,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         of = code[number]
         buf, _, _ = joined(texts_of(pdf))
         mixed = spread_out(low[of == MIXED], (low + width)[of == MIXED])
-        if len(mixed):
-            hi = ByteHash(buf, 0).of(mixed, mixed + length)
-            lo = ByteHash(buf, 1).of(mixed, mixed + length)
-        else:
-            hi = lo = np.zeros(0, dtype=np.uint64)
+        hi, lo = (range_hashes(buf, mixed, mixed + length, lane) for lane in (0, 1))
         one, number = distinct(hi, lo)
         deal = Deal(n_slices, hi[one])
         dealt = np.empty(len(one), dtype=np.int64)
