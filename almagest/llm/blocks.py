@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,14 +75,14 @@ def unpack_many(data: bytes) -> list[np.ndarray]:
 class Blocks:
     """``docs`` as blocks.
 
-    ``frame`` has the columns block, ord (the id, null ids last), id, text.  Blocks are ranges of ids with about the
+    ``frame`` has the columns block, ord (the id, null ids last), id, text, and what is carried, as strings.  Blocks are ranges of ids with about the
     same number of rows, so a smaller id is in the same block or an earlier one.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, least: int = 24) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, least: int = 24, carry: Sequence[str] = ()) -> None:
         spark = docs.sparkSession
         id_type = docs.schema[id_col].dataType
-        rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("ord"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("ord"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").cast("string").alias(f"carry{i}") for i, c in enumerate(carry)])
         n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.id_type, self.rows, self.bytes = id_type, n, total
         wanted = int(max(1, min(n, max(least, -(-total // block_bytes)))))

@@ -16,6 +16,8 @@ in order of their text; null ids come last; an empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,9 +99,10 @@ def meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return packed(out)
 
 
-def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """One row per document: its id, n_lines, n_removed and ``kept_text``, the lines that stay."""
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
+def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: its id, n_lines, n_removed, ``kept_text`` (the lines that stay) and the columns to carry."""
+    blocks = Blocks(docs, id_col, text_col, block_bytes, carry=carry)
+    result = T.StructType([*RESULT.fields, *[T.StructField(f"carry{i}", T.StringType()) for i in range(len(carry))]])
     sketch = Sketch(max(1, blocks.bytes // 6), blocks.count)
     n_slices = max(1, blocks.count)
 
@@ -153,9 +156,9 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int
         text = [None if t is None else left[upto[a] : max(upto[a], upto[z + 1] - 1)].decode("utf-8", "replace") for t, a, z in zip(pdf["text"], lines.words.text_start, lines.words.text_end, strict=True)]
         sums = np.concatenate(([0], np.cumsum(gone)))
         real = pdf["text"].notna().to_numpy()
-        return pd.DataFrame({"id": pdf["ord"], "n_lines": lines.text_count * real, "n_removed": (sums[lines.text_first + lines.text_count] - sums[lines.text_first]) * real, "text": text})
+        return pd.DataFrame({"id": pdf["ord"], "n_lines": lines.text_count * real, "n_removed": (sums[lines.text_first + lines.text_count] - sums[lines.text_first]) * real, "text": text} | {c: pdf[c] for c in pdf.columns if c.startswith("carry")})
 
     answers = sketch.exchange(blocks, sketched)
     answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(lambda pdf: meet(pdf), PACKED)
-    out = blocks.answered(answers, third, RESULT)
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"))
+    out = blocks.answered(answers, third, result)
+    return out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"), *[F.col(f"carry{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(carry)])
