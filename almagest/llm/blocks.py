@@ -134,6 +134,11 @@ def packed(rows: Iterable[tuple[int, int, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["block", "slice", "kind", "data"]).astype({"block": "int32", "slice": "int32", "kind": "int32"})
 
 
+def slices_for(n_keys: int, n_blocks: int) -> int:
+    """How many owners share the keys: about a million keys each, so that rows stay large and an owner's memory small."""
+    return max(1, min(n_blocks, 32), n_keys >> 20)
+
+
 class Sketch:
     """A count-min sketch in parts: each block's part lists its nonzero counters, the owners add the parts up.
 
@@ -145,7 +150,7 @@ class Sketch:
     def __init__(self, n_keys: int, n_blocks: int, depth: int = 2, load: float = 0.5) -> None:
         self.depth = depth
         self.bits = max(10, int(np.ceil(np.log2(max(1.0, n_keys / load)))))
-        self.slice_bits = min(self.bits, max(0, int(np.ceil(np.log2(max(1, n_blocks, n_keys >> 23))))))
+        self.slice_bits = min(self.bits, int(np.ceil(np.log2(slices_for(n_keys, n_blocks)))))
 
     def _buckets(self, keys: np.ndarray, row: int) -> np.ndarray:
         turn = keys if row == 0 else (keys * np.uint64(0x9E3779B97F4A7C15)) ^ (keys >> np.uint64(29))
@@ -186,7 +191,7 @@ class Sketch:
             if not len(keys):
                 break
             buckets = self._buckets(keys, row)
-            order = np.argsort(buckets, kind="stable")
+            order = np.argsort(buckets)
             ordered = buckets[order]
             fresh = np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0
             counts = [unpack(got[row, row << self.slice_bits | s]) for s in range(1 << self.slice_bits) if (row, row << self.slice_bits | s) in got]
@@ -204,7 +209,7 @@ class Deal:
     """How a block's keys go to ``n_slices`` owners: ``order`` lists them slice by slice, each slice in the order given."""
 
     def __init__(self, n_slices: int, hi: np.ndarray) -> None:
-        slices = (hi % np.uint64(n_slices)).astype(np.int64)
+        slices = (hi % np.uint64(n_slices)).astype(np.uint16 if n_slices < 1 << 16 else np.int64)  # 16 bits sort in linear time
         self.n = n_slices
         self.order = np.argsort(slices, kind="stable")
         self.cuts = np.searchsorted(slices[self.order], np.arange(n_slices + 1))
@@ -249,13 +254,13 @@ def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first of each distinct (hi, lo), and for every element the number of its distinct pair."""
     if not len(hi):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    order = np.argsort(hi, kind="stable")
+    order = np.argsort(hi)
     h, low = hi[order], lo[order]
     if np.any((h[1:] == h[:-1]) & (low[1:] != low[:-1])):
-        order = np.lexsort((np.arange(len(hi)), lo, hi))
+        order = np.lexsort((lo, hi))
         h, low = hi[order], lo[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
     number = np.empty(len(h), dtype=np.int64)
     number[order] = np.cumsum(fresh) - 1
-    return order[fresh], number
+    return np.minimum.reduceat(order, np.flatnonzero(fresh)), number

@@ -98,9 +98,12 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.text_start)
         self.count = np.searchsorted(self.start, self.text_end) - self.first
+        self._hashes: dict[int, np.ndarray] = {}
 
     def hashes(self, lane: int) -> np.ndarray:
-        return range_hashes(self.buf, self.start, self.end, lane)
+        if lane not in self._hashes:
+            self._hashes[lane] = range_hashes(self.buf, self.start, self.end, lane)
+        return self._hashes[lane]
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first)), self.count)

@@ -39,20 +39,25 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     at = np.flatnonzero(whole_windows(words.first, words.count, size, len(value)))
     token, text = windows(value, size, 0)[at] if len(at) else value[:0], words.text_of_word()[at]
     few = np.flatnonzero((words.count > 0) & (words.count < size))
-    if len(few):
+    if len(few):  # these are one shingle each, so none repeats inside its text
         whole = np.zeros(len(few), dtype=np.uint64)
         for j in range(size - 1):
             has = words.count[few] > j
             whole[has] += COEFFICIENTS[0, j] * value[words.first[few][has] + j]
         token = np.concatenate((token, mix(whole + words.count[few].astype(np.uint64) * COEFFICIENTS[0, 4010])))
         text = np.concatenate((text, few))
-    order = np.argsort(token, kind="stable")
-    t, d = token[order], text[order]
-    again = np.zeros(len(order), dtype=bool)
-    again[1:] = (t[1:] == t[:-1]) & (d[1:] == d[:-1])
+    order = np.argsort(token)
+    t = token[order]
+    same = np.zeros(len(order) + 1, dtype=bool)
+    same[1:-1] = t[1:] == t[:-1]
+    some = order[same[1:] | same[:-1]]  # tokens that occur more than once in the block
+    some = some[np.lexsort((text[some], token[some]))]
+    t, d = token[some], text[some]
     keep = np.ones(len(order), dtype=bool)
-    keep[order[again]] = False
+    keep[some[1:][(t[1:] == t[:-1]) & (d[1:] == d[:-1])]] = False
     token, text = token[keep], text[keep]
+    if not len(few):
+        return token, text
     back = np.argsort(text, kind="stable")
     return token[back], text[back]
 

@@ -1,10 +1,13 @@
 """Line dedup: a line goes if an earlier line of the corpus is within one word edit of it.
 
-Method: a deletion-neighbourhood join.  Every line emits its own key and, within the edit bound, the key of each variant with
-one word left out.  Lines that share a key meet; equal variants verify the distance: a whole line that equals another's variant is
-one deletion away, and two variants that are equal with the same word position left out of equally long lines are one
-substitution away (position and length are part of that key; keys have 128 bits).  Other meetings are farther apart and
-do not count.  The earliest line stays.  A count-min sketch first drops the keys that occur once.
+Method: a deletion-neighbourhood join.  A line emits its own key and, within the edit bound, the key of each variant with one word
+left out.  Lines that share a key meet; equal variants verify the distance: a whole line that equals another's variant is one deletion away,
+and two variants that are equal with the same word position left out of equally long lines are one substitution away
+(position and length are part of that key; keys have 128 bits).  Other meetings are farther apart and do not count.  The earliest line stays.
+
+Before that, exact copies are settled by the whole line's key; a copy emits no variants, since its first copy does.  Of the rest only lines emit
+variants whose first or last half (all words but one, halved) is also that of a different line: one edit leaves one of the halves
+as it is, so no pair is lost.
 
 A line is what ``\\n`` separates; its words are ``[^\\x20\\x09-\\x0D]+``; order is document id, then line number.  Lines of fewer than
 ``exact_words`` words (headings, signs, blanks) always stay; lines of fewer than ``near_words`` go only as exact copies.  Lines are judged
@@ -24,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, Sketch, answers_in_order, distinct, gathered, pack, pack_many, packed, texts_of, unpack, unpack_many
+from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, unpack, unpack_many
 from almagest.llm.hashing import COEFFICIENTS, Words, mix
 
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
 KEY, OWN = 0, 1
-WHOLE, VARIANT, PLACED = 0, 1, 2
+WHOLE, VARIANT, PLACED, HALF = 0, 1, 2, 3
 _U = np.uint64
 
 
@@ -46,41 +49,65 @@ class Lines:
 
 
 class Keys:
-    """Keys of the lines ``which``: ``whole`` for each of them, ``variant`` for each word of those with ``near_words`` or more.
-
-    A variant of a line of just ``near_words`` words meets variants only, as whole lines of its length go only as exact copies.
-    """
+    """Fingerprints of lines and of their parts, from prefix sums over the words' fingerprints."""
 
-    def __init__(self, lines: Lines, which: np.ndarray, near_words: int, lane: int) -> None:
+    def __init__(self, lines: Lines, lane: int) -> None:
+        self.lines, self.lane = lines, lane
         value = lines.words.hashes(lane)
         ratio = int(COEFFICIENTS[lane, 4000]) | 3
-        top = int(lines.count.max()) + 1 if len(lines.count) else 1
-        scale = np.full(top, ratio, dtype=_U)
-        scale[0] = 1
-        scale = np.cumprod(scale, dtype=_U)
-        back = _U(pow(ratio, -1, 2**64))
-        length = COEFFICIENTS[lane, 4001]
+        top = int(lines.count.max()) + 2 if len(lines.count) else 2
+        scale, self.unscale = np.full(top, ratio, dtype=_U), np.full(top, pow(ratio, -1, 2**64), dtype=_U)
+        scale[0] = self.unscale[0] = 1
+        scale, self.unscale = np.cumprod(scale, dtype=_U), np.cumprod(self.unscale, dtype=_U)
         place = np.arange(len(value)) - np.repeat(lines.first, lines.count)
-        sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(value * scale[place], dtype=_U)))
-        n = lines.count[which]
-        self.whole = mix(sums[lines.first[which] + n] - sums[lines.first[which]] + n.astype(_U) * length)
-        near = which[n >= near_words]
-        self.line = np.repeat(near, lines.count[near])
-        word = np.arange(len(self.line)) - np.repeat(np.cumsum(lines.count[near]) - lines.count[near] - lines.first[near], lines.count[near])
-        n = lines.count[self.line]
-        start = lines.first[self.line]
-        self.variant = mix((sums[word] - sums[start]) + (sums[start + n] - sums[word + 1]) * back + (n - 1).astype(_U) * length)
-        self.placed = mix(self.variant ^ mix((word - start).astype(_U) * COEFFICIENTS[lane, 4002] + n.astype(_U) * COEFFICIENTS[lane, 4003]))
-
-
-def _once(lines: Lines, exact_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lines that count, each text of a line once: the first in this block; and the later copies."""
-    counted = np.flatnonzero(lines.count >= exact_words)
-    hi, lo = (Keys(lines, counted, 1 << 60, lane).whole for lane in (0, 1))
-    first, _ = distinct(hi, lo)
-    again = np.ones(len(counted), dtype=bool)
-    again[first] = False
-    return counted[~again], counted[again]
+        self.sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(value * scale[place], dtype=_U)))
+
+    def _salt(self, n: np.ndarray, k: int) -> np.ndarray:
+        return n.astype(_U) * COEFFICIENTS[self.lane, k]
+
+    def whole(self, which: np.ndarray) -> np.ndarray:
+        first, n = self.lines.first[which], self.lines.count[which]
+        return mix(self.sums[first + n] - self.sums[first] + self._salt(n, 4001))
+
+    def halves(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines and keys of their first and last ``h`` words, for h as it is for lines of this length and of one word less."""
+        first, n = self.lines.first[which], self.lines.count[which]
+        line, key = [], []
+        for h in ((n - 1) // 2, (n - 2) // 2):
+            line += [which, which]
+            key.append(mix(self.sums[first + h] - self.sums[first] + self._salt(h, 4004)))
+            key.append(mix((self.sums[first + n] - self.sums[first + n - h]) * self.unscale[n - h] + self._salt(h, 4005)))
+        return np.concatenate(line), np.concatenate(key)
+
+    def variants(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line, key of the line without one word, and that key with the word's position and the line's length, for every word."""
+        n = self.lines.count[which]
+        line = np.repeat(which, n)
+        word = np.arange(len(line)) - np.repeat(np.cumsum(n) - n - self.lines.first[which], n)
+        n, start = self.lines.count[line], self.lines.first[line]
+        rest = mix((self.sums[word] - self.sums[start]) + (self.sums[start + n] - self.sums[word + 1]) * self.unscale[1] + self._salt(n - 1, 4001))
+        return line, rest, mix(rest ^ mix(self._salt(word - start, 4002) + self._salt(n, 4003)))
+
+
+def copies_and_halves(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Owner: has a line an exact copy in an earlier block (WHOLE); do different lines share a half (HALF)?"""
+    own = pdf[pdf["kind"] == OWN]
+    out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
+    if len(own) < len(pdf):
+        rows, (hi, lo, tag), block, cuts = gathered(pdf, KEY)
+        answer = np.zeros(len(hi), dtype=bool)
+        whole, half = np.flatnonzero(tag == WHOLE), np.flatnonzero(tag == HALF)
+        first, number = distinct(hi[whole], lo[whole])
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, block[whole])
+        answer[whole] = block[whole] > least[number]
+        if len(half):
+            order = half[np.argsort(hi[half])]
+            head = np.flatnonzero(np.diff(hi[order], prepend=hi[order[:1]] + _U(1)))
+            several = np.minimum.reduceat(lo[order], head) != np.maximum.reduceat(lo[order], head)
+            answer[order] = np.repeat(several, np.diff(np.append(head, len(order))))
+        out += [(b, s, KEY, pack(answer[a:z])) for b, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
+    return packed(out)
 
 
 def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,51 +130,72 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int
     """One row per document: its id, n_lines, n_removed, ``kept_text`` (the lines that stay) and the columns to carry."""
     blocks = Blocks(docs, id_col, text_col, block_bytes, carry=carry)
     result = T.StructType([*RESULT.fields, *[T.StructField(f"carry{i}", T.StringType()) for i in range(len(carry))]])
-    sketch = Sketch(max(1, blocks.bytes // 6), blocks.count)
-    n_slices = max(1, blocks.count)
+    n_slices = slices_for(blocks.bytes // 64, blocks.count)
 
-    def sketched(pdf: pd.DataFrame) -> np.ndarray:
+    def first(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
         lines = Lines(texts_of(pdf))
-        keys = Keys(lines, _once(lines, exact_words)[0], near_words, 0)
-        return np.concatenate((keys.whole, keys.variant))
+        lanes = [Keys(lines, lane) for lane in (0, 1)]
+        counted = np.flatnonzero(lines.count >= exact_words)
+        hi, lo = (k.whole(counted) for k in lanes)
+        one, _ = distinct(hi, lo)
+        one = np.sort(one)
+        copy = np.ones(len(counted), dtype=bool)
+        copy[one] = False
+        which, hi, lo = counted[one], hi[one], lo[one]
+        near = np.flatnonzero(lines.count[which] >= near_words)
+        half_line, half = lanes[0].halves(which[near])
+        hi, lo = np.concatenate((hi, half)), np.concatenate((lo, np.tile(hi[near], 4)))
+        tag = np.repeat([WHOLE, HALF], [len(which), len(half)])
+        line = np.concatenate((which, half_line))
+        deal = Deal(n_slices, hi)
+        state = pack_many(np.diff(counted[copy], prepend=0), line[deal.order], tag[deal.order])
+        return packed([*deal.rows(block, [hi, lo, tag], KEY), (block, block % n_slices, OWN, state)])
+
+    def answers_of(got: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+        (state,) = answers_in_order(got, OWN)
+        answers = [unpack(d) for d in answers_in_order(got, KEY)]
+        return np.concatenate(answers).astype(bool) if answers else np.zeros(0, dtype=bool), [a.astype(np.int64) for a in unpack_many(state)]
 
     def second(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
-        lines = Lines(texts_of(pdf))
-        which, copies = _once(lines, exact_words)
-        lanes = [Keys(lines, which, near_words, lane) for lane in (0, 1)]
-        again = sketch.estimates(np.concatenate((lanes[0].whole, lanes[0].variant)), got) >= 2
-        whole, variant = again[: len(which)], again[len(which) :]
-        longer = variant & (lines.count[lanes[0].line] > near_words)
-        hi, lo = (np.concatenate((k.whole[whole], k.variant[longer], k.placed[variant])) for k in lanes)
-        line = np.concatenate((which[whole], lanes[0].line[longer], lanes[0].line[variant]))
-        tag = np.repeat([WHOLE, VARIANT, PLACED], [whole.sum(), longer.sum(), variant.sum()])
-
-        first, number = distinct(hi, lo)
-        least = np.full((3, len(first)), np.iinfo(np.int64).max)
+        yes, (copies, line, tag) = answers_of(got)
+        gone = np.concatenate((np.cumsum(copies), line[yes & (tag == WHOLE)]))
+        which = np.setdiff1d(line[yes & (tag == HALF)], gone)
+        if len(which):
+            lines = Lines(texts_of(pdf))
+            lanes = [Keys(lines, lane) for lane in (0, 1)]
+            variants = [k.variants(which) for k in lanes]
+            of = variants[0][0]
+            longer = lines.count[of] > near_words
+            hi, lo = (np.concatenate((k.whole(which), v[1][longer], v[2])) for k, v in zip(lanes, variants, strict=True))
+            line, tag = np.concatenate((which, of[longer], of)), np.repeat([WHOLE, VARIANT, PLACED], [len(which), longer.sum(), len(of)])
+        else:
+            hi = lo = np.zeros(0, dtype=_U)
+            line = tag = which
+
+        one, number = distinct(hi, lo)
+        least = np.full((3, len(one)), np.iinfo(np.int64).max)
         for t in (WHOLE, VARIANT, PLACED):
             np.minimum.at(least[t], number[tag == t], line[tag == t])
         w, v, p = least[:, number]
         goes = np.where(tag == WHOLE, v, np.where(tag == VARIANT, w, p)) < line
+        gone = np.unique(np.concatenate((gone, line[goes])))
 
-        # An entry that goes already need not be asked about, but it may make others go: one entry for each key and tag.
-        keep = np.unique(number * 3 + tag, return_index=True)[1]
-        extra = np.flatnonzero(~np.isin(np.arange(len(tag)), keep))
+        # One entry for each key and tag asks for all lines that have it.
+        entry = number * 3 + tag
+        keep = np.unique(entry, return_index=True)[1]
+        extra = np.ones(len(entry), dtype=bool)
+        extra[keep] = False
         deal = Deal(n_slices, hi[keep])
-        entry = np.full(3 * len(first), -1)
-        dealt = np.empty(len(keep), dtype=np.int64)
-        dealt[deal.order] = np.arange(len(keep))
-        entry[(number * 3 + tag)[keep]] = dealt
-        state = pack_many(np.unique(np.concatenate((copies, line[goes]))), line[keep][deal.order], entry[(number * 3 + tag)[extra]], line[extra])
+        place = np.full(3 * len(one), -1)
+        place[entry[keep][deal.order]] = np.arange(len(keep))
+        state = pack_many(np.diff(gone, prepend=0), line[keep][deal.order], place[entry[extra]], line[extra])
         return packed([*deal.rows(block, [hi[keep], lo[keep], tag[keep]], KEY), (block, block % n_slices, OWN, state)])
 
     def third(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         lines = Lines(texts_of(pdf))
-        (state,) = answers_in_order(got, OWN)
-        local, line, entry, extra = (a.astype(np.int64) for a in unpack_many(state))
-        answers = [unpack(d) for d in answers_in_order(got, KEY)]
-        goes = np.concatenate(answers).astype(bool) if answers else np.zeros(0, dtype=bool)
+        goes, (local, line, entry, extra) = answers_of(got)
         gone = np.zeros(len(lines.breaks), dtype=bool)
-        gone[local] = True
+        gone[np.cumsum(local)] = True
         gone[line[goes]] = True
         gone[extra[goes[entry]]] = True
         buf = lines.words.buf
@@ -158,7 +206,7 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int
         real = pdf["text"].notna().to_numpy()
         return pd.DataFrame({"id": pdf["ord"], "n_lines": lines.text_count * real, "n_removed": (sums[lines.text_first + lines.text_count] - sums[lines.text_first]) * real, "text": text} | {c: pdf[c] for c in pdf.columns if c.startswith("carry")})
 
-    answers = sketch.exchange(blocks, sketched)
+    answers = blocks.each(first, PACKED).groupBy("slice").applyInPandas(lambda pdf: copies_and_halves(pdf), PACKED)
     answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(lambda pdf: meet(pdf), PACKED)
     out = blocks.answered(answers, third, result)
     return out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"), *[F.col(f"carry{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(carry)])

@@ -15,6 +15,7 @@ Defined cases: a null text has null ids; an empty text has none; an empty table
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,11 +38,13 @@ class Pieces:
         self.ids = {p: (i, s) for i, (p, s) in enumerate(zip(pieces, scores, strict=True)) if i not in special and i not in bytes_ and p}
         self.longest = max(map(len, self.ids), default=1)
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.steps: dict[str, tuple[int, float] | None] = {p: self.ids.get(p) for p in self.starts}
         self.fallback = min((s for _, s in self.ids.values()), default=0.0) - 10.0
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.raw = [b"" if i in special else bytes([int(_BYTE.fullmatch(p)[1], 16)]) if i in bytes_ else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.remember = remember
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of the best segmentation of ``text``, committed as soon as they are certain."""
@@ -72,6 +75,36 @@ class Pieces:
         if text:
             yield from self._path(back, done, len(text))
 
+    def whole(self, text: str) -> list[int]:
+        """The same for a text no longer than the window, all of whose paths are kept."""
+        n, steps, longest = len(text), self.steps, self.longest
+        score = [0.0] + [-np.inf] * n
+        back = [0] * (n + 1)
+        ids: list = [None] * (n + 1)
+        for i in range(n):
+            here = score[i]
+            for k in range(i + 1, min(i + longest, n) + 1):
+                part = text[i:k]
+                if part not in steps:
+                    break
+                found = steps[part]
+                if found is not None and here + found[1] > score[k]:
+                    score[k], back[k], ids[k] = here + found[1], i, found[0]
+            char = text[i]
+            if char not in self.ids:
+                raw = char.encode("utf-8", "surrogatepass")
+                if here + self.fallback * len(raw) > score[i + 1]:
+                    score[i + 1], back[i + 1], ids[i + 1] = here + self.fallback * len(raw), i, [self.of_byte[b] for b in reversed(raw)]
+        out: list[int] = []
+        while n:
+            if isinstance(ids[n], int):
+                out.append(ids[n])
+            else:
+                out.extend(ids[n])
+            n = back[n]
+        out.reverse()
+        return out
+
     @staticmethod
     def _meeting(back: dict, live: Iterable[int], done: int) -> int:
         """The last boundary that the paths of all live positions pass through."""
@@ -100,10 +133,13 @@ class Pieces:
         for word in _WORDS.findall(marked):
             got = known.get(word)
             if got is None:
-                got = np.fromiter(self.stream(word), dtype="<i4").tobytes()
-                if len(known) >= self.remember:
-                    known.clear()
-                if len(word) < 64:
+                if len(word) > 2 * self.longest:
+                    got = np.fromiter(self.stream(word), dtype="<i4").tobytes()
+                else:
+                    got = self._older.get(word) or array("i", self.whole(word)).tobytes()
+                    if len(known) >= self.remember:  # the older half goes
+                        self._older, self._known = known, {}
+                        known = self._known
                     known[word] = got
             out.append(got)
         return np.frombuffer(b"".join(out), dtype="<i4")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, Sketch, answers_in_order, distinct, gathered, pack, pack_many, packed, texts_of, ungap, unpack, unpack_many
+from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, Sketch, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, ungap, unpack, unpack_many
 from almagest.llm.hashing import Words, whole_windows, windows
 
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -68,7 +68,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     """
     blocks = Blocks(docs, id_col, text_col, block_bytes)
     sketch = Sketch(max(1, blocks.bytes // 6), blocks.count)
-    n_slices = max(1, blocks.count)
+    n_slices = slices_for(blocks.bytes // 6, blocks.count)
 
     def second(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         words = Words(texts_of(pdf))

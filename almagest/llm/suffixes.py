@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, answers_in_order, distinct, gathered, pack, pack_many, packed, texts_of, unpack, unpack_many
+from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, unpack, unpack_many
 from almagest.llm.hashing import joined, mix, range_hashes
 
 SPREAD = 128
@@ -142,7 +142,7 @@ def core_owner(pdf: pd.DataFrame) -> pd.DataFrame:
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
         rows, (core, context, flags), _, cuts = gathered(pdf, KEY)
-        order = np.argsort(core, kind="stable")
+        order = np.argsort(core)
         c = core[order]
         head = np.flatnonzero(np.diff(c, prepend=c[:1] + np.uint64(1)))
         count = np.add.reduceat(1 + (flags[order] & 1).astype(np.int64), head)
@@ -173,7 +173,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     are judged on the input.  ``kept`` is binary, since a cut may fall inside a character.
     """
     blocks = Blocks(docs, id_col, text_col, block_bytes)
-    n_slices = max(1, blocks.count)
+    n_slices = slices_for(blocks.bytes // 16, blocks.count)
     core_length = length - min(SPREAD, length) + 1
 
     def first(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
