@@ -31,7 +31,7 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 class Pieces:
     """A vocabulary: text pieces with scores, byte pieces, and the search."""
 
-    def __init__(self, pieces: list[str], scores: list[float], special: Iterable[int] = (0, 1, 2), remember: int = 200_000) -> None:
+    def __init__(self, pieces: list[str], scores: list[float], special: Iterable[int] = (0, 1, 2), remember: int = 300_000) -> None:
         special = set(special)
         self.of_byte = {int(m[1], 16): i for i, p in enumerate(pieces) if i not in special and (m := _BYTE.fullmatch(p))}
         bytes_ = set(self.of_byte.values())
@@ -48,80 +48,83 @@ class Pieces:
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of the best segmentation of ``text``, committed as soon as they are certain."""
-        ids, starts, longest, fallback = self.ids, self.starts, self.longest, self.fallback
-        score: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, tuple[int, ...]]] = {}
-        done = 0
-        for i, char in enumerate(text):
-            here = score[i]
-            for k in range(i + 1, min(i + longest, len(text)) + 1):
-                part = text[i:k]
-                if part not in starts:
-                    break
-                if (found := ids.get(part)) and here + found[1] > score.get(k, -np.inf):
-                    score[k], back[k] = here + found[1], (i, (found[0],))
-            if char not in ids:
-                raw = char.encode("utf-8", "surrogatepass")
-                if here + fallback * len(raw) > score.get(i + 1, -np.inf):
-                    score[i + 1], back[i + 1] = here + fallback * len(raw), (i, tuple(self.of_byte[b] for b in raw))
-            del score[i]
-            if i - done >= 2 * longest and len(score) >= 1:
-                at = self._meeting(back, score, done)
-                if at > done:
-                    yield from self._path(back, done, at)
-                    for k in [k for k in back if k <= at]:
-                        del back[k]
-                    done = at
-        if text:
-            yield from self._path(back, done, len(text))
+        score, length, ids = [0.0], [0], [None]  # of the window's positions: best score, and its last piece's length and ids
+        base, look = 0, 4 * self.longest
+        for i in range(len(text)):
+            at = i - base
+            self._extend(text, i, at, score, length, ids)
+            if at >= look:
+                done = self._meeting(length, [k for k in range(at + 1, len(score)) if score[k] > -np.inf])
+                yield from self._path(length, ids, done)
+                del score[:done], length[:done], ids[:done]
+                length[0] = 0
+                base += done
+                look = i - base + 4 * self.longest
+        yield from self._path(length, ids, len(text) - base)
 
     def whole(self, text: str) -> list[int]:
-        """The same for a text no longer than the window, all of whose paths are kept."""
-        n, steps, longest = len(text), self.steps, self.longest
-        score = [0.0] + [-np.inf] * n
-        back = [0] * (n + 1)
-        ids: list = [None] * (n + 1)
+        """The same for a short text, all of whose paths are kept; written out, as most of the time goes here."""
+        n, step, longest = len(text), self.steps.get, self.longest
+        score, length, ids = [-np.inf] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        score[0] = 0.0
         for i in range(n):
             here = score[i]
-            for k in range(i + 1, min(i + longest, n) + 1):
-                part = text[i:k]
-                if part not in steps:
+            for k in range(i + 1, n + 1 if n - i <= longest else i + longest + 1):
+                found = step(text[i:k], False)
+                if found:
+                    total = here + found[1]
+                    if total > score[k]:
+                        score[k], length[k], ids[k] = total, k - i, found[0]
+                elif found is False:  # no piece goes on like this; None: one does, but ends later
                     break
-                found = steps[part]
-                if found is not None and here + found[1] > score[k]:
-                    score[k], back[k], ids[k] = here + found[1], i, found[0]
-            char = text[i]
-            if char not in self.ids:
-                raw = char.encode("utf-8", "surrogatepass")
+            if text[i] not in self.ids:
+                raw = text[i].encode("utf-8", "surrogatepass")
                 if here + self.fallback * len(raw) > score[i + 1]:
-                    score[i + 1], back[i + 1], ids[i + 1] = here + self.fallback * len(raw), i, [self.of_byte[b] for b in reversed(raw)]
-        out: list[int] = []
-        while n:
-            if isinstance(ids[n], int):
-                out.append(ids[n])
-            else:
-                out.extend(ids[n])
-            n = back[n]
-        out.reverse()
-        return out
+                    score[i + 1], length[i + 1], ids[i + 1] = here + self.fallback * len(raw), 1, [self.of_byte[b] for b in reversed(raw)]
+        return self._path(length, ids, n)
+
+    def _extend(self, text: str, i: int, at: int, score: list, length: list, ids: list) -> None:
+        """Prolongs the best path to character ``i`` (place ``at`` of the window) by every piece that starts there."""
+        here, steps = score[at], self.steps
+        more = min(i + self.longest, len(text)) - i + at + 1 - len(score)
+        if more > 0:
+            score += [-np.inf] * more
+            length += [0] * more
+            ids += [None] * more
+        for n in range(1, min(self.longest, len(text) - i) + 1):
+            part = text[i : i + n]
+            if part not in steps:
+                break
+            found = steps[part]
+            if found is not None and here + found[1] > score[at + n]:
+                score[at + n], length[at + n], ids[at + n] = here + found[1], n, found[0]
+        char = text[i]
+        if char not in self.ids:
+            raw = char.encode("utf-8", "surrogatepass")
+            if here + self.fallback * len(raw) > score[at + 1]:
+                score[at + 1], length[at + 1], ids[at + 1] = here + self.fallback * len(raw), 1, [self.of_byte[b] for b in reversed(raw)]
 
     @staticmethod
-    def _meeting(back: dict, live: Iterable[int], done: int) -> int:
-        """The last boundary that the paths of all live positions pass through."""
+    def _meeting(length: list, live: list[int]) -> int:
+        """The last position that the paths of all live positions pass through."""
         ends = set(live)
         while len(ends) > 1:
             k = max(ends)
             ends.discard(k)
-            ends.add(back[k][0] if k > done else done)
+            ends.add(k - length[k])
         return ends.pop()
 
     @staticmethod
-    def _path(back: dict, start: int, end: int) -> list[int]:
-        parts = []
-        while end > start:
-            end, ids = back[end]
-            parts.append(ids)
-        return [i for ids in reversed(parts) for i in ids]
+    def _path(length: list, ids: list, end: int) -> list[int]:
+        out: list[int] = []
+        while end > 0:
+            if isinstance(ids[end], int):
+                out.append(ids[end])
+            else:
+                out.extend(ids[end])
+            end -= length[end]
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
