@@ -73,16 +73,15 @@ def unpack_many(data: bytes) -> list[np.ndarray]:
 
 
 class Blocks:
-    """``docs`` as blocks.
+    """``docs`` as blocks: ranges of ids with about the same number of rows, so a smaller id is in the same block or an earlier one.
 
-    ``frame`` has the columns block, ord (the id, null ids last), id, text, and what is carried, as strings.  Blocks are ranges of ids with about the
-    same number of rows, so a smaller id is in the same block or an earlier one.
+    ``frame`` has the columns block and data: a block's rows from one task, as a compressed Arrow stream with ord (the id, null ids
+    last), text, and what is carried, as strings.  Packed rows keep the exchange small and spare the JVM the sorting of long texts.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, least: int = 24, carry: Sequence[str] = ()) -> None:
-        spark = docs.sparkSession
         id_type = docs.schema[id_col].dataType
-        rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("ord"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").cast("string").alias(f"carry{i}") for i, c in enumerate(carry)])
+        rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("ord"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").cast("string").alias(f"carry{i}") for i, c in enumerate(carry)])
         n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.id_type, self.rows, self.bytes = id_type, n, total
         wanted = int(max(1, min(n, max(least, -(-total // block_bytes)))))
@@ -93,41 +92,54 @@ class Blocks:
         self.count = len(bounds) + 1
         cuts = np.array(bounds, dtype=np.int64)
 
-        @F.pandas_udf("int")
-        def block_of(x: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(cuts, x.to_numpy(np.int64), side="left").astype(np.int32))
+        def deal(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                block = np.searchsorted(cuts, batch.column("ord").to_numpy(), side="left")
+                if np.any(block[1:] < block[:-1]):
+                    order = np.argsort(block, kind="stable")
+                    block, batch = block[order], batch.take(pa.array(order))
+                head = np.flatnonzero(np.diff(block, prepend=-1))
+                for a, z in zip(head, [*head[1:], len(block)], strict=True):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_batch(batch.slice(a, z - a))
+                    yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
-        self.spark = spark
-        self.frame = rows.withColumn("block", block_of("ord")) if bounds else rows.withColumn("block", F.lit(0))
+        self.frame = rows.mapInArrow(deal, "block int, data binary")
 
-    def each(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
-        """``fn`` over every block, its rows in order of id and text."""
+    def each(self, fn: Callable[[int, pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
+        """``fn(block, rows)`` over every block, its rows (ord, text as bytes or None, what is carried) in order of id and text."""
 
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return fn(int(key[0]), in_order(pdf))
+            return fn(int(key[0]), rows_of(pdf))
 
         return self.frame.groupBy("block").applyInPandas(run, schema)
 
-    def answered(self, answers: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
-        """``fn(block, rows, answers)`` over every block and what the owners sent back to it."""
+    def answered(self, answers: DataFrame, fn: Callable[[int, pd.DataFrame, dict], pd.DataFrame], schema: T.StructType) -> DataFrame:
+        """``fn(block, rows, answers)`` over every block and what the owners sent back to it, by kind and slice."""
 
         def run(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
             got = {(int(k), int(s)): d for k, s, d in zip(replies["kind"], replies["slice"], replies["data"], strict=True)}
-            return fn(int(key[0]), in_order(pdf), got)
+            return fn(int(key[0]), rows_of(pdf), got)
 
         return self.frame.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
 
-def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    if len(pdf) < 2:
-        return pdf.reset_index(drop=True)
-    same = pdf["ord"].duplicated(keep=False).any()
-    return pdf.sort_values(["ord", "text"] if same else "ord", kind="stable", na_position="first").reset_index(drop=True)
+def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    table = pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in pdf["data"]])
+    order = np.argsort(table["ord"].to_numpy(), kind="stable")
+    text = table["text"].cast(pa.binary()).to_pylist()
+    every = table["ord"].to_numpy()
+    ids = every[order]
+    if np.any(ids[1:] == ids[:-1]):  # rows with one id go by text, nulls first
+        order = np.array(sorted(order, key=lambda i: (every[i], text[i] is not None, text[i] or b"")))
+    rest = {c: pd.Series(table[c].to_pylist(), dtype=object).iloc[order].reset_index(drop=True) for c in table.column_names if c not in ("ord", "text")}
+    return pd.DataFrame({"ord": ids, "text": pd.Series([text[i] for i in order], dtype=object)} | rest)
 
 
 def texts_of(pdf: pd.DataFrame) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
+    return [t or b"" for t in pdf["text"]]
 
 
 def packed(rows: Iterable[tuple[int, int, int, bytes]]) -> pd.DataFrame:

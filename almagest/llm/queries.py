@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Small rows from many tasks, evenly dealt to few files."""
+    return df.hint("rebalance")
+
+
 #: verdict, host, path
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -25,20 +30,20 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almagest.llm.urls import judge
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES)
+    return compact(judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almagest.llm.jaccard import near_duplicate_classes
 
-    return near_duplicate_classes(table(spark, sf_dir, "documents"), 3, 90)
+    return compact(near_duplicate_classes(table(spark, sf_dir, "documents"), 3, 90))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almagest.llm.suffixes import remove_repeated_bytes
 
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"), 400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return compact(out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.filter("found", lambda s: s["kind"] == kind)
     counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
     base = written_out(F.filter("found", lambda s: s["place"] < len(BASE)))
-    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans"))
+    return compact(found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written_out(F.col("found")).alias("spans")))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs.select("doc_id", media.as_page(F.col("text"), F.sha2("payload", 256)).alias("html"))
     refs = media.references(media.sequences(pages, "doc_id", "html"))
     found = media.resolved(refs, media.stored_media(docs))
-    return found.select(F.col("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return compact(found.select(F.col("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +78,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels, prototypes = language.learn(docs.filter(~language.held_out()))
     found = language.predict(docs, labels, prototypes)
-    return found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return compact(found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almagest.llm.decontamination import judged
 
     out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+    return compact(out.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ",")))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +99,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almagest.llm.repeats import remove_repeated_windows
 
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), 20)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return compact(out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
