@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from almagest.llm.blocks import LAST, Blocks, Sketch, texts_of, written
 from almagest.llm.hashing import COEFFICIENTS, Words, mix, whole_windows, windows
 
-GROUP = 64
+GROUP = 512
 QUERIES = 2000
 FEATURES = T.StructType(
     [T.StructField("ord", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("key_hi", T.LongType()), T.StructField("key_lo", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
@@ -138,13 +138,20 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame:
     grouped = leader.join(salt, "leader").select("cid", "n", "tokens", "label", F.xxhash64("leader", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("grp"))
     grouped = written(grouped, "groups")
 
-    prefix = grouped.select("cid", "n", "grp", "label", F.explode(F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - need + 1))).alias("token"))
-    bridges = prefix.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-    prefix = written(prefix.join(bridges, "token", "left_semi"), "prefixes")
-    matrix = prefix.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("x"), F.max("label").alias("y"))
+    # A pair is found from its larger set (either, if they are equal): that asks with the prefix any link needs, the smaller is listed with the
+    # shorter prefix that suffices against sets at least as large; many sets share too little to be listed at all.
+    shared = F.size("tokens")
+    listed = F.slice("tokens", 1, F.greatest(F.lit(0), shared - F.ceil(F.col("n") * 2 * percent / (100 + percent)).cast("int") + 1))
+    asking = F.slice("tokens", 1, F.greatest(F.lit(0), shared - need + 1))
+    index = grouped.select("n", "grp", "label", shared.alias("shared"), F.explode(listed).alias("token"))
+    matrix = index.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("shared").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
+    bounds = matrix.groupBy("token").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    prefix = grouped.select("cid", "n", "grp", "label", shared.alias("shared"), F.explode(asking).alias("token"))
+    prefix = prefix.join(bounds, "token").filter((F.col("x") != F.col("label")) | (F.col("y") != F.col("label"))).drop("x", "y")
+    enough = lambda c: F.col(c) * (100 + percent) >= (F.col("n") + F.col("low")) * percent
     asks = (
         prefix.join(matrix, "token")
-        .filter((F.col("grp") <= F.col("to")) & (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100) & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("label"))))
+        .filter((F.col("low") <= F.col("n")) & (F.col("n") * percent <= F.col("high") * 100) & enough("shared") & enough("most") & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("label"))))
         .select("cid", "to")
         .distinct()
     )

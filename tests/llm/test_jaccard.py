@@ -45,7 +45,7 @@ def corpus(seed, n):
     return [*docs, (1000, None), (1001, ""), (1002, " \t"), (1003, "W1 w2"), (1004, "w1  w2"), (1005, "w1")]
 
 
-@pytest.mark.parametrize(("size", "percent", "group"), [(3, 90, 64), (2, 60, 3)])
+@pytest.mark.parametrize(("size", "percent", "group"), [(3, 90, 64), (2, 60, 3), (1, 75, 5)])
 def test_against_brute_force(spark, monkeypatch, size, percent, group):
     monkeypatch.setattr(jaccard, "GROUP", group)
     docs = corpus(size, 120)
