@@ -3,7 +3,7 @@
 Method: a token-group matrix.  (1) A count-min sketch over all documents' distinct shingles tells which shingles another document may
 hold; a document needs ``threshold`` of its shingles shared to have any link, so most documents are settled here: this is the bound
 against the union of everything else.  (2) Documents with the same shared shingles and the same set size behave alike and become one
-class.  (3) Classes with a common rarest shingle form groups of bounded size; the matrix holds each group's tokens.  A class
+class.  (3) Classes with a common least fingerprint (a min-hash) form groups of bounded size; the matrix holds each group's tokens.  A class
 meets a group through its prefix shingles (the rarest ones, of which any link must share one).  The group's token union bounds the
 overlap, and only groups that can still reach the threshold are opened and compared member by member, exactly.
 (4) Before that, each class is compared with the largest class of each of its prefix shingles; what this links needs no further
@@ -133,7 +133,7 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame:
 
     labels = components(first)
     labelled = classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "n", "tokens", F.coalesce("label", "cid").alias("label"))
-    leader = labelled.withColumn("leader", F.element_at("tokens", 1))
+    leader = labelled.withColumn("leader", F.array_min("tokens"))  # a min-hash: similar sets mostly share it
     salt = leader.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     grouped = leader.join(salt, "leader").select("cid", "n", "tokens", "label", F.xxhash64("leader", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("grp"))
     grouped = written(grouped, "groups")
