@@ -1,4 +1,364 @@
-"""Registered queries over the driver's tables and the SQL that each is held against."""
+"""Registered queries over the driver's tables and the SQL that each is held against.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Roles of the tables: events are an index (event_type is the log) and a log table with GPS time; orders and lineitem are parent and child
+(supplier as satellite, quantity as signal); customer, orders and lineitem are three levels.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from almagest.functions import codes
+from almagest.functions.aggregates import OPERATIONS, aggregated, described
+from almagest.functions.gpstime import GpsTime, gps_milliseconds, gps_week
+from almagest.functions.rounding import relative_error
+from almagest.operators import views
+from almagest.operators.joins import kth_occurrence, nearest, running_ordinal, with_log_ordinal
+from almagest.operators.shred import assemble, shred, union_promoted, with_offsets
+from almagest.operators.verify import by_log, overall
+from almagest.plans.table import LogTable, compared, database_order
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name or fn.__name__] = fn
+        ORACLES[name or fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def parents(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("sequence_id"), F.col("o_custkey").alias("parent_id"), (F.col("o_orderkey") % 1000 * 1000.0).alias("header_milliseconds"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+
+
+def children(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return li.select(F.monotonically_increasing_id().alias("sequence_id"), F.col("l_orderkey").alias("parent_id"), F.col("l_suppkey").alias("sv_prn"), F.col("l_quantity").alias("C_No"), F.col("l_discount").alias("sd_psr"), F.col("l_tax").alias("sd_adr"), (F.col("l_linenumber").cast("long") * 65536).alias("c_status"))
+
+
+def order_table(spark: SparkSession, d: str) -> LogTable:
+    return LogTable("orders", parents(spark, d), {"obs": LogTable("obs", children(spark, d))})
+
+
+def customer_table(spark: SparkSession, d: str) -> LogTable:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sequence_id"), F.col("c_acctbal").alias("balance"))
+    return LogTable("customer", c, {"orders": order_table(spark, d)})
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("sequence_id"), F.col("event_type").alias("log"), "user_id", "value", gps_week(F.col("ts")).alias("header_week"), gps_milliseconds(F.col("ts")).alias("header_milliseconds"))
+
+
+GPS_US = "(epoch_us(ts) - epoch_us(TIMESTAMP '1980-01-06') + 18000000)"
+EVENTS = f"(SELECT event_id AS sequence_id, event_type AS log, user_id, value, CAST({GPS_US} // 604800000000 AS BIGINT) AS header_week, ({GPS_US} % 604800000000) / 1000.0 AS header_milliseconds FROM events)"
+PARENTS = "(SELECT o_orderkey AS sequence_id, o_custkey AS parent_id, o_orderkey % 1000 * 1000.0::DOUBLE AS header_milliseconds, o_totalprice AS price FROM orders)"
+OBS = "(SELECT l_orderkey AS parent_id, l_suppkey AS sv_prn, l_quantity AS C_No, l_discount AS sd_psr, l_tax AS sd_adr, CAST(l_linenumber AS BIGINT) * 65536 AS c_status FROM lineitem)"
+JOINED = f"(SELECT o.*, p.header_milliseconds, p.header_milliseconds / 1000.0 AS time_s FROM {OBS} o JOIN {PARENTS} p ON o.parent_id = p.sequence_id)"
+SYSTEM = "CASE (c_status >> 16) & 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.CHANNEL_SYSTEMS.items()) + " ELSE 'Unknown(' || ((c_status >> 16) & 7) || ')' END"
+SQL_OPS = {"mean": "avg({0})", "median": "median({0})", "min": "min({0})", "max": "max({0})", "sum": "coalesce(sum({0}), 0)", "std": "stddev_samp({0})", "rms": "sqrt(avg({0} * {0}))"}
+
+
+def r(col: str, places: int = 6) -> object:
+    return F.round(F.col(col).cast("double"), places).alias(col)
+
+
+# Filters
+
+
+@query("SELECT event_id AS sequence_id, event_type AS log FROM events WHERE event_type = 'click'")
+def flt_by_log(spark, d):
+    from almagest.plans.catalog import Recording
+
+    index = event_log(spark, d).select("sequence_id", "log")
+    return Recording(index, {}, None, index).filter_by_log("click").index
+
+
+for _name, _op, _sql in (("eq", "==", "= 5"), ("ne", "!=", "IS DISTINCT FROM 5"), ("lt", "<", "< 5"), ("le", "<=", "<= 5"), ("gt", ">", "> 5"), ("ge", ">=", ">= 5")):
+    query(f"SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity {_sql}", f"flt_cmp_{_name}")(lambda spark, d, _op=_op: table(spark, d, "lineitem").select("l_orderkey", "l_quantity").filter(compared(F.col("l_quantity"), _op, 5)))
+
+
+@query("SELECT o_orderkey AS sequence_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 48)")
+def flt_child_semi(spark, d):
+    return order_table(spark, d).filter_entries("C_No", ">", 48, "obs").current.select("sequence_id")
+
+
+@query("SELECT c_custkey AS sequence_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49))")
+def flt_child_path(spark, d):
+    return customer_table(spark, d).filter_entries("C_No", ">", 49, ("orders", "obs")).current.select("sequence_id")
+
+
+for _op in OPERATIONS:
+    query(f"SELECT o_orderkey AS sequence_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING round({SQL_OPS[_op].format('l_quantity')}, 6) > 20)", f"flt_child_having_{_op}")(
+        lambda spark, d, _op=_op: order_table(spark, d).filter_entries("C_No", ">", 20.0000005, "obs", _op).current.select("sequence_id")
+    )
+
+
+@query("SELECT l_orderkey AS parent_id, l_quantity AS C_No FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 200000")
+def flt_cascade_down(spark, d):
+    return order_table(spark, d).filter_entries("price", ">", 200000).children["obs"].current.select("parent_id", "C_No")
+
+
+_START, _END = GpsTime(2296, 100_000.0), GpsTime(2297, 300_000.5)
+_FROM = f"(header_week > {_START.week} OR header_week = {_START.week} AND header_milliseconds >= {_START.milliseconds})"
+_TO = f"(header_week < {_END.week} OR header_week = {_END.week} AND header_milliseconds <= {_END.milliseconds})"
+
+
+def _times(spark: SparkSession, d: str) -> LogTable:
+    return LogTable("events", event_log(spark, d))
+
+
+query(f"SELECT sequence_id FROM {EVENTS} WHERE {_FROM}", "flt_time_start")(lambda spark, d: _times(spark, d).filter_start_time(_START).current.select("sequence_id"))
+query(f"SELECT sequence_id FROM {EVENTS} WHERE {_TO}", "flt_time_end")(lambda spark, d: _times(spark, d).filter_end_time(_END).current.select("sequence_id"))
+query(f"SELECT sequence_id FROM {EVENTS} WHERE {_FROM} AND {_TO}", "flt_time_range")(lambda spark, d: _times(spark, d).filter_time_range(_START, _END).current.select("sequence_id"))
+query("SELECT l_orderkey AS parent_id, l_suppkey AS sv_prn FROM lineitem WHERE l_suppkey IN (1, 3, 7)", "flt_prn_isin")(lambda spark, d: children(spark, d).filter(F.col("sv_prn").isin(1, 3, 7)).select("parent_id", "sv_prn"))
+
+
+# Aggregates
+
+for _op in OPERATIONS:
+    query(f"SELECT round(CAST({SQL_OPS[_op].format('l_extendedprice')} AS DOUBLE), 2) AS value FROM lineitem", f"agg_{_op}")(lambda spark, d, _op=_op: aggregated(table(spark, d, "lineitem"), "l_extendedprice", _op).select(r("value", 2)))
+    query(f"SELECT l_orderkey AS parent_id, round(CAST({SQL_OPS[_op].format('l_quantity')} AS DOUBLE), 6) AS value FROM lineitem GROUP BY l_orderkey", f"agg_grouped_{_op}")(lambda spark, d, _op=_op: aggregated(children(spark, d), "C_No", _op, "parent_id").select("parent_id", r("value")))
+
+
+@query("SELECT count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75, max(l_quantity) AS max FROM lineitem")
+def agg_describe(spark, d):
+    return described(table(spark, d, "lineitem"), "l_quantity").select("count", r("mean"), r("std"), "min", "p25", "p50", "p75", "max")
+
+
+@query("WITH c AS (SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS count, count(v) AS unique, arg_max(v, n) AS top, max(n) AS freq FROM c")
+def agg_describe_text(spark, d):
+    return described(table(spark, d, "events"), "event_type")
+
+
+# Joins
+
+
+@query(f"SELECT parent_id, sv_prn, C_No, header_milliseconds, time_s FROM {JOINED}")
+def join_parent_child(spark, d):
+    return views.observations(parents(spark, d), children(spark, d)).select("parent_id", "sv_prn", "C_No", "header_milliseconds", "time_s")
+
+
+@query("SELECT c_custkey AS customer, o_orderkey AS o, l_quantity AS C_No FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey")
+def join_chain3(spark, d):
+    top = table(spark, d, "customer").select(F.col("c_custkey").alias("sequence_id"), F.col("c_custkey").cast("double").alias("header_milliseconds"))
+    seen = parents(spark, d).select("sequence_id", "parent_id", F.col("price").alias("elevation"))
+    ids = children(spark, d).select("sequence_id", "parent_id", F.col("parent_id").alias("o"), "C_No")
+    return views.sky_positions(top, seen, ids).select(F.col("header_milliseconds").cast("long").alias("customer"), "o", "C_No")
+
+
+_NEAR = f"""
+WITH l AS (SELECT sequence_id, user_id, header_milliseconds + header_week * 604800000.0 AS t FROM {EVENTS} WHERE log = 'click'),
+r AS (SELECT user_id, header_milliseconds + header_week * 604800000.0 AS t, value FROM {EVENTS} WHERE log = 'purchase'),
+b AS (SELECT l.*, r.t AS bt, r.value AS bv FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.t >= r.t),
+f AS (SELECT l.sequence_id, r.t AS ft, r.value AS fv FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.t <= r.t)
+SELECT b.sequence_id, CASE WHEN bt IS NOT NULL AND (ft IS NULL OR t - bt <= ft - t) THEN CASE WHEN t - bt <= 3600000 THEN bv END WHEN ft - t <= 3600000 THEN fv END AS value FROM b JOIN f USING (sequence_id)"""
+
+
+@query(_NEAR)
+def join_asof_nearest(spark, d):
+    e = event_log(spark, d).withColumn("t", F.col("header_milliseconds") + F.col("header_week") * 604800000.0)
+    clicks = e.filter("log = 'click'").select("sequence_id", "user_id", "t")
+    return nearest(clicks, e.filter("log = 'purchase'").select("user_id", "t", "value"), "t", ["user_id"], ["value"], 3_600_000).select("sequence_id", "value")
+
+
+@query("""WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'click'),
+b AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase')
+SELECT a.event_id AS pos, b.event_id AS other FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.k = b.k""")
+def join_kth_occurrence(spark, d):
+    e = event_log(spark, d).select(F.col("sequence_id").alias("pos"), "user_id", "log")
+    return kth_occurrence(e.filter("log = 'click'"), e.filter("log = 'purchase'"), ["user_id"], "pos").select(F.col("l.pos").alias("pos"), F.col("r.pos").alias("other"))
+
+
+@query("SELECT event_id AS sequence_id, event_type AS log, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS ordinal FROM events WHERE event_id % 10 <> 0")
+def join_index_log(spark, d):
+    e = event_log(spark, d)
+    return with_log_ordinal(e.select("sequence_id", "log"), e.filter("sequence_id % 10 = 0")).select("sequence_id", "log", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+# Shredding and assembly
+
+
+@query("SELECT o_orderkey AS sequence_id, (SELECT string_agg(l_quantity::BIGINT, ',' ORDER BY l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey) AS quantities FROM orders")
+def assemble_nested(spark, d):
+    kids = children(spark, d).select(F.col("C_No").cast("long").alias("q"), "parent_id")
+    out = assemble(parents(spark, d).select("sequence_id"), {"obs": (kids, {})})
+    return out.select("sequence_id", F.when(F.col("obs").isNotNull(), F.array_join(F.transform("obs", lambda o: o["q"].cast("string")), ",")).alias("quantities"))
+
+
+@query("SELECT vec_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, CAST(embedding[1] AS DOUBLE) AS key_0, CAST(embedding[2] AS DOUBLE) AS key_1 FROM embeddings")
+def shred_list_scalar(spark, d):
+    tree = shred(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return tree.children["embedding"].table.select("parent_id", "sequence_id", F.col("key_0").cast("double").alias("key_0"), F.col("key_1").cast("double").alias("key_1"))
+
+
+@query("SELECT event_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def shred_struct(spark, d):
+    e = table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").alias("props"))
+    return shred(e, "event_id").children["props"].table.select("parent_id", "sequence_id", "k")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events")
+def seq_ids_running(spark, d):
+    return running_ordinal(table(spark, d, "events").select("event_id"), ["event_id"], "event_id", width=1000)
+
+
+@query("SELECT event_id AS parent_id, CAST(p AS BIGINT) AS sequence_id, p * 10 AS x FROM events, unnest([0, 1, 2]) AS u(p) WHERE event_id % 3 <> 0")
+def seq_ids_leaf(spark, d):
+    kids = F.when(F.col("event_id") % 3 != 0, F.array(*[F.struct(F.lit(i * 10).alias("x")) for i in range(3)])).otherwise(F.array().cast("array<struct<x:int>>"))
+    return shred(table(spark, d, "events").select("event_id", kids.alias("obs")), "event_id").children["obs"].table.select("parent_id", "sequence_id", "x")
+
+
+@query("SELECT event_id + 5 AS sequence_id, user_id + 10 AS parent_id FROM events")
+def merge_offsets(spark, d):
+    return with_offsets(table(spark, d, "events").select(F.col("event_id").alias("sequence_id"), F.col("user_id").alias("parent_id")), 5, 10, leaf=False)
+
+
+@query("SELECT event_id, CAST(user_id AS DOUBLE) AS v, NULL::VARCHAR AS w FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value, event_type FROM events WHERE event_id % 2 = 1")
+def union_promote(spark, d):
+    e = table(spark, d, "events")
+    return union_promoted([e.filter("event_id % 2 = 0").select("event_id", F.col("user_id").alias("v")), e.filter("event_id % 2 = 1").select("event_id", F.col("value").alias("v"), F.col("event_type").alias("w"))])
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def distinct_pairs(spark, d):
+    return table(spark, d, "events").select("user_id", "event_type").distinct()
+
+
+# Order and time
+
+
+@query("SELECT sequence_id, row_number() OVER (ORDER BY value NULLS LAST, sequence_id) AS pos FROM " + EVENTS)
+def sort_by_field(spark, d):
+    ordered = LogTable("events", event_log(spark, d)).sort_by("value").current
+    return ordered.select("sequence_id", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_last(), "sequence_id")).cast("long").alias("pos"))
+
+
+@query(f"SELECT sequence_id, row_number() OVER (ORDER BY header_week, header_milliseconds, sequence_id) AS pos FROM {EVENTS}")
+def sort_db_time(spark, d):
+    e = event_log(spark, d)
+    ordered = database_order(e.select("sequence_id", "log"), {"a": e.filter("log = 'click'"), "b": e.filter("log <> 'click'")})
+    return ordered.select("sequence_id", F.row_number().over(Window.orderBy("header_week", "header_milliseconds", "sequence_id")).cast("long").alias("pos"))
+
+
+@query(f"SELECT log, min(header_week * 604800000.0 + header_milliseconds) AS first, max(header_week * 604800000.0 + header_milliseconds) AS last FROM {EVENTS} GROUP BY log")
+def time_range(spark, d):
+    ends = event_log(spark, d).groupBy("log").agg(F.min(F.struct("header_week", "header_milliseconds")).alias("a"), F.max(F.struct("header_week", "header_milliseconds")).alias("z"))
+    total = lambda c: F.col(f"{c}.header_week") * 604800000.0 + F.col(f"{c}.header_milliseconds")
+    return ends.select("log", total("a").alias("first"), total("z").alias("last"))
+
+
+@query(f"SELECT sequence_id, header_week, header_milliseconds FROM {EVENTS}")
+def gpstime_convert(spark, d):
+    return event_log(spark, d).select("sequence_id", "header_week", "header_milliseconds")
+
+
+# Views
+
+
+@query(f"SELECT sv_prn, round(avg(C_No), 6) AS mean_cn0, round(stddev_samp(C_No), 6) AS std_cn0, CASE WHEN avg(C_No) < 20 THEN 'poor' WHEN avg(C_No) < 30 THEN 'warning' WHEN avg(C_No) <= 60 THEN 'good' ELSE 'suspicious' END AS band FROM {JOINED} GROUP BY sv_prn")
+def view_signal_prn(spark, d):
+    return views.signal_by_satellite(views.observations(parents(spark, d), children(spark, d))).select("sv_prn", r("mean_cn0"), r("std_cn0"), "band")
+
+
+@query(f"SELECT time_s, count(DISTINCT sv_prn) AS satellites FROM {JOINED} GROUP BY time_s")
+def view_signal_epoch(spark, d):
+    return views.satellites_by_epoch(views.observations(parents(spark, d), children(spark, d)))
+
+
+@query(f"SELECT time_s, count(DISTINCT sv_prn) AS satellites, count(*) AS signals FROM {JOINED} GROUP BY time_s")
+def view_tracking_total(spark, d):
+    return views.tracking_counts(views.observations(parents(spark, d), children(spark, d)), False)
+
+
+@query(f"SELECT time_s, {SYSTEM} AS system, count(DISTINCT sv_prn) AS satellites, count(*) AS signals FROM {JOINED} GROUP BY 1, 2")
+def view_tracking_const(spark, d):
+    return views.tracking_counts(views.observations(parents(spark, d), children(spark, d)), True)
+
+
+@query(f"SELECT header_milliseconds, sv_prn, CAST((c_status >> 16) & 7 AS INTEGER) AS sys_id, max(C_No) AS C_No, round(avg(sd_psr), 6) AS sd_psr, round(avg(sd_adr), 6) AS sd_adr FROM {JOINED} GROUP BY 1, 2, 3")
+def view_satstats(spark, d):
+    return views.satellite_series(views.observations(parents(spark, d), children(spark, d))).select("header_milliseconds", "sv_prn", "sys_id", "C_No", r("sd_psr"), r("sd_adr"))
+
+
+_SKY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.SKY_SYSTEMS.items())
+_LETTER = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.SKY_PREFIXES.items())
+
+
+@query(f"SELECT s_suppkey AS prn, 90 - s_acctbal / 200 AS radius, round(radians(s_suppkey * 3.0), 9) AS theta, coalesce(CASE CAST(s_nationkey % 9 AS VARCHAR) {_SKY} END, CAST(s_nationkey % 9 AS VARCHAR)) AS system, coalesce(CASE CAST(s_nationkey % 9 AS VARCHAR) {_LETTER} END, '?') || substr(lpad(CAST(s_suppkey AS VARCHAR), 2, '0'), 1, 2) AS label FROM supplier")
+def view_skyview(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("prn"), (F.col("s_acctbal") / 200).alias("elevation"), (F.col("s_suppkey") * 3.0).alias("azimuth"), (F.col("s_nationkey") % 9).cast("string").alias("system_type"))
+    return views.sky_track(s).select("prn", "radius", F.round("theta", 9).alias("theta"), "system", "label")
+
+
+_TYPE = " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.POSITION_TYPES.items())
+
+
+@query(f"SELECT c_custkey, round((c_custkey % 360 - 180) * 20037508.34 / 180, 4) AS x, round(ln(tan((90 + (c_custkey % 170 - 85)) * pi() / 360)) / (pi() / 180) * 20037508.34 / 180, 4) AS y, coalesce(CASE c_nationkey {_TYPE} END, CAST(c_nationkey AS VARCHAR)) AS position_type_name FROM customer WHERE c_custkey % 170 - 85 <> 0 OR c_custkey % 360 - 180 <> 0")
+def view_position(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 170 - 85).cast("double").alias("latitude"), (F.col("c_custkey") % 360 - 180).cast("double").alias("longitude"), F.col("c_custkey").alias("header_milliseconds"), F.col("c_nationkey").alias("position_type"))
+    return views.position_track(c).select("c_custkey", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "position_type_name")
+
+
+@query("SELECT l_orderkey, l_orderkey / 1000.0 AS time_s, l_quantity AS latitude_std_dev, l_discount AS longitude_std_dev, l_tax AS height_std_dev, round(sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax), 6) AS sigma_3d FROM lineitem")
+def view_pos_accuracy(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("header_milliseconds"), F.col("l_quantity").alias("latitude_std_dev"), F.col("l_discount").alias("longitude_std_dev"), F.col("l_tax").alias("height_std_dev"))
+    return views.position_sigma(li).select(F.round(F.col("time_s") * 1000).cast("long").alias("l_orderkey"), "time_s", "latitude_std_dev", "longitude_std_dev", "height_std_dev", r("sigma_3d"))
+
+
+@query("SELECT round(avg(l_quantity), 6) AS latitude_std_dev, round(avg(l_discount), 6) AS longitude_std_dev, round(avg(l_tax), 6) AS height_std_dev FROM lineitem")
+def view_accuracy(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("header_milliseconds"), F.col("l_quantity").alias("latitude_std_dev"), F.col("l_discount").alias("longitude_std_dev"), F.col("l_tax").alias("height_std_dev"))
+    return views.accuracy_series(li).agg(F.avg("latitude_std_dev").alias("latitude_std_dev"), F.avg("longitude_std_dev").alias("longitude_std_dev"), F.avg("height_std_dev").alias("height_std_dev")).select(r("latitude_std_dev"), r("longitude_std_dev"), r("height_std_dev"))
+
+
+# Verification
+
+
+@query("""WITH f AS (SELECT l_returnflag AS log, l_orderkey % 5 <> 0 AS matched, l_quantity AS a, CASE WHEN l_suppkey % 7 = 0 AND l_returnflag = 'A' THEN l_quantity * 1.5 ELSE l_quantity END AS b FROM lineitem),
+p AS (SELECT log, count(*) AS messages, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE matched AND abs(a - b) > 1e-9 * greatest(abs(a), abs(b))) AS diffs FROM f GROUP BY log)
+SELECT log, messages, matched, diffs, CASE WHEN diffs > 0 THEN 'MISMATCH' WHEN matched = 0 THEN 'NOT_VERIFIED' ELSE 'VERIFIED' END AS status FROM p""")
+def verify_by_log(spark, d):
+    li = table(spark, d, "lineitem")
+    a, b = F.col("l_quantity"), F.when((F.col("l_suppkey") % 7 == 0) & (F.col("l_returnflag") == "A"), F.col("l_quantity") * 1.5).otherwise(F.col("l_quantity"))
+    from almagest.functions.rounding import is_close
+
+    matched = F.col("l_orderkey") % 5 != 0
+    rows = li.select(F.col("l_returnflag").alias("log"), F.monotonically_increasing_id().alias("pos"), matched.alias("matched"), (matched & ~is_close(a, b, 1e-9)).alias("differs"))
+    return by_log(rows)
+
+
+@query("""WITH p AS (SELECT l_returnflag AS log, count(*) AS messages, max(CAST(l_returnflag = 'A' AS INT)) AS bad FROM lineitem GROUP BY 1)
+SELECT CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(1 - bad) AS BIGINT) AS verified_types, CAST(0 AS BIGINT) AS messages_not_verified, CAST(sum(bad) AS BIGINT) AS mismatched_types FROM p""")
+def verify_overall(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("log"), F.monotonically_increasing_id().alias("pos"), F.lit(True).alias("matched"), (F.col("l_returnflag") == "A").alias("differs"))
+    return overall(by_log(rows))
+
+
+@query("""SELECT l_orderkey, CASE WHEN l_suppkey % 3 = 0 THEN 'negligible' WHEN l_suppkey % 3 = 1 THEN 'large_error' ELSE 'non_float' END AS category FROM lineitem""")
+def verify_diff_category(spark, d):
+    from almagest.functions.rounding import difference_category
+
+    a = F.col("l_extendedprice")
+    b = F.when(F.col("l_suppkey") % 3 == 0, a * (1 + 1e-9)).otherwise(a * 1.3333333)
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", a.alias("a"), b.alias("b"))
+    error = F.when(F.col("l_suppkey") % 3 != 2, relative_error(F.col("a"), F.col("b")))
+    return li.select("l_orderkey", difference_category(F.col("a"), F.col("b"), error).alias("category"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def fingerprint_sha256(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
