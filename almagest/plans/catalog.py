@@ -55,7 +55,7 @@ def unpacked(spark: SparkSession, archive: str) -> str:
     local = tempfile.mkdtemp(prefix="recording-")
     with zipfile.ZipFile(archive) as z:
         z.extractall(local)
-    inside = [d for d, _, names in os.walk(local) if METADATA in names or any(n in (f"{Path(d).name}.parquet", "log_table.parquet") for n in names)]
+    inside = [d for d, below, names in os.walk(local) if METADATA in names or {f"{Path(d).name}.parquet", "log_table.parquet"} & {*names, *below}]
     if not inside:
         raise InvalidRecordingError(f"{archive} holds no recording")
     found = min(inside, key=len)
@@ -67,6 +67,12 @@ def unpacked(spark: SparkSession, archive: str) -> str:
     return there
 
 
+def stream(name: str | None, rows: DataFrame, value: str) -> Iterator[tuple[int, str | None, object]]:
+    """(id, name, value) in order of the ids, a partition at a time."""
+    for r in rows.orderBy("sequence_id").toLocalIterator():
+        yield r["sequence_id"], name, r[value]
+
+
 @dataclasses.dataclass(frozen=True)
 class Recording:
     index: DataFrame
@@ -134,6 +140,6 @@ class Recording:
         import heapq
 
         shown = self.index.select("sequence_id")
-        streams = [((r.sequence_id, name, r.entry) for r in self.placed(name).join(shown, "sequence_id", "left_semi").orderBy("sequence_id").toLocalIterator()) for name in self.tables]
+        streams = [stream(name, self.placed(name).join(shown, "sequence_id", "left_semi"), "entry") for name in self.tables]
         for _, name, entry in heapq.merge(*streams, key=lambda x: x[0]):
             yield name, entry

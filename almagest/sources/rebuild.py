@@ -6,7 +6,7 @@ import heapq
 
 from almagest.errors import RebuildError
 from almagest.operators.shred import PARENT
-from almagest.plans.catalog import Recording
+from almagest.plans.catalog import Recording, stream
 from almagest.sources.frames import frame, raw_frame
 
 
@@ -25,9 +25,9 @@ def rebuild(rec: Recording, out: str) -> int:
 
     The logs and the payloads are streamed in order and merged by id, so the driver holds one row of each at a time.
     """
-    streams = [((r.sequence_id, name, r.entry) for r in rec.placed(name).orderBy("sequence_id").toLocalIterator()) for name in rec.tables]
+    streams = [stream(name, rec.placed(name), "entry") for name in rec.tables]
     if rec.unknown is not None:
-        streams.append((r.sequence_id, None, r.payload) for r in rec.unknown.orderBy("sequence_id").toLocalIterator())
+        streams.append(stream(None, rec.unknown, "payload"))
     parts = heapq.merge(*streams, key=lambda x: x[0])
     written = 0
     with open(out, "wb") as f:
