@@ -15,12 +15,12 @@ from almagest.llm import decontamination, jaccard, language, lines, pieces
 from almagest.llm.blocks import written
 from almagest.llm.queries import PIECE_MODEL, table
 
-#: A text whose letters are this far from every language's profile is in none of them.
-LEAST_COSINE = 0.2
+#: A text no more like any profile than two random vectors are is in none of the languages. Short texts have low cosines too and stay.
+LEAST_COSINE = language.DIMENSION**-0.5
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no letters, no text, or letters unlike every learned profile."""
+    """Documents without a recognised language go: no letters, no text, or letters no more like any learned profile than noise."""
     labels, prototypes = language.learn(docs)
     found = language.predict(docs, labels, prototypes, keep=docs.columns)
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
