@@ -39,7 +39,6 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.steps: dict[str, tuple[int, float] | None] = {p: self.ids.get(p) for p in self.starts}
-        self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.fallback = min((s for _, s in self.ids.values()), default=0.0) - 10.0
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.raw = [b"" if i in special else bytes([int(_BYTE.fullmatch(p)[1], 16)]) if i in bytes_ else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
@@ -133,32 +132,21 @@ class Pieces:
         marked = SPACE + text.replace(" ", SPACE)
         if not self.by_word:
             return np.fromiter(self.stream(marked), dtype=np.int32)
-        known, out = self._known.get, []
+        known, out = self._known, []
         for word in _WORDS.findall(marked):
-            got = known(word)
+            got = known.get(word)
             if got is None:
-                got = self._word(word)
-                known = self._known.get
+                if len(word) > 2 * self.longest:
+                    got = np.fromiter(self.stream(word), dtype="<i4").tobytes()
+                else:
+                    got = self._older.get(word) or array("i", self.whole(word)).tobytes()
+                    if len(known) >= self.remember:  # the older half goes
+                        self._older, self._known = known, {}
+                        known = self._known
+                    known[word] = got
             out.append(got)
         return np.frombuffer(b"".join(out), dtype="<i4")
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word, remembered; every path passes through a boundary between two characters that no piece has side by side."""
-        got = self._known.get(word) or self._older.get(word)
-        if got is None:
-            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joins]
-            if cuts:
-                got = b"".join(self._word(word[a:z]) for a, z in zip([0, *cuts], [*cuts, len(word)], strict=True))
-            elif len(word) > 2 * self.longest:
-                return array("i", self.stream(word)).tobytes()
-            else:
-                got = array("i", self.whole(word)).tobytes()
-        if len(word) <= 2 * self.longest:
-            if len(self._known) >= self.remember:  # the older half goes
-                self._older, self._known = self._known, {}
-            self._known[word] = got
-        return got
-
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
