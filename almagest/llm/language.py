@@ -61,22 +61,27 @@ def gram_vectors(codes: np.ndarray, dimension: int) -> np.ndarray:
 
 def text_vectors(texts: list[str | None], dimension: int = DIMENSION, gram: int = GRAM) -> np.ndarray:
     """float64 array: the bundle of every text; zeros without letters."""
-    out = np.zeros((len(texts), dimension))
+    return counted_vectors(texts, dimension, gram)[0]
+
+
+def counted_vectors(texts: list[str | None], dimension: int = DIMENSION, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of every text and the number of n-grams in it."""
+    out, sizes = np.zeros((len(texts), dimension)), np.zeros(len(texts), dtype=np.int64)
     group: list[tuple[int, str]] = []
     held = 0
     for i, text in enumerate(texts):
         for a in range(0, len(text or ""), CHUNK):
             piece = text[max(0, a - gram + 1) : a + CHUNK]  # parts overlap, so no n-gram is lost
             if held and held + len(piece) > CHUNK:
-                _bundle(group, out, gram)
+                _bundle(group, out, sizes, gram)
                 group, held = [], 0
             group.append((i, piece))
             held += len(piece)
-    _bundle(group, out, gram)
-    return out
+    _bundle(group, out, sizes, gram)
+    return out, sizes
 
 
-def _bundle(group: list[tuple[int, str]], out: np.ndarray, gram: int) -> None:
+def _bundle(group: list[tuple[int, str]], out: np.ndarray, sizes: np.ndarray, gram: int) -> None:
     if not group:
         return
     codes = np.frombuffer("".join(f"\n{t}\n" for _, t in group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -95,6 +100,7 @@ def _bundle(group: list[tuple[int, str]], out: np.ndarray, gram: int) -> None:
         code = code * k + small[j : j + n]
     whole = owner[:n] == owner[gram - 1 :]
     code, text = code[whole], owner[:n][whole]
+    np.add.at(sizes, [i for i, _ in group], np.bincount(text, minlength=len(group)))
     if k**gram <= 1 << 24:
         seen = np.flatnonzero(np.bincount(code, minlength=k**gram))
         number = np.zeros(k**gram, dtype=np.int64)
@@ -142,25 +148,28 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """One row per document: its id (or the columns to keep), lang_pred and score (the cosine, 0 where it is negative)."""
+    """One row per document: its id (or the columns to keep), lang_pred, score (the cosine, 0 where it is negative) and n_unlike, the number of
+    equally frequent unlike n-grams whose bundle would be as long as the text's: repeats add nothing to it."""
     keep = [id_col] if keep is None else list(keep)
     # Kept columns pass through pandas as text, so that whole numbers with nulls stay whole.
-    schema = T.StructType([*[T.StructField(f"keep{i}", T.StringType()) for i in range(len(keep))], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[T.StructField(f"keep{i}", T.StringType()) for i in range(len(keep))], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_unlike", T.DoubleType())])
     dimension = prototypes.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vectors = text_vectors(pdf["text"].tolist(), dimension)
+            vectors, sizes = counted_vectors(pdf["text"].tolist(), dimension)
+            squares = (vectors * vectors).sum(axis=1)
+            unlike = np.divide(sizes.astype(float) ** 2 * dimension, squares, out=np.zeros(len(sizes)), where=squares > 0)
             known = vectors.any(axis=1) & bool(labels)
             cosine = unit(vectors) @ prototypes.T if labels else np.zeros((len(pdf), 1))
             best = cosine.argmax(axis=1)
             score = np.where(known, np.clip(cosine[np.arange(len(pdf)), best], 0, 1), 0.0)
             names = [labels[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-            yield pd.DataFrame({f"keep{i}": pdf[f"keep{i}"] for i in range(len(keep))} | {"lang_pred": names, "score": np.round(score, 9)})
+            yield pd.DataFrame({f"keep{i}": pdf[f"keep{i}"] for i in range(len(keep))} | {"lang_pred": names, "score": np.round(score, 9), "n_unlike": np.round(unlike, 6)})
 
     rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(f"keep{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     out = rows.mapInPandas(run, schema)
-    return out.select(*[F.col(f"keep{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"keep{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "n_unlike")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

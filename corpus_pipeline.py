@@ -15,15 +15,18 @@ from almagest.llm import decontamination, jaccard, language, lines, pieces
 from almagest.llm.blocks import written
 from almagest.llm.queries import PIECE_MODEL, table
 
-#: A text no more like any profile than two random vectors are is in none of the languages. Short texts have low cosines too and stay.
-LEAST_COSINE = language.DIMENSION**-0.5
+#: A text of ``FULL_GRAMS`` unlike n-grams or more whose cosine with every profile is less than this is in none of the languages.  The cosine of clean
+#: texts grows with the root of that number, and so does the least one asked of shorter texts: 0.2 at 300, which is some 50 words.
+LEAST_COSINE = 0.25
+FULL_GRAMS = 470
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no letters, no text, or letters no more like any learned profile than noise."""
+    """Documents without a recognised language go: no letters, no text, or letters no more like any learned profile than noise of their length."""
     labels, prototypes = language.learn(docs)
     found = language.predict(docs, labels, prototypes, keep=docs.columns)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    least = LEAST_COSINE * F.sqrt(F.least(F.col("n_unlike") / FULL_GRAMS, F.lit(1.0)))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

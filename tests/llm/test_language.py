@@ -54,3 +54,22 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.learn(df)[0] == []
     assert language.predict(df, [], np.zeros((0, 8))).collect() == []
+
+
+def test_stage_rejects_long_noise_and_unlearned_scripts_and_keeps_short_texts(spark):
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(7)
+    clean = [(k, t, lang) for k, t, lang in rows() if k < 90]
+    short = [(100 + k, " ".join(rnd.choice(WORDS[lang].split(), 3)), None) for k, lang in enumerate(sorted(WORDS) * 5)]
+    alphabets = ["".join(map(chr, range(a, a + n))) for a, n in ((0x61, 26), (0x430, 32), (0x3B1, 25), (0x4E00, 900))]
+    noise = []
+    for k in range(80):
+        letters = list(alphabets[k % 4])
+        noise.append((1000 + k, " ".join("".join(rnd.choice(letters, rnd.integers(2, 9))) for _ in range(200 if k % 8 < 4 else 600)), None))
+    repeated = [(200, " ".join(["the of"] * 400), None)]
+    df = spark.createDataFrame([*clean, *short, *repeated, *noise], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.stage_language(spark, df, "").collect()}
+    assert {k for k, _, _ in clean} <= kept and {k for k, _, _ in short} <= kept and 200 in kept
+    assert not {k for k, _, _ in noise} & kept
+    assert language.counted_vectors(["ab", None, "12", "the of"])[1].tolist() == [2, 0, 0, 6]
