@@ -30,8 +30,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents of which nothing but blank lines is left, unless nothing was removed."""
-    found = lines.remove_repeated_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    """Repeated lines go, exact copies however short they are; so do documents of which nothing but blank lines is left, unless nothing was removed."""
+    found = lines.remove_repeated_lines(docs, exact_words=1, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
     left = found.filter((F.col("n_removed") == 0) | F.rlike("kept_text", F.lit(r"[^\x20\x09-\x0D]")))
     values = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return left.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])

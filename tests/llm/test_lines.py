@@ -63,3 +63,13 @@ def test_empty_table_and_clashing_names(spark):
     assert remove_repeated_lines(spark.createDataFrame([], "doc_id long, text string, ord int")).collect() == []
     df = spark.createDataFrame([(None, "a b c d e", 1), (7, "a b c d e", 2)], "doc_id long, text string, block int")
     assert sorted((str(r.doc_id), r.n_removed) for r in remove_repeated_lines(df).collect()) == [("7", 0), ("None", 1)]
+
+
+def test_pipeline_settles_exact_copies_of_every_line_that_is_not_blank(spark):
+    import corpus_pipeline
+
+    docs = [(1, "Les.\nAnd ornd.\n\nonly here"), (2, "Of, edti oner.\nLes.\n \nAnd  ornd.\nalso here"), (3, "Les."), (4, "Of, edti oner.\nAnd ornd"), (5, "\n"), *[(10 + k, t) for k, t in corpus(2)]]
+    df = spark.createDataFrame([(k, t, 0) for k, t in docs], "doc_id long, text string, n_chars long")
+    want = {k: t for k, (_, n, t) in brute(docs, 1, 8).items() if n == 0 or re.search(r"[^\x20\x09-\x0D]", t)}
+    got = {r.doc_id: r.text for r in corpus_pipeline.stage_lines(spark, df, "").collect()}
+    assert got == want and got[2] == "Of, edti oner.\n \nalso here" and got[4] == "And ornd" and 3 not in got and got[5] == "\n"
