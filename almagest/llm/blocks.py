@@ -35,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Names a row where ids may be null or repeat.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, written so that it stays the same however often they are read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.blocks import LAST
+from almagest.llm.blocks import LAST, ROW, numbered
 
 #: Words that stand for units of measure and currency.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year percent dollars dollar euros euro cents cent usd eur gbp degrees degree miles mile meters meter metres metre kilometers kilometres grams gram kilograms pounds liters litres".split()
@@ -88,7 +88,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return joined.select(F.col("doc").alias(id_col), F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
-    """The rows of ``docs`` that meet no benchmark item."""
-    found = contamination(docs, benchmark, id_col, text_col, **more).select(F.col(id_col).alias("met_id"))
-    return docs.join(found, docs[id_col].eqNullSafe(found["met_id"]), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more: object) -> DataFrame:
+    """The rows of ``docs`` that meet no benchmark item; each is judged by itself, whatever its id."""
+    rows = numbered(docs, "rows")
+    found = contamination(rows, benchmark, ROW, text_col, **more).select(F.col(ROW).alias("met"))
+    return rows.join(found, rows[ROW] == found["met"], "left_anti").select(*docs.columns)

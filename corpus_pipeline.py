@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm import decontamination, jaccard, language, lines, pieces
-from almagest.llm.blocks import written
+from almagest.llm.blocks import ROW, numbered, written
 from almagest.llm.queries import PIECE_MODEL, table
 
 #: A text of ``FULL_GRAMS`` unlike n-grams or more whose cosine with every profile is less than this is in none of the languages.  The cosine of clean
@@ -38,10 +38,11 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the least id."""
-    found = jaccard.near_duplicate_classes(docs, 5, 80)
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """One document of each class of near duplicates stays, that with the least id (null ids come last); rows are told apart whatever their ids."""
+    rows = numbered(docs, "rows")
+    found = jaccard.near_duplicate_classes(rows, 5, 80, id_col=ROW)
+    least = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least"))
+    return rows.join(least.select(F.col(f"least.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,16 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_with_null_or_repeated_ids_are_told_apart(spark):
+    near = words(60, 1).split()
+    near[5] = "changed"
+    item = "this question asks how many apples are left over when all of the boys have taken their share"
+    docs = [(1, words(60, 1)), (None, " ".join(near)), (None, words(60, 2)), (7, " ".join(near[:-1])), (7, words(60, 3)), (None, words(60, 4)), (None, words(60, 4) + " end"), (9, None), (10, item), (None, item + " please"), (10, words(60, 5))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = corpus_pipeline.stage_near_duplicates(spark, df, "").collect()
+    assert sorted(str(r.text) for r in got) == sorted(str(t) for k, (_, t) in enumerate(docs) if k not in (1, 3, 6, 9))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = corpus_pipeline.decontamination.without_contaminated(df, bench).collect()
+    assert sorted(str(r.text) for r in clean) == sorted(str(t) for k, (_, t) in enumerate(docs) if k not in (8, 9))
