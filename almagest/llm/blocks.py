@@ -81,8 +81,61 @@ def unpack_many(data: bytes) -> list[np.ndarray]:
     return out
 
 
+class WholeIds:
+    """Whole numbers in the order of the ids, for operators that order documents; ids that are whole numbers stand for themselves.
+
+    Other ids (strings, say) are numbered in their order by a written table of the distinct ones; ``named`` puts the ids back.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str) -> None:
+        self.id_col, self.names = id_col, None
+        self.docs = docs
+        if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+            return
+        ids = docs.select(F.col(f"`{id_col}`").alias("_name")).filter("_name is not null").distinct().orderBy("_name")
+        self.names = written(ids.withColumn("_number", F.monotonically_increasing_id()), "ids")
+        given = docs.withColumnRenamed(id_col, "_given")
+        self.docs = given.join(self.names, given["_given"] == self.names["_name"], "left").drop("_given", "_name").withColumnRenamed("_number", id_col)
+
+    def named(self, out: DataFrame, *columns: str) -> DataFrame:
+        """``out`` with the ids in place of the numbers in ``columns``."""
+        if self.names is None:
+            return out
+        for c in columns:
+            names = self.names.select(F.col("_name").alias("_its"), F.col("_number").alias("_of"))
+            out = out.join(names, out[c] == names["_of"], "left").select(*[F.col("_its").alias(c) if x == c else F.col(f"`{x}`") for x in out.columns])
+        return out
+
+
+#: Most ranges of ids whose bounds the driver holds; beyond that many blocks each range is cut evenly by id.
+MOST_BOUNDS = 1024
+#: Rows read for each bound. The bounds decide only how evenly blocks are filled, never a result.
+ROWS_A_BOUND = 50
+
+
+def even_bounds(ids: np.ndarray, sizes: np.ndarray, parts: int) -> np.ndarray:
+    """Ids that cut the rows into ``parts`` of about the same number of rows and bytes."""
+    if not len(ids):
+        return np.zeros(0, dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    weight = np.cumsum(1 + sizes[order] / max(1.0, sizes.mean()))
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, parts) / parts)
+    return np.unique(ids[order][np.minimum(at, len(ids) - 1)])
+
+
+def block_numbers(ids: np.ndarray, cuts: np.ndarray, low: int, high: int, fine: int) -> np.ndarray:
+    """The block of each id: its range between the cuts, and the range's ``fine`` equal parts; grows with the id."""
+    part = np.searchsorted(cuts, ids, side="left")
+    if fine == 1:
+        return part
+    edges = np.concatenate(([low], cuts, [high])).astype(np.float64)
+    wide = np.maximum(edges[part + 1] - edges[part], 1)
+    inside = np.clip(np.floor((ids.astype(np.float64) - edges[part]) * fine / wide), 0, fine - 1)
+    return part * fine + inside.astype(np.int64)
+
+
 class Blocks:
-    """``docs`` as blocks: ranges of ids with about the same number of rows, so a smaller id is in the same block or an earlier one.
+    """``docs`` as blocks: ranges of ids with about the same number of rows and bytes, so a smaller id is in the same block or an earlier one.
 
     ``frame`` has the columns block and data: a block's rows from one task, as a compressed Arrow stream with ord (the id, null ids
     last), text, and what is carried, as strings.  Packed rows keep the exchange small and spare the JVM the sorting of long texts.
@@ -94,16 +147,21 @@ class Blocks:
         n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         self.id_type, self.rows, self.bytes = id_type, n, total
         wanted = int(max(1, min(n, max(least, -(-total // block_bytes)))))
-        bounds: list[int] = []
+        parts = min(wanted, MOST_BOUNDS)
+        fine = -(-wanted // parts)
+        cuts, low, high = np.zeros(0, dtype=np.int64), 0, 0
         if wanted > 1:
-            at = [i / wanted for i in range(1, wanted)]
-            bounds = sorted(set(rows.agg(F.percentile_approx("ord", at, max(10_000, 20 * wanted))).first()[0] or []))
-        self.count = len(bounds) + 1
-        cuts = np.array(bounds, dtype=np.int64)
+            share = rows.select("ord", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).sample(min(1.0, ROWS_A_BOUND * parts / n), seed=7)
+            found = share.toPandas()
+            cuts = even_bounds(found["ord"].to_numpy(np.int64), found["size"].to_numpy(np.float64), parts)
+            real = found["ord"].to_numpy(np.int64)
+            real = real[real < LAST]
+            low, high = (int(real.min()), int(real.max())) if len(real) else (0, 0)
+        self.count = (len(cuts) + 1) * fine
 
         def deal(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
-                block = np.searchsorted(cuts, batch.column("ord").to_numpy(), side="left")
+                block = block_numbers(batch.column("ord").to_numpy(), cuts, low, high, fine)
                 if np.any(block[1:] < block[:-1]):
                     order = np.argsort(block, kind="stable")
                     block, batch = block[order], batch.take(pa.array(order))

@@ -62,6 +62,36 @@ class ByteHash:
         return mix(raw)
 
 
+class RangeHash:
+    """``ByteHash`` of a whole block at once: powers come from two small tables, so that only the sums grow with the buffer."""
+
+    LOW = 1 << 11
+
+    def __init__(self, buf: np.ndarray, lane: int) -> None:
+        self.inverse = self._tables(lane, len(buf) + 1, True)
+        self.sums = np.zeros(len(buf) + 1, dtype=U)
+        high, low = self._tables(lane, len(buf), False)
+        for a in range(0, len(buf), self.LOW):
+            part = _BYTE_TABLES[lane][buf[a : a + self.LOW]]
+            part *= low[: len(part)]
+            part *= high[a // self.LOW]
+            self.sums[a + 1 : a + 1 + len(part)] = np.cumsum(part, dtype=U) + self.sums[a]
+
+    def _tables(self, lane: int, size: int, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+        ratio = pow(_RATIOS[lane], -1, 2**64) if inverse else _RATIOS[lane]
+        step = np.full(size // self.LOW + 1, pow(ratio, self.LOW, 2**64), dtype=U)
+        step[0] = 1
+        return np.cumprod(step, dtype=U), powers(lane, self.LOW, inverse)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        high, low = self.inverse
+        raw = self.sums[end] - self.sums[start]
+        raw *= high[start // self.LOW]
+        raw *= low[start % self.LOW]
+        raw += (end - start).astype(U) * U(0xA24BAED4963EE407)
+        return mix(raw)
+
+
 def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int, chunk: int = 1 << 17) -> np.ndarray:
     """Hash of ``buf[start[k]:end[k]]`` for every k, starts ascending; a chunk of the buffer at a time, for bounded memory."""
     out = np.empty(len(start), dtype=U)
