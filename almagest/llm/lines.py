@@ -1,20 +1,20 @@
-"""Line dedup: a line goes if an earlier line of the corpus is within one word edit of it.
+"""Line dedup: a line goes if an earlier line of the corpus is the same or nearly so: one word edit apart, if that is a fifth of the longer line or less.
 
 Method: a deletion-neighbourhood join.  A line emits its own key and, within the edit bound, the key of each variant with one word
-left out.  Lines that share a key meet; equal variants verify the distance: a whole line that equals another's variant is one deletion away,
-and two variants that are equal with the same word position left out of equally long lines are one substitution away
-(position and length are part of that key; keys have 128 bits).  Other meetings are farther apart and do not count.  The earliest line stays.
+left out.  Lines that share a key meet, and the edit distance is verified from what each entry says about its line: a whole line that equals the variant of
+a line one word longer is one deletion away; two variants are one substitution away if the same place is left out of equally long lines; other
+meetings are farther apart (or meet again under another key) and do not count.  The earliest line stays.  Keys have 128 bits.
 
-Before that, exact copies are settled by the whole line's key; a copy emits no variants, since its first copy does.  Of the rest only lines emit
-variants whose first or last half (all words but one, halved) is also that of a different line: one edit leaves one of the halves
+Before that, exact copies are settled by the whole line's key; a copy emits no variants, since its first copy does.  Of lines of ``HALVES_FROM`` words or
+more only those emit whose first or last half (all words but one, halved) is also that of a different line: one edit leaves one of the halves
 as it is, so no pair is lost.
 
-A line is what ``\\n`` separates; its words are ``[^\\x20\\x09-\\x0D]+``; order is document id, then line number.  Lines of fewer than
-``exact_words`` words (headings, signs, blanks) always stay; lines of fewer than ``near_words`` go only as exact copies.  Lines are judged
+A line is what ``\n`` separates; its words are ``[^\x20\x09-\x0D]+``; order is document id, then line number.  Blank lines stay (lines of fewer than
+``exact_words`` = 1 words).  ``near_words`` = 5 is the fewest words of the longer of two lines that may be a word apart: similarity 0.8.  Lines are judged
 on the input: a line also goes if the earlier line goes.
 
-Defined cases: a null text stays null and has no lines; an empty text has one blank line; rows with the same id count as separate documents
-in order of their text; null ids come last; an empty table gives an empty result; other columns are not read.
+Defined cases: a null text stays null and has no lines; an empty text has one blank line; rows with the same id, copies of one row too, count as separate
+documents in order of their text; null ids come last; ids may be of any type that has an order; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, unpack, unpack_many
+from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, WholeIds, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, unpack, unpack_many
 from almagest.llm.hashing import COEFFICIENTS, Words, mix
 
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
 KEY, OWN = 0, 1
-WHOLE, VARIANT, PLACED, HALF = 0, 1, 2, 3
+WHOLE, VARIANT, HALF = 0, 1, 2
+#: Lines with fewer words are no rarer for their halves, and emit their few variants at once.
+HALVES_FROM = 8
 _U = np.uint64
 
 
@@ -73,20 +75,43 @@ class Keys:
         """Lines and keys of their first and last ``h`` words, for h as it is for lines of this length and of one word less."""
         first, n = self.lines.first[which], self.lines.count[which]
         line, key = [], []
-        for h in ((n - 1) // 2, (n - 2) // 2):
+        for h in ((n - 1) // 2, np.maximum(n - 2, 0) // 2):
             line += [which, which]
             key.append(mix(self.sums[first + h] - self.sums[first] + self._salt(h, 4004)))
             key.append(mix((self.sums[first + n] - self.sums[first + n - h]) * self.unscale[n - h] + self._salt(h, 4005)))
         return np.concatenate(line), np.concatenate(key)
 
     def variants(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Line, key of the line without one word, and that key with the word's position and the line's length, for every word."""
+        """Line, place of the word that is left out, and key of the rest, for every word."""
         n = self.lines.count[which]
         line = np.repeat(which, n)
         word = np.arange(len(line)) - np.repeat(np.cumsum(n) - n - self.lines.first[which], n)
         n, start = self.lines.count[line], self.lines.first[line]
         rest = mix((self.sums[word] - self.sums[start]) + (self.sums[start + n] - self.sums[word + 1]) * self.unscale[1] + self._salt(n - 1, 4001))
-        return line, rest, mix(rest ^ mix(self._salt(word - start, 4002) + self._salt(n, 4003)))
+        return line, word - start, rest
+
+
+def nearest_before(number: np.ndarray, tag: np.ndarray, place: np.ndarray, n: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each entry: is there one before it (by ``order``) with its key whose line is verified to be one word edit away?
+
+    ``number`` is the key; a whole line has ``n`` words, a variant is a line of ``n`` words without that at ``place``.
+    """
+    never = np.iinfo(np.int64).max
+    least = np.full((2, int(number.max()) + 1 if len(number) else 0), never)
+    longer = np.zeros(least.shape[1], dtype=np.int64)  # words of the lines whose variants have this key
+    for t in (WHOLE, VARIANT):
+        np.minimum.at(least[t], number[tag == t], order[tag == t])
+    longer[number[tag == VARIANT]] = n[tag == VARIANT]
+    whole = np.zeros_like(longer)
+    whole[number[tag == WHOLE]] = n[tag == WHOLE]
+    deletion = whole[number] + 1 == longer[number]
+    out = deletion & (np.where(tag == WHOLE, least[VARIANT][number], least[WHOLE][number]) < order)
+    v = np.flatnonzero(tag == VARIANT)
+    first, alike = distinct(number[v].astype(_U), place[v].astype(_U) << _U(32) | n[v].astype(_U))
+    earliest = np.full(len(first), never)
+    np.minimum.at(earliest, alike, order[v])
+    out[v] |= earliest[alike] < order[v]
+    return out
 
 
 def copies_and_halves(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,20 +140,17 @@ def meet(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == OWN]
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
-        rows, (hi, lo, tag), block, cuts = gathered(pdf, KEY)
-        first, number = distinct(hi, lo)
-        least = np.full((3, len(first)), np.iinfo(np.int64).max)
-        for t in (WHOLE, VARIANT, PLACED):
-            np.minimum.at(least[t], number[tag == t], block[tag == t])
-        whole, variant, placed = least[:, number]
-        goes = np.where(tag == WHOLE, np.minimum(whole, variant), np.where(tag == VARIANT, whole, placed)) < block
+        rows, (hi, lo, tag, place, n), block, cuts = gathered(pdf, KEY)
+        goes = nearest_before(distinct(hi, lo)[1], tag, place, n, block)
         out += [(b, s, KEY, pack(goes[a:z])) for b, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
     return packed(out)
 
 
-def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int = 8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, exact_words: int = 1, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: its id, n_lines, n_removed, ``kept_text`` (the lines that stay) and the columns to carry."""
-    blocks = Blocks(docs, id_col, text_col, block_bytes, carry=carry)
+    ids = WholeIds(docs, id_col)
+    blocks = Blocks(ids.docs, id_col, text_col, block_bytes, carry=carry)
+    halves_from = max(HALVES_FROM, near_words)
     result = T.StructType([*RESULT.fields, *[T.StructField(f"carry{i}", T.StringType()) for i in range(len(carry))]])
     n_slices = slices_for(blocks.bytes // 64, blocks.count)
 
@@ -142,7 +164,7 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int
         copy = np.ones(len(counted), dtype=bool)
         copy[one] = False
         which, hi, lo = counted[one], hi[one], lo[one]
-        near = np.flatnonzero(lines.count[which] >= near_words)
+        near = np.flatnonzero(lines.count[which] >= halves_from - 1)  # the shorter of two lines has one word less
         half_line, half = lanes[0].halves(which[near])
         hi, lo = np.concatenate((hi, half)), np.concatenate((lo, np.tile(hi[near], 4)))
         tag = np.repeat([WHOLE, HALF], [len(which), len(half)])
@@ -159,37 +181,29 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int
     def second(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         yes, (copies, line, tag) = answers_of(got)
         gone = np.concatenate((np.cumsum(copies), line[yes & (tag == WHOLE)]))
-        which = np.setdiff1d(line[yes & (tag == HALF)], gone)
-        if len(which):
-            lines = Lines(texts_of(pdf))
-            lanes = [Keys(lines, lane) for lane in (0, 1)]
-            variants = [k.variants(which) for k in lanes]
-            of = variants[0][0]
-            longer = lines.count[of] > near_words
-            hi, lo = (np.concatenate((k.whole(which), v[1][longer], v[2])) for k, v in zip(lanes, variants, strict=True))
-            line, tag = np.concatenate((which, of[longer], of)), np.repeat([WHOLE, VARIANT, PLACED], [len(which), longer.sum(), len(of)])
-        else:
-            hi = lo = np.zeros(0, dtype=_U)
-            line = tag = which
-
-        one, number = distinct(hi, lo)
-        least = np.full((3, len(one)), np.iinfo(np.int64).max)
-        for t in (WHOLE, VARIANT, PLACED):
-            np.minimum.at(least[t], number[tag == t], line[tag == t])
-        w, v, p = least[:, number]
-        goes = np.where(tag == WHOLE, v, np.where(tag == VARIANT, w, p)) < line
-        gone = np.unique(np.concatenate((gone, line[goes])))
-
-        # One entry for each key and tag asks for all lines that have it.
-        entry = number * 3 + tag
-        keep = np.unique(entry, return_index=True)[1]
-        extra = np.ones(len(entry), dtype=bool)
+        lines = Lines(texts_of(pdf))
+        n = lines.count[line]
+        emit = np.where(n < halves_from, (tag == WHOLE) & (n >= near_words - 1), (tag == HALF) & yes)
+        which = np.setdiff1d(line[emit], gone)
+        lanes = [Keys(lines, lane) for lane in (0, 1)]
+        variants = [k.variants(which[lines.count[which] >= near_words]) for k in lanes]
+        of, place, _ = variants[0]
+        hi, lo = (np.concatenate((k.whole(which), v[2])) for k, v in zip(lanes, variants, strict=True))
+        line, place = np.concatenate((which, of)), np.concatenate((np.zeros(len(which), dtype=np.int64), place))
+        tag, n = np.repeat([WHOLE, VARIANT], [len(which), len(of)]), lines.count[line]
+
+        number = distinct(hi, lo)[1]
+        gone = np.unique(np.concatenate((gone, line[nearest_before(number, tag, place, n, line)])))
+
+        # One entry for each key, tag and place asks for all lines that have it; a key tells the line's length.
+        keep, entry = distinct((number * 2 + tag).astype(_U), place.astype(_U))
+        extra = np.ones(len(line), dtype=bool)
         extra[keep] = False
         deal = Deal(n_slices, hi[keep])
-        place = np.full(3 * len(one), -1)
-        place[entry[keep][deal.order]] = np.arange(len(keep))
-        state = pack_many(np.diff(gone, prepend=0), line[keep][deal.order], place[entry[extra]], line[extra])
-        return packed([*deal.rows(block, [hi[keep], lo[keep], tag[keep]], KEY), (block, block % n_slices, OWN, state)])
+        where = np.empty(len(keep), dtype=np.int64)
+        where[deal.order] = np.arange(len(keep))
+        state = pack_many(np.diff(gone, prepend=0), line[keep][deal.order], where[entry[extra]], line[extra])
+        return packed([*deal.rows(block, [hi[keep], lo[keep], tag[keep], place[keep], n[keep]], KEY), (block, block % n_slices, OWN, state)])
 
     def third(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         lines = Lines(texts_of(pdf))
@@ -209,4 +223,5 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 5, near_words: int
     answers = blocks.each(first, PACKED).groupBy("slice").applyInPandas(lambda pdf: copies_and_halves(pdf), PACKED)
     answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(lambda pdf: meet(pdf), PACKED)
     out = blocks.answered(answers, third, result)
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"), *[F.col(f"carry{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(carry)])
+    out = out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"), *[F.col(f"carry{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(carry)])
+    return ids.named(out, id_col)

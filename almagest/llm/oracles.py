@@ -102,7 +102,7 @@ k AS (SELECT o, array_to_string(w, ' ') AS whole, w, len(w) AS n FROM w WHERE le
 f AS (SELECT whole, any_value(w) AS w, any_value(n) AS n, min(o) AS o FROM k GROUP BY whole),
 v AS (SELECT whole, n, o, j, array_to_string(w[:j - 1] || w[j + 1:], ' ') AS rest FROM f, unnest(range(1, n + 1)) AS u(j) WHERE n >= {near}),
 subs AS (SELECT whole, o, min(o) OVER (PARTITION BY rest, j, n) AS first FROM v),
-dels AS (SELECT v.whole AS long, f.whole AS short, v.o AS lo, f.o AS so FROM v JOIN f ON f.whole = v.rest WHERE v.n > {near}),
+dels AS (SELECT v.whole AS long, f.whole AS short, v.o AS lo, f.o AS so FROM v JOIN f ON f.whole = v.rest ),
 first AS (
   SELECT whole, min(first) AS first FROM (
     SELECT whole, o AS first FROM f UNION ALL SELECT whole, first FROM subs UNION ALL SELECT long, so FROM dels UNION ALL SELECT short, lo FROM dels) GROUP BY whole),

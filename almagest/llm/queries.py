@@ -120,7 +120,7 @@ ORACLES: dict[str, str] = {
     "op1_url_filters": oracles.url_sql(URL_RULES),
     "op2_ngram_jaccard_join": oracles.jaccard_sql(3, 90),
     "op4_secret_scans": oracles.secrets_sql(),
-    "op6_line_dedup": oracles.lines_sql(5, 8),
+    "op6_line_dedup": oracles.lines_sql(1, 5),
     "op8_benchmark_decontamination": oracles.contamination_sql(),
     "op10_substring_dedup": oracles.repeats_sql(20),
 }

@@ -22,7 +22,7 @@ def brute(docs, exact, near):
         kept, lines = [], t.split("\n")
         for line in lines:
             w = re.findall(r"[^\x20\x09-\x0D]+", line)
-            goes = len(w) >= exact and any(w == b or (len(w) >= near and len(b) >= near and within_one(w, b)) for b in before)
+            goes = len(w) >= exact and any(w == b or (max(len(w), len(b)) >= near and within_one(w, b)) for b in before)
             before.append(w)
             if not goes:
                 kept.append(line)
@@ -55,8 +55,16 @@ def corpus(seed=1, n=70):
 def test_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in remove_repeated_lines(df, 2, 4, block_bytes=400).collect()}
-    assert got == brute(docs, 2, 4)
+    for exact, near in ((2, 4), (1, 5), (1, 2), (1, 9)):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in remove_repeated_lines(df, exact, near, block_bytes=400).collect()}
+        assert got == brute(docs, exact, near)
+
+
+def test_short_lines_repeated_rows_and_text_ids(spark):
+    """Every line that is not blank is judged: copies of one word, and one word edit from five words on."""
+    rows = [("a", "Les.\nfour words are here\nfive short words are here\n\n"), ("b", "Les.\nfour words were here\nfive short words are here now\n\nfive short words stay here"), ("b", "Les."), ("b", "Les."), (None, "And.\nfour words are here"), ("", "And.")]
+    got = sorted((str(r.doc_id), r.kept_text) for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == sorted([("", "And."), ("a", rows[0][1]), ("b", ""), ("b", ""), ("b", "four words were here\n"), ("None", "")])
 
 
 def test_empty_table_and_clashing_names(spark):
@@ -70,6 +78,6 @@ def test_pipeline_settles_exact_copies_of_every_line_that_is_not_blank(spark):
 
     docs = [(1, "Les.\nAnd ornd.\n\nonly here"), (2, "Of, edti oner.\nLes.\n \nAnd  ornd.\nalso here"), (3, "Les."), (4, "Of, edti oner.\nAnd ornd"), (5, "\n"), *[(10 + k, t) for k, t in corpus(2)]]
     df = spark.createDataFrame([(k, t, 0) for k, t in docs], "doc_id long, text string, n_chars long")
-    want = {k: t for k, (_, n, t) in brute(docs, 1, 8).items() if n == 0 or re.search(r"[^\x20\x09-\x0D]", t)}
+    want = {k: t for k, (_, n, t) in brute(docs, 1, 5).items() if n == 0 or re.search(r"[^\x20\x09-\x0D]", t)}
     got = {r.doc_id: r.text for r in corpus_pipeline.stage_lines(spark, df, "").collect()}
     assert got == want and got[2] == "Of, edti oner.\n \nalso here" and got[4] == "And ornd" and 3 not in got and got[5] == "\n"
