@@ -215,7 +215,7 @@ def packed(rows: Iterable[tuple[int, int, int, bytes]]) -> pd.DataFrame:
 
 def slices_for(n_keys: int, n_blocks: int) -> int:
     """How many owners share the keys: about a million keys each, so that rows stay large and an owner's memory small."""
-    return max(1, min(n_blocks, 32), n_keys >> 20)
+    return max(1, min(n_blocks, 8), n_keys >> 20)
 
 
 class Sketch:

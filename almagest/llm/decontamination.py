@@ -4,11 +4,14 @@ Text becomes a list of tokens; numbers, names and units become typed placeholder
 templates that do not change with a question's parameters.  Windows of consecutive template tokens are joined by hash with the benchmark's.
 For each meeting the slots are held against each other: the values must map one to one between document and item.
 
-All on DataFrame functions.  A window counts only if enough of its tokens are plain words.  The benchmark's windows are broadcast if their
-counted number is within ``broadcast_windows``; otherwise the join is shuffled.
+A window says something only if enough of its tokens are plain words.  An item without such a window (fewer than ten tokens, or mostly numbers and names)
+is looked for whole: it is joined by its first tokens, lower-cased, and all its tokens must be the same, values too, but for the case of letters.
 
-Defined cases: a null or empty text has no windows and is clean; items with fewer tokens than a window give none; rows with the same document id are
-judged together; a null id is an id of its own; an empty benchmark leaves all documents clean; other columns are not read.
+All on DataFrame functions.  The benchmark's windows are broadcast if their counted bytes are within ``broadcast_bytes``; otherwise the join is shuffled.
+
+Defined cases: a null or empty text has no windows and is clean; an item without tokens marks nothing; a null item id marks documents but is in no list of
+items; each document is judged by itself, whatever its id (null, repeated, of any type); rows that repeat id and text are judged alike; an empty benchmark leaves
+all documents clean; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,15 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.blocks import LAST, ROW, numbered
-
 #: Words that stand for units of measure and currency.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year percent dollars dollar euros euro cents cent usd eur gbp degrees degree miles mile meters meter metres metre kilometers kilometres grams gram kilograms pounds liters litres".split()
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}]*"
 NAME = r"^\p{Lu}\p{Ll}+$"
 SIZE = 10
 PLAIN = 6
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -33,8 +34,9 @@ def tokens(text: Column) -> Column:
 
 def slot(token: Column) -> Column:
     """The type of a slot's token; null for a plain word."""
-    low = F.lower(token)
-    return F.when((token >= "0") & (token < ":"), F.lit("<number>")).when(F.array_contains(F.array(*map(F.lit, UNITS)), low), F.lit("<unit>")).when(F.rlike(token, F.lit(NAME)), F.lit("<name>"))
+    number = (token >= "0") & (token < ":")
+    small = (token >= "a") & (token < "{")  # such a token is no name; spares the expression
+    return F.when(number, F.lit("<number>")).when(F.lower(token).isin(UNITS), F.lit("<unit>")).when(~small & F.rlike(token, F.lit(NAME)), F.lit("<name>"))
 
 
 def template(token: Column) -> Column:
@@ -49,47 +51,76 @@ def window_hashes(hashed: Column) -> Column:
     return F.slice(held(join(hashed, hashed, 1), tens), 1, F.greatest(F.size(hashed) - SIZE + 1, F.lit(0)))
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """key, at, window: all template windows; ``rows`` has key and text."""
-    hashed = rows.select("key", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(template(t))).alias("h"))
-    return hashed.select("key", F.posexplode(window_hashes(F.col("h"))).alias("at", "window"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document that meets the benchmark: its id, n_windows (consistent windows) and item_ids (ascending)."""
-    kind = docs.schema[id_col].dataType
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))
-    rows = docs.select(ident.alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("key"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    own = items.select(F.col("key").alias("item"), tokens(F.col("text")).alias("token"))
-    asked = _windows(items).select(F.col("key").alias("item"), F.col("at").alias("item_at"), "window").join(own, "item")
-    asked = asked.select("item", "window", F.slice("token", F.col("item_at") + 1, SIZE).alias("theirs"))
-    asked = asked.filter(F.size(F.filter("theirs", lambda t: slot(t).isNull())) >= PLAIN).distinct()
-    small = asked.count() <= broadcast_windows
-    near = F.broadcast if small else lambda x: x
-
-    met = _windows(rows).join(near(asked.select("window").distinct()), "window", "left_semi")
-    per_doc = met.groupBy("key").agg(F.collect_set(F.struct("at", "window")).alias("met"))
-    mine = rows.join(per_doc, "key").select("key", tokens(F.col("text")).alias("token"), "met")
-    mine = mine.select("key", "token", F.explode("met").alias("w")).select("key", F.col("w.at").alias("at"), F.col("w.window").alias("window"), F.slice("token", F.col("w.at") + 1, SIZE).alias("ours"))
+def run_hashes(hashed: Column, size: int) -> Column:
+    """Hash of every run of ``size`` of an array's values."""
+    if size == SIZE:
+        return window_hashes(hashed)
+    return F.when(F.size(hashed) >= size, F.transform(F.sequence(F.lit(1), F.size(hashed) - size + 1), lambda i: F.xxhash64(F.slice(hashed, i, size)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def token_hashes(token: Column, whole: bool = False) -> Column:
+    """Of template tokens, or for items that are looked for whole of the lower-cased ones."""
+    return F.transform(token, lambda t: F.xxhash64(F.lower(t) if whole else template(t)))
+
+
+def wanted(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """item, whole, size, window, theirs: the hash of the first ``size`` tokens and the tokens to hold against; ``whole`` where values must be the same."""
+    own = benchmark.select(F.col(f"`{item_col}`").alias("item"), tokens(F.col(f"`{item_text_col}`").cast("string")).alias("token")).withColumn("n", F.size("token")).filter("n > 0")
+    plain = lambda ts: F.size(F.filter(ts, lambda t: slot(t).isNull())) >= PLAIN
+    tens = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - SIZE + 1, F.lit(1))), lambda i: F.slice("token", i, SIZE)), lambda w: (F.size(w) == SIZE) & plain(w))
+    listed = own.withColumn("tens", tens).withColumn("whole", F.size("tens") == 0).withColumn("theirs", F.explode(F.when(F.col("whole"), F.array("token")).otherwise(F.col("tens"))))
+    size = F.least(F.size("theirs"), F.lit(SIZE))
+    head = F.slice("theirs", 1, SIZE)
+    first = F.when(~F.col("whole"), F.get(window_hashes(token_hashes(head)), F.lit(0)))
+    for k in range(1, SIZE + 1):
+        first = F.when(F.col("whole") & (size == k), F.get(run_hashes(token_hashes(head, True), k), F.lit(0))).otherwise(first)
+    return listed.select("item", "whole", size.alias("size"), first.alias("window"), "theirs").distinct()
+
+
+#: 128 bits of id and text, which tell documents apart whatever their ids are.
+KEYS = ["_k1", "_k2"]
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    of, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    return [F.xxhash64(of, text).alias(KEYS[0]), F.xxhash64(text, F.lit(1), of).alias(KEYS[1])]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row for each distinct document that meets the benchmark: its keys, n_windows (consistent windows) and item_ids (ascending)."""
+    rows = docs.select(*keyed(docs, id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
+    asked = wanted(benchmark, item_col, item_text_col)
+    facts = asked.agg(F.coalesce(F.sum(F.octet_length(F.array_join("theirs", " ")) + 200), F.lit(0)).alias("bytes"), F.collect_set(F.when(F.col("whole"), F.col("size"))).alias("sizes")).first()  # ten sizes at most
+    near = F.broadcast if facts["bytes"] <= broadcast_bytes else lambda x: x
+
+    key = ["whole", "size", "window"]
+    windows = None
+    for whole, size in [(False, SIZE), *((True, k) for k in sorted(facts["sizes"]))]:
+        hashed = rows.select(*KEYS, token_hashes(tokens(F.col("text")), whole).alias("h"))
+        some = hashed.select(*KEYS, F.lit(whole).alias("whole"), F.lit(size).alias("size"), F.posexplode(run_hashes(F.col("h"), size)).alias("at", "window"))
+        windows = some if windows is None else windows.union(some)
+    met = windows.join(near(asked.select(*key).distinct()), key, "left_semi")
+    per_doc = met.groupBy(*KEYS).agg(F.collect_set(F.struct("at", *key)).alias("met"))
+    mine = rows.join(per_doc, KEYS).select(*KEYS, tokens(F.col("text")).alias("token"), F.explode("met").alias("w")).select(*KEYS, "token", "w.*")
+    both = mine.join(near(asked), key).withColumn("ours", F.slice("token", F.col("at") + 1, F.size("theirs")))
     pairs = F.filter(F.zip_with("ours", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: slot(p["a"]).isNotNull())
-    both = mine.join(near(asked), "window").withColumn("pairs", F.array_distinct(pairs))
-    same = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))))
-    alike = F.forall(F.zip_with("ours", "theirs", lambda a, b: template(a) == template(b)), lambda x: x)
-    found = both.filter(same & alike).groupBy("key").agg(F.count_distinct("at").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("item_ids"))
-    return found.select(F.when(F.col("key") != LAST, F.col("key")).cast(kind).alias(id_col), "n_windows", "item_ids")
+    both = both.withColumn("pairs", F.array_distinct(pairs))
+    apart = lambda side: F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    alike = lambda form: F.forall(F.zip_with("ours", "theirs", lambda a, b: F.coalesce(form(a) == form(b), F.lit(False))), lambda x: x)
+    consistent = F.when(F.col("whole"), alike(F.lower)).otherwise(alike(template) & apart("a") & apart("b"))
+    return both.filter(consistent).groupBy(*KEYS).agg(F.count_distinct("at").alias("n_windows"), F.array_sort(F.collect_set("item")).alias("item_ids"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
     """One row per document: id, contaminated, n_windows and item_ids."""
-    found = contamination(docs, benchmark, id_col, text_col, **more).withColumnRenamed(id_col, "met_id")
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc"))
-    joined = ids.join(found, ids["doc"].eqNullSafe(found["met_id"]), "left")
-    return joined.select(F.col("doc").alias(id_col), F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    found = contamination(docs, benchmark, id_col, text_col, **more)
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), *keyed(docs, id_col, text_col))
+    none = F.array().cast(found.schema["item_ids"].dataType)
+    return ids.join(found, KEYS, "left").select(F.col("doc").alias(id_col), F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more: object) -> DataFrame:
-    """The rows of ``docs`` that meet no benchmark item; each is judged by itself, whatever its id."""
-    rows = numbered(docs, "rows")
-    found = contamination(rows, benchmark, ROW, text_col, **more).select(F.col(ROW).alias("met"))
-    return rows.join(found, rows[ROW] == found["met"], "left_anti").select(*docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
+    """The rows of ``docs`` that meet no benchmark item."""
+    found = contamination(docs, benchmark, id_col, text_col, **more).select(*[F.col(k).alias(f"{k}m") for k in KEYS])
+    rows = docs.select("*", *keyed(docs, id_col, text_col))
+    return rows.join(found, (rows[KEYS[0]] == found[f"{KEYS[0]}m"]) & (rows[KEYS[1]] == found[f"{KEYS[1]}m"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -128,25 +128,27 @@ FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g
 
 
 def contamination_sql() -> str:
+    """Windows of ten tokens as lists; items without a window of enough plain words are compared whole."""
     units = ", ".join(map(quoted, UNITS))
     kind = f"CASE WHEN t >= '0' AND t < ':' THEN '<number>' WHEN lower(t) IN ({units}) THEN '<unit>' WHEN regexp_matches(t, '{NAME}') THEN '<name>' END"
-
-    def windows(table: str, key: str) -> str:
-        return f"""SELECT k, ts, list_transform(ts, lambda t: {kind}) AS slots FROM (
-    SELECT {key} AS k, t[i:i + {SIZE - 1}] AS ts FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM {table}), unnest(range(1, greatest(1, len(t) - {SIZE} + 2))) AS u(i))"""
-
+    words_of = lambda table, key: f"SELECT {key} AS k, t, list_transform(t, lambda t: {kind}) AS s FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS t FROM {table})"
+    windows = f"SELECT k, i, t[i:i + {SIZE - 1}] AS ts, s[i:i + {SIZE - 1}] AS slots FROM {{0}}, unnest(range(1, greatest(1, len(t) - {SIZE} + 2))) AS u(i)"
     form = "array_to_string(list_transform(ts, lambda t, i: coalesce(slots[i], lower(t))), ' ')"
     return f"""
-WITH b AS ({windows("benchmark", "item_id")}),
-bw AS (SELECT DISTINCT k AS item, ts AS theirs, slots AS slots, {form} AS form FROM b WHERE len(list_filter(slots, lambda s: s IS NULL)) >= {PLAIN}),
-d AS ({windows("documents", "doc_id")}),
-dw AS (SELECT k AS doc_id, row_number() OVER () AS pos, ts AS ours, {form} AS form FROM d),
+WITH bt AS ({words_of("benchmark", "item_id")}),
+bw AS (SELECT DISTINCT k AS item, ts AS theirs, slots, {form} AS form FROM ({windows.format("bt")}) WHERE len(list_filter(slots, lambda s: s IS NULL)) >= {PLAIN}),
+whole AS (SELECT k AS item, list_transform(t, lambda t: lower(t)) AS w FROM bt WHERE len(t) > 0 AND k NOT IN (SELECT item FROM bw)),
+dt AS ({words_of("documents", "doc_id")}),
+dw AS (SELECT k AS doc_id, i AS pos, ts AS ours, slots, {form} AS form FROM ({windows.format("dt")})),
 m AS (
-  SELECT doc_id, pos, item, list_distinct(list_filter(list_transform(ours, lambda t, i: CASE WHEN slots[i] IS NOT NULL THEN {{'a': t, 'b': theirs[i]}} END), lambda p: p IS NOT NULL)) AS pairs
+  SELECT doc_id, pos, item, list_distinct(list_filter(list_transform(ours, lambda t, i: CASE WHEN dw.slots[i] IS NOT NULL THEN {{'a': t, 'b': theirs[i]}} END), lambda p: p IS NOT NULL)) AS pairs
   FROM dw JOIN bw ON bw.form = dw.form),
-found AS (
-  SELECT doc_id, count(DISTINCT pos) AS n_windows, list_sort(list(DISTINCT item)) AS item_ids FROM m
-  WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.a))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.b))) GROUP BY doc_id)
+hits AS (
+  SELECT doc_id, pos, item FROM m
+  WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.a))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: p.b)))
+  UNION ALL SELECT doc_id, pos, item FROM (SELECT k AS doc_id, i AS pos, t, item, w FROM dt, whole, unnest(range(1, greatest(1, len(t) - len(w) + 2))) AS u(i))
+  WHERE list_transform(t[pos:pos + len(w) - 1], lambda t: lower(t)) = w),
+found AS (SELECT doc_id, count(DISTINCT pos) AS n_windows, list_sort(list(DISTINCT item)) AS item_ids FROM hits GROUP BY doc_id)
 SELECT documents.doc_id, found.doc_id IS NOT NULL AS contaminated, coalesce(n_windows, 0) AS n_windows, array_to_string(coalesce(item_ids, []), ',') AS item_ids
 FROM documents LEFT JOIN found ON found.doc_id = documents.doc_id
 """

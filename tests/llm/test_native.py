@@ -91,13 +91,25 @@ def test_contamination(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", decontamination.F.lit(1))
     for most in (1_000_000, 0):
-        got = {r.doc_id: r for r in decontamination.judged(df, bench, broadcast_windows=most).collect()}
+        got = {r.doc_id: r for r in decontamination.judged(df, bench, broadcast_bytes=most).collect()}
         assert {k for k, r in got.items() if r.contaminated} == {1, 2, 3, None} and got[1].item_ids == [7]
     assert {r.doc_id for r in decontamination.without_contaminated(df, bench).collect()} == {4, 5, 6}
     assert decontamination.judged(df.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in decontamination.judged(df, bench.limit(0)).collect())
 
 
+def test_items_without_a_window_are_looked_for_whole(spark):
+    """Short items, items of numbers and names only, items without an id; documents with ids of any type, null or repeated."""
+    bench = spark.createDataFrame([("s", "What is osmosis?"), ("n", "1 2 3 5 8 13 21 34 55 89 144 Bonn Rome"), (None, "name every noble gas"), ("e", " ?! ")], "item_id string, text string")
+    docs = [("a", "well, what IS osmosis then"), ("a", "what is it? osmosis"), ("b", "so 1, 2, 3 5 8 13 21 34 55 89 144 bonn rome."), ("c", "1 2 3 5 8 13 21 34 55 89 144 Bonn Paris"), (None, "Name every noble gas now"), (None, "name every gas"), ("d", None), ("d", ""), ("a", "well, what IS osmosis then")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id string, text string, item string")
+    for most in (1 << 20, 0):
+        got = sorted((str(r.doc_id), r.contaminated, r.n_windows, r.item_ids) for r in decontamination.judged(df, bench, broadcast_bytes=most).collect())
+        hit = {0: ["s"], 2: ["n"], 4: [], 8: ["s"]}
+        assert got == sorted((str(k), i in hit, int(i in hit), hit.get(i, [])) for i, (k, _) in enumerate(docs))
+    assert sorted(str(r.text) for r in decontamination.without_contaminated(df, bench).collect()) == sorted(str(t) for i, (_, t) in enumerate(docs) if i not in (0, 2, 4, 8))
+
+
 def test_slots_must_map_one_to_one(spark):
     item = "Anna gave Ben some bread while the others sat and Anna then thanked Ben twice"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
