@@ -3,14 +3,18 @@
 Method: a token-group matrix.  (1) A count-min sketch over all documents' distinct shingles tells which shingles another document may
 hold; a document needs ``threshold`` of its shingles shared to have any link, so most documents are settled here: this is the bound
 against the union of everything else.  (2) Documents with the same shared shingles and the same set size behave alike and become one
-class.  (3) Classes with a common least fingerprint (a min-hash) form groups of bounded size; the matrix holds each group's tokens.  A class
-meets a group through its prefix shingles (the rarest ones, of which any link must share one).  The group's token union bounds the
-overlap, and only groups that can still reach the threshold are opened and compared member by member, exactly.
-(4) Before that, each class is compared with the largest class of each of its prefix shingles; what this links needs no further
+class.  (3) Classes with a common least fingerprint (a min-hash) form groups of bounded size.  The matrix stores, for each group, the union of its tokens; an
+index of its members' prefixes (their rarest shingles, of which any link must share one) says which classes may meet which group at all.
+(4) A class asks such a group's union: the tokens they have in common bound every overlap inside the group, and only groups that can still reach the
+threshold qualify.  Members are sent out for qualifying groups alone; those are opened and compared member by member, exactly.
+(5) Before that, each class is compared with the largest class of each of its prefix shingles; what this links needs no further
 opening, which keeps groups of thousands of near copies from being compared with each other.  Links are never enumerated inside classes.
 
-Defined cases: a null or blank text has no shingles and links with nothing; a text with fewer words than a shingle is one shingle; rows with
-the same id form one node; a null id comes last and is its own name (null); an empty table gives an empty result; other columns are not read.
+Shingles are counted as 64-bit fingerprints: two documents of a million shingles each share a false one with a chance of about 5e-8.  Classes go by 128 bits.
+
+Defined cases: a null or blank text has no shingles and links with nothing; a text with fewer words than a shingle is one shingle; rows that repeat an
+id are compared each with its own text, but classes that have the same least id count as one; a null id comes last and is its own name (null); ids may be of any type that has an order; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, Blocks, Sketch, texts_of, written
+from almagest.llm.blocks import LAST, Blocks, Sketch, WholeIds, texts_of, written
 from almagest.llm.hashing import COEFFICIENTS, Words, mix, whole_windows, windows
 
 GROUP = 512
@@ -86,12 +90,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = written(step.join(up, step["label"] == up["up"]).select("node", F.least("label", "top").alias("label")), "labels")
 
 
+def qualifying(percent: int):
+    """Which classes that ask can reach the threshold with a member, by the tokens that they have in common with the group's union?"""
+
+    def run(asking: pd.DataFrame, union: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(union):
+            tokens = np.sort(np.asarray(union["tokens"].iloc[0], dtype=np.int64))
+            for cid, to, n, mine in zip(asking["cid"], asking["to"], asking["n"], asking["tokens"], strict=True):
+                mine = np.asarray(mine, dtype=np.int64)
+                found = tokens[np.minimum(np.searchsorted(tokens, mine), len(tokens) - 1)] == mine
+                if 100 * int(found.sum()) >= percent * n:
+                    out.append((cid, to))
+        return pd.DataFrame(out, columns=["cid", "to"], dtype="int64")
+
+    return run
+
+
 def opened(percent: int):
     """Compares the classes that ask with one group's members; one link for each label reached."""
 
     def run(asking: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple[int, int]] = set()
-        members = members.drop_duplicates(["cid", "n"])
         if len(members) and len(asking):
             size = members["n"].to_numpy()
             label = members["label"].to_numpy()
@@ -100,13 +120,8 @@ def opened(percent: int):
             owner = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
-            union = np.unique(token)
             for n, mine, tokens in zip(asking["q_n"], asking["q_label"], asking["q_tokens"], strict=True):
                 tokens = np.asarray(tokens, dtype=np.int64)
-                found = union[np.minimum(np.searchsorted(union, tokens), len(union) - 1)] == tokens
-                if 100 * int(found.sum()) < percent * n:
-                    continue  # the union cannot hold enough of this set: the group stays closed
-                tokens = tokens[found]
                 a, z = np.searchsorted(token, tokens), np.searchsorted(token, tokens, side="right")
                 count = z - a
                 hits = owner[np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)]
@@ -156,13 +171,36 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     asks = written(asks, "asks")
-    many = asks.groupBy(F.col("to").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
-    asking = asks.join(many, asks["to"] == many["grp"]).join(grouped.select("cid", "n", "label", "tokens"), "cid").select("grp", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.col("n").alias("q_n"), F.col("label").alias("q_label"), F.col("tokens").alias("q_tokens"))
-    asking = asking.withColumnRenamed("grp", "q_grp").withColumnRenamed("part", "q_part")
+    pairs = written(qualified(grouped, asks, percent), "qualifying")
+    return first.union(links_in_groups(grouped, pairs, percent))
+
+
+def qualified(grouped: DataFrame, asks: DataFrame, percent: int) -> DataFrame:
+    """(cid, to) of the asks whose class may reach the threshold in the group, by the stored union of the group's tokens."""
+    met = grouped.join(asks.select(F.col("to").alias("grp")).distinct(), "grp", "left_semi")  # no class may meet the others
+    union = written(met.groupBy(F.col("grp").alias("u_grp")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "unions")
+    many = asks.groupBy(F.col("to").alias("u_grp")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    asking = asks.join(many, asks["to"] == many["u_grp"]).join(grouped.select("cid", "n", "tokens"), "cid").select("cid", "to", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "n", "tokens")
+    asked = union.join(many, "u_grp").select("u_grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u_part"), "tokens")
+    return asking.groupBy("to", "part").cogroup(asked.groupBy("u_grp", "u_part")).applyInPandas(qualifying(percent), "cid long, to long").distinct()
+
+
+def opened_groups(grouped: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes that ask and the members of the groups that they open, both dealt by group and by part of its many askers."""
+    many = pairs.groupBy(F.col("to").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    asking = pairs.join(many, pairs["to"] == many["grp"]).join(grouped.select("cid", "n", "label", "tokens"), "cid")
+    asking = asking.select(F.col("grp").alias("q_grp"), F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("q_part"), F.col("n").alias("q_n"), F.col("label").alias("q_label"), F.col("tokens").alias("q_tokens"))
     members = grouped.join(many, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid", "n", "label", "tokens")
-    second = asking.groupBy("q_grp", "q_part").cogroup(members.groupBy("grp", "part")).applyInPandas(opened(percent), PAIR)
-    # A label is a class of its component, so links between labels join on to the links between classes.
-    return first.union(second)
+    return asking, members
+
+
+def links_in_groups(grouped: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links between labels from the opened groups.
+
+    A label is a class of its component, so links between labels join on to the links between classes.
+    """
+    asking, members = opened_groups(grouped, pairs)
+    return asking.groupBy("q_grp", "q_part").cogroup(members.groupBy("grp", "part")).applyInPandas(opened(percent), PAIR)
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
@@ -170,7 +208,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, id
 
     Two documents link when ``100 * intersection >= percent * union`` over their sets of ``size``-word shingles.
     """
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    ids = WholeIds(docs, id_col)
+    blocks = Blocks(ids.docs, id_col, text_col, block_bytes)
     sketch = Sketch(max(1, blocks.bytes // 6), blocks.count)
 
     def features(_: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
@@ -211,4 +250,5 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, id
     joined = alive.drop("tokens").join(linked, key).select("ord", "n", label.alias("label"))
     out = joined.union(found.filter("shared < 0").select("ord", "n", "ord"))
     real = lambda c: F.when(F.col(c) != LAST, F.col(c)).cast(blocks.id_type)
-    return out.select(real("ord").alias(id_col), F.col("n").alias("n_shingles"), real("label").alias("component_id"))
+    out = out.select(real("ord").alias(id_col), F.col("n").alias("n_shingles"), real("label").alias("component_id"))
+    return ids.named(out, id_col, "component_id")

@@ -54,6 +54,24 @@ def test_against_brute_force(spark, monkeypatch, size, percent, group):
     assert got == brute(docs, size, percent)
 
 
+def test_closed_groups_send_no_members(spark):
+    """The stored union of a group closes it to classes that share too little with all of it together."""
+    rows = [(1, 10, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 1, 100), (2, 10, [1, 2, 3, 4, 5, 6, 7, 8, 9, 11], 2, 200), (3, 10, [1, 2, 21, 22, 23, 24, 25, 26, 27, 28], 3, 300), (4, 10, [3, 4, 31, 32, 33, 34, 35, 36, 37, 38], 4, 300)]
+    grouped = spark.createDataFrame(rows, "cid long, n long, tokens array<long>, label long, grp long")
+    asks = spark.createDataFrame([(1, 200), (1, 300)], "cid long, to long")
+    pairs = jaccard.qualified(grouped, asks, 80)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 200)]
+    asking, members = jaccard.opened_groups(grouped, pairs)
+    assert [r.cid for r in members.collect()] == [2] and asking.count() == 1
+    assert [tuple(r) for r in jaccard.links_in_groups(grouped, pairs, 80).collect()] == [(1, 2)]
+
+
+def test_text_ids_and_one_id_with_several_texts(spark):
+    rows = [("b", "a b c d e f g"), ("a", "A b c d e f g"), ("z", "u v w x y z u v"), ("z", "p q r s t p q r"), ("m", "p q r s t p q r"), ("n", "u v w x y z u v"), (None, None)]
+    got = sorted((str(r.doc_id), r.component_id) for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("None", None), ("a", "a"), ("b", "a"), ("m", "m"), ("n", "n"), ("z", "m"), ("z", "n")]
+
+
 def test_empty_table_null_ids_and_extra_columns(spark):
     assert near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f", 1), (4, "a b c d e f", 2), (4, "a b c d e f", 2)], "doc_id int, text string, cid int")
