@@ -5,7 +5,8 @@ vectors, each permuted (rotated) by its place; a text's vector bundles (adds) it
 of a language, each scaled to length 1; a text gets the language whose prototype has the greatest cosine with its vector.
 
 Letters are lower-cased; every run of other characters counts as one boundary symbol.  Sums are whole numbers in float32, exact up to
-2**24 n-grams; longer texts are summed in parts in float64, so a result never depends on how rows are batched.
+2**24 n-grams; longer texts are summed in parts in float64, so a result never depends on how rows are batched.  Memory is bounded by ``CHUNK`` symbols and the
+vectors of ``UNLIKE`` unlike n-grams.
 
 Training reads a bounded sample: at most ``max_training_rows`` labelled rows, those with the least hash of the id.
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,9 @@ from pyspark.sql import types as T
 DIMENSION = 512
 GRAM = 3
 CHUNK = 1 << 20
+UNLIKE = 1 << 14
 UNKNOWN = "und"
+AT_ONCE = 2000
 
 
 @functools.cache
@@ -42,7 +46,7 @@ def _letters() -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=1 << 15)
 def letter_vector(code: int, dimension: int) -> np.ndarray:
     bits = np.random.Generator(np.random.PCG64([code, 77])).integers(0, 2, dimension)
     return (2 * bits - 1).astype(np.float32)
@@ -64,32 +68,45 @@ def text_vectors(texts: list[str | None], dimension: int = DIMENSION, gram: int
     return counted_vectors(texts, dimension, gram)[0]
 
 
+def symbols(text: str, gram: int, chunk: int | None = None) -> Iterator[np.ndarray]:
+    """The text's symbols, letters and boundaries (0), in parts that overlap by ``gram - 1``: every n-gram is in exactly one part.
+
+    Each run of other characters is one boundary, and one is put in front and behind, wherever the parts are cut.
+    """
+    chunk = chunk or CHUNK
+    held = np.zeros(1, dtype=np.uint32)  # the boundary in front
+    for a in range(0, len(text), chunk):
+        letter = _letters()[np.frombuffer(text[a : a + chunk].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        if a + chunk >= len(text):
+            letter = np.append(letter, np.uint32(0))
+        keep = letter > 0
+        keep[1:] |= letter[:-1] > 0
+        keep[:1] |= held[-1] > 0
+        part = np.concatenate((held, letter[keep]))
+        yield part
+        held = part[max(0, len(part) - gram + 1) :]
+
+
 def counted_vectors(texts: list[str | None], dimension: int = DIMENSION, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The bundle of every text and the number of n-grams in it."""
     out, sizes = np.zeros((len(texts), dimension)), np.zeros(len(texts), dtype=np.int64)
-    group: list[tuple[int, str]] = []
+    group: list[tuple[int, np.ndarray]] = []
     held = 0
     for i, text in enumerate(texts):
-        for a in range(0, len(text or ""), CHUNK):
-            piece = text[max(0, a - gram + 1) : a + CHUNK]  # parts overlap, so no n-gram is lost
-            if held and held + len(piece) > CHUNK:
+        for part in symbols(text or "", gram):
+            if held and held + len(part) > CHUNK:
                 _bundle(group, out, sizes, gram)
                 group, held = [], 0
-            group.append((i, piece))
-            held += len(piece)
+            group.append((i, part))
+            held += len(part)
     _bundle(group, out, sizes, gram)
     return out, sizes
 
 
-def _bundle(group: list[tuple[int, str]], out: np.ndarray, sizes: np.ndarray, gram: int) -> None:
-    if not group:
-        return
-    codes = np.frombuffer("".join(f"\n{t}\n" for _, t in group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(group)), [len(t) + 2 for _, t in group])
-    letter = _letters()[codes]
-    keep = np.ones(len(letter), dtype=bool)
-    keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0) | (owner[1:] != owner[:-1])  # one boundary for each run of other characters
-    letter, owner = letter[keep], owner[keep]
+def _bundle(group: list[tuple[int, np.ndarray]], out: np.ndarray, sizes: np.ndarray, gram: int) -> None:
+    """Adds the n-grams of parts of texts; the vectors of ``UNLIKE`` unlike n-grams are in memory at a time, however many there are."""
+    letter = np.concatenate([part for _, part in group]) if group else np.zeros(0, dtype=np.uint32)
+    owner = np.repeat(np.arange(len(group)), [len(part) for _, part in group])
     alphabet, small = np.unique(letter, return_inverse=True)
     k = len(alphabet)
     n = len(small) - gram + 1
@@ -99,22 +116,35 @@ def _bundle(group: list[tuple[int, str]], out: np.ndarray, sizes: np.ndarray, gr
     for j in range(gram):
         code = code * k + small[j : j + n]
     whole = owner[:n] == owner[gram - 1 :]
-    code, text = code[whole], owner[:n][whole]
-    np.add.at(sizes, [i for i, _ in group], np.bincount(text, minlength=len(group)))
+    code, part = code[whole], owner[:n][whole]
+    of = np.array([i for i, _ in group])
+    text, part = np.unique(of[part], return_inverse=True) if len(part) else (of[:0], part)  # parts of one text next to each other are one
+    np.add.at(sizes, text, np.bincount(part, minlength=len(text)))
     if k**gram <= 1 << 24:
         seen = np.flatnonzero(np.bincount(code, minlength=k**gram))
-        number = np.zeros(k**gram, dtype=np.int64)
+        number = np.zeros(k**gram, dtype=np.int32)
         number[seen] = np.arange(len(seen))
         code = number[code]
     else:
         seen, code = np.unique(code, return_inverse=True)
-    vectors = gram_vectors(np.stack([alphabet[seen // k ** (gram - 1 - j) % k] for j in range(gram)], axis=1), out.shape[1])
-    step = max(1, (1 << 20) // len(seen))
-    cuts = np.searchsorted(text, np.arange(0, len(group) + step, step))
-    for a, (x, y) in zip(range(0, len(group), step), zip(cuts[:-1], cuts[1:], strict=True), strict=False):
-        rows = min(step, len(group) - a)
-        counts = np.bincount((text[x:y] - a) * len(seen) + code[x:y], minlength=rows * len(seen)).reshape(rows, len(seen))
-        np.add.at(out, [i for i, _ in group[a : a + rows]], (counts.astype(np.float32) @ vectors).astype(np.float64))
+    pair, times = np.unique(part * len(seen) + code, return_counts=True)
+    row, column = pair // max(1, len(seen)), pair % max(1, len(seen))
+    by = np.argsort(column, kind="stable")
+    row, column, times = row[by], column[by], times[by].astype(np.float32)
+    total = np.zeros((len(text), out.shape[1]))
+    for a in range(0, len(seen), UNLIKE):
+        some = seen[a : a + UNLIKE]
+        vectors = gram_vectors(np.stack([alphabet[some // k ** (gram - 1 - j) % k] for j in range(gram)], axis=1), out.shape[1])
+        x, z = np.searchsorted(column, (a, a + UNLIKE))
+        step = max(1, (1 << 20) // len(some))
+        order = np.argsort(row[x:z], kind="stable")
+        r, c, t = row[x:z][order], column[x:z][order] - a, times[x:z][order]
+        cuts = np.searchsorted(r, np.arange(0, len(text) + step, step))
+        for b, (y, w) in zip(range(0, len(text), step), zip(cuts[:-1], cuts[1:], strict=True), strict=False):
+            counts = np.zeros((min(step, len(text) - b), len(some)), dtype=np.float32)
+            counts[r[y:w] - b, c[y:w]] = t[y:w]
+            total[b : b + len(counts)] += counts @ vectors
+    np.add.at(out, text, total)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -148,28 +178,30 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def predict(docs: DataFrame, labels: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """One row per document: its id (or the columns to keep), lang_pred, score (the cosine, 0 where it is negative) and n_unlike, the number of
+    """One row per document: its id (or the columns to keep, of any names and types, in front), lang_pred, score (the cosine, 0 where it is negative) and n_unlike, the number of
     equally frequent unlike n-grams whose bundle would be as long as the text's: repeats add nothing to it."""
     keep = [id_col] if keep is None else list(keep)
-    # Kept columns pass through pandas as text, so that whole numbers with nulls stay whole.
-    schema = T.StructType([*[T.StructField(f"keep{i}", T.StringType()) for i in range(len(keep))], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_unlike", T.DoubleType())])
+    types = [docs.schema[c].dataType for c in keep]
+    schema = T.StructType([*[T.StructField(f"keep{i}", t) for i, t in enumerate(types)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_unlike", T.DoubleType())])
     dimension = prototypes.shape[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            vectors, sizes = counted_vectors(pdf["text"].tolist(), dimension)
-            squares = (vectors * vectors).sum(axis=1)
-            unlike = np.divide(sizes.astype(float) ** 2 * dimension, squares, out=np.zeros(len(sizes)), where=squares > 0)
-            known = vectors.any(axis=1) & bool(labels)
-            cosine = unit(vectors) @ prototypes.T if labels else np.zeros((len(pdf), 1))
-            best = cosine.argmax(axis=1)
-            score = np.where(known, np.clip(cosine[np.arange(len(pdf)), best], 0, 1), 0.0)
-            names = [labels[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-            yield pd.DataFrame({f"keep{i}": pdf[f"keep{i}"] for i in range(len(keep))} | {"lang_pred": names, "score": np.round(score, 9), "n_unlike": np.round(unlike, 6)})
-
-    rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(f"keep{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = rows.mapInPandas(run, schema)
-    return out.select(*[F.col(f"keep{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "n_unlike")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
+                vectors, sizes = counted_vectors(part.column(0).to_pylist(), dimension)
+                squares = (vectors * vectors).sum(axis=1)
+                unlike = np.divide(sizes.astype(float) ** 2 * dimension, squares, out=np.zeros(len(sizes)), where=squares > 0)
+                known = vectors.any(axis=1) & bool(labels)
+                cosine = unit(vectors) @ prototypes.T if labels else np.zeros((len(sizes), 1))
+                best = cosine.argmax(axis=1)
+                score = np.where(known, np.clip(cosine[np.arange(len(sizes)), best], 0, 1), 0.0)
+                names = [labels[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(np.round(score, 9)), pa.array(np.round(unlike, 6))], schema.names)
+
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "n_unlike")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

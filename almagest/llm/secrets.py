@@ -6,8 +6,8 @@ the candidates are verified with the expression.  Rules without mandatory trigra
 
 All on DataFrame functions.  Texts are indexed lower-cased, so a query serves either case; the verification is exact.
 
-Spans are code points, end exclusive.  Defined cases: a null text counts as empty; rows with the same id are scanned separately; a null id is an id
-of its own; an empty table gives an empty result; other columns are not read.
+Spans are code points, end exclusive.  Defined cases: a null text counts as empty; rows are scanned one by one, whatever their ids (null, repeated, of any
+type), and rows that repeat id and text are looked up once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.blocks import LAST
-
 GAP = "\0"
 MOST = 64
 
@@ -111,22 +109,27 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     return met.filter("met = size").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def running_sums(values: Column) -> Column:
+    """The sums up to each element, by doubling distances: as many steps as the number of elements has binary digits."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    shifted = lambda xs, k: F.concat(F.array_repeat(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("int")), F.slice(xs, 1, F.greatest(F.size(xs) - F.pow(F.lit(2), k).cast("int"), F.lit(0))))
+    return F.when(F.size(values) > 1, F.aggregate(steps, values, lambda xs, k: F.when(F.pow(F.lit(2), k) < F.size(xs), F.zip_with(xs, shifted(xs, k), lambda a, b: a + b)).otherwise(xs))).otherwise(values)
+
+
 def spans(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, kind, end>> of the rule's leftmost non-overlapping matches that count."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
     between = F.split(text, F.lit(rule.pattern), -1)
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
     parts = F.struct(lengths(matches).alias("m"), lengths(between).alias("b"), lengths(sized).alias("s"))
 
     def at(parts: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = total(F.slice(parts["b"], 1, i + 1)) + total(F.slice(parts["m"], 1, i))
-            return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + F.get(parts["m"], i)).alias("end"))
-
-        counted = F.filter(F.sequence(F.lit(0), F.size(parts["m"]) - 1), lambda i: F.get(parts["s"], i) >= rule.at_least)
-        return F.when(F.size(parts["m"]) > 0, F.transform(counted, one))
+        steps = F.zip_with(F.slice(parts["b"], 1, F.size(parts["m"])), parts["m"], lambda b, m: b + m)
+        ends = F.zip_with(running_sums(steps), parts["m"], lambda e, m: F.struct(e.alias("end"), m.alias("m")))
+        every = F.zip_with(ends, parts["s"], lambda e, s: F.struct((e["end"] - e["m"]).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), e["end"].alias("end"), s.alias("s")))
+        counted = F.filter(every, lambda x: x["s"] >= rule.at_least)
+        return F.when(F.size(parts["m"]) > 0, F.transform(counted, lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
     found = F.element_at(F.transform(F.array(parts), at), 1)
@@ -136,7 +139,9 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and ``found``, all spans (start, place, kind, end) by start, then by the order of the rules."""
     ident = F.col(f"`{id_col}`")
-    rows = docs.select(ident.alias("id"), F.coalesce(ident.cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # A key of id and text: neither null ids nor copies share one. Two rows with one key would only be verified for each other's rules too.
+    rows = docs.select(ident.alias("id"), F.xxhash64(ident.cast("string"), text).alias("key"), text.alias("text"))
     chosen = candidates(rows.select("key", "text"), rules)
     kinds = F.array().cast("array<string>")
     if chosen is not None:

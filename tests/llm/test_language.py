@@ -22,13 +22,46 @@ def test_vectors_do_not_depend_on_batches():
     assert np.array_equal(whole, np.concatenate([language.text_vectors([t]) for t in texts]))
 
 
-def test_long_text_in_parts(monkeypatch):
-    text = "the und être " * 300
-    whole = language.text_vectors([text])
-    monkeypatch.setattr(language, "CHUNK", 256)
-    monkeypatch.setattr(language, "GRAM", 3)
-    parts = language.text_vectors([text])
-    assert (unit := language.unit(whole) @ language.unit(parts).T)[0, 0] > 0.99, unit
+def plain_vector(text, dimension):
+    """The sum of bound n-grams, one at a time, from the definition."""
+    letters = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    line = "".join(c if c.isalpha() else "\n" for c in letters)
+    codes = [0]
+    for c in line + "\n":
+        if c != "\n" or codes[-1]:
+            codes.append(0 if c == "\n" else ord(c))
+    v = {c: language.letter_vector(c, dimension) for c in set(codes)}
+    return sum((np.roll(v[codes[i]], 2) * np.roll(v[codes[i + 1]], 1) * v[codes[i + 2]] for i in range(len(codes) - 2)), np.zeros(dimension))
+
+
+def test_parts_of_long_texts_and_of_many_unlike_n_grams_add_up(monkeypatch):
+    rnd = np.random.default_rng(3)
+    texts = ["the und   être " * 60, "".join(map(chr, rnd.integers(0x4E00, 0x9000, 400))), "", "a", "12  34", "ab" + " " * 40 + "cd, É!" * 9, None]
+    want = np.array([plain_vector(t or "", 64) if any(c.isalpha() for c in t or "") else np.zeros(64) for t in texts])
+    for chunk, unlike in ((1 << 20, 1 << 14), (16, 7), (17, 64), (3, 1)):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        monkeypatch.setattr(language, "UNLIKE", unlike)
+        assert np.array_equal(language.text_vectors(texts, 64), want)
+
+
+def test_the_query_against_plain_arithmetic(spark, tmp_path):
+    from almagest.llm.queries import op7_language_id
+
+    data = [*rows(60), (None, "le est dans", None), (5, "der die und", "de"), (5, "der die und", "de")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = language.DIMENSION
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0
+    real = lambda t: any(c.isalpha() for c in t or "")
+    one = lambda v: v / np.sqrt((v * v).sum()) if v.any() else v
+    learned = [(t, lang) for k, t, lang in data if lang is not None and t is not None and k is not None and not held(k)]
+    names = sorted({lang for _, lang in learned})
+    profile = np.array([one(np.round(sum(one(plain_vector(t, d)) for t, x in learned if x == lang and real(t)), 6)) for lang in names])
+    want = []
+    for k, t, _ in data:
+        cosine = profile @ one(plain_vector(t, d)) if real(t) else None
+        want.append((str(k), held(k), names[int(cosine.argmax())] if real(t) else "und", round(min(1.0, max(0.0, cosine.max())), 6) if real(t) else 0.0))
+    got = [(str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 6)) for r in op7_language_id(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_bundle_is_the_sum_of_bound_letters():
@@ -56,6 +89,12 @@ def test_empty_table(spark):
     assert language.predict(df, [], np.zeros((0, 8))).collect() == []
 
 
+def test_kept_columns_of_any_name_and_type(spark):
+    df = spark.createDataFrame([(1, "the of", [1.5], b"x", "y"), (None, None, None, None, None)], "doc_id long, text string, vectors array<double>, score binary, keep0 string")
+    out = language.predict(df.withColumnRenamed("score", "raw"), ["en"], language.unit(language.text_vectors(["the of"])), keep=["doc_id", "text", "vectors", "raw", "keep0"]).collect()
+    assert sorted((r.lang_pred, r.vectors, r.raw) for r in out) == [("en", [1.5], b"x"), ("und", None, None)]
+
+
 def test_stage_rejects_long_noise_and_unlearned_scripts_and_keeps_short_texts(spark):
     import corpus_pipeline
 

@@ -45,6 +45,15 @@ def test_secrets_against_brute_force(spark, tmp_path):
     assert got[6].n_assign == 0 and "private_key:16:47" in got[6].spans
 
 
+def test_many_matches_and_ids_of_any_type(spark):
+    """Starts come from running sums, however many matches a text has."""
+    for n in (1, 2, 3, 64, 65, 1000):
+        text = "".join(f"{'x' * (k % 7)} token=abcdefg{k % 10} " for k in range(n))
+        (r,) = scan(spark.createDataFrame([(f"id{n}", text)], "doc_id string, text string")).collect()
+        want = [(m.start(), m.end()) for m in re.finditer("token=abcdefg[0-9]", text)]
+        assert r.doc_id == f"id{n}" and [(s.start, s.end) for s in r.found if s.kind == "assign"] == want
+
+
 def test_secrets_empty_table_and_clashing_names(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert len(scan(spark.createDataFrame([(1, "a", 2), (1, "token=12345678", 3)], "doc_id long, text string, kinds int")).collect()) == 2
