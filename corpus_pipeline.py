@@ -24,17 +24,24 @@ FULL_GRAMS = 470
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go: no letters, no text, or letters no more like any learned profile than noise of their length."""
     labels, prototypes = language.learn(docs)
-    found = language.predict(docs, labels, prototypes, keep=docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name can clash with the result's
+    found = language.predict(plain, labels, prototypes, text_col=f"c{docs.columns.index('text')}", keep=plain.columns)
     least = LEAST_COSINE * F.sqrt(F.least(F.col("n_unlike") / FULL_GRAMS, F.lit(1.0)))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*plain.columns).toDF(*docs.columns)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, exact copies however short they are; so do documents of which nothing but blank lines is left, unless nothing was removed."""
-    found = lines.remove_repeated_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
-    left = found.filter((F.col("n_removed") == 0) | F.rlike("kept_text", F.lit(r"[^\x20\x09-\x0D]")))
-    values = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return left.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """Repeated lines go, exact copies however short they are; so do documents of which nothing but blank lines is left, unless nothing was removed.
+
+    Only id and text go through the operator; the other columns, whatever their names and types, are joined on again by row.
+    """
+    rows = numbered(docs, "rows")
+    found = lines.remove_repeated_lines(rows.select("doc_id", "text", ROW), carry=[ROW]).select(F.col(ROW).alias("_of"), "n_removed", "kept_text")
+    left = found.filter((F.col("n_removed") == 0) | F.rlike("kept_text", F.lit(r"[^\x20\x09-\x0D]")) | F.col("kept_text").isNull())
+    values = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    others = rows.select(ROW, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in values]).alias("_rest"))
+    joined = left.join(others, F.col("_of") == F.col(ROW))
+    return joined.select(*[(values[c].cast(docs.schema[c].dataType) if c in values else F.col("_rest")[c]).alias(c) for c in docs.columns])
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", stage_tokens),
 ]
 
-#: Learned profiles and the Viterbi search have no SQL; the pipeline is tested against a brute-force version.
+#: Learned profiles and the Viterbi search have no SQL; each stage is tested against a brute-force version of it, on what its predecessor kept.
 ORACLE_SQL: str | None = None
 
 
