@@ -63,7 +63,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = docs.select("doc_id", media.as_page(F.col("text"), F.sha2("payload", 256)).alias("html"))
     refs = media.references(media.sequences(pages, "doc_id", "html"))
     found = media.resolved(refs, media.stored_media(docs))
-    return compact(found.select(F.col("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    return compact(found.select(F.col("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,4 +44,34 @@ def test_query_on_a_fixture(spark, tmp_path):
         raw = (t or "").encode()
         full = raw.ljust(192 * max(1, -(-len(raw) // 192)))
         assert (got[k].n_bytes, got[k].payload_bytes, got[k].payload_sha256, got[k].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        pgm = b"P5\n192 %d\n255\n" % (len(full) // 192) + full
+        assert (got[k].media_bytes, got[k].media_sha256, got[k].feature) == (len(pgm), hashlib.sha256(pgm).hexdigest(), plain_feature(full))
+        assert (got[k].pos, got[k].caption) == (int(bool((t or "").strip())), str(len(raw)))  # behind the text, if there is any
     assert got[3].feature == got[4].feature and got[1].media_sha256 == got[5].media_sha256
+
+
+def plain_feature(samples):
+    """Mean, deviation and which of 8 x 8 areas are lighter than the mean, sample by sample."""
+    height = len(samples) // 192
+    mean = sum(samples) / len(samples)
+    deviation = max(0.0, sum(x * x for x in samples) / len(samples) - mean * mean) ** 0.5
+    edges = [k * height // 8 for k in range(9)]
+    bits = 0
+    for band in range(8):
+        a, z = edges[band], max(edges[band] + 1, edges[band + 1])
+        light = sum(samples[192 * a : 192 * z]) / (192 * (z - a))
+        for area in range(8):
+            column = sum(samples[192 * y + x] for y in range(height) for x in range(24 * area, 24 * area + 24)) / (24 * height)
+            bits = bits << 1 | (light + column > 2 * mean)
+    return f"{mean:.4f}:{deviation:.4f}:{bits:016x}"
+
+
+def test_empty_table_clashing_names_and_long_text(spark):
+    from almagest.llm import media as m
+
+    empty = spark.createDataFrame([], "page_id string, html string, digest string")
+    assert m.sequences(empty, "page_id", "html").collect() == [] and m.stored_media(spark.createDataFrame([], "payload binary")).collect() == []
+    long = "<p>" + "x " * 400_000 + '</p><img src="sha256:q" alt="c">'
+    pages = spark.createDataFrame([("a", long, "d"), ("a", long, "d"), (None, None, None)], "id string, sequence string, digest string")
+    refs = m.references(m.sequences(pages, "id", "sequence")).collect()
+    assert [(r.id, r.pos, r.digest, r.caption) for r in refs] == [("a", 1, "q", "c")] * 2
