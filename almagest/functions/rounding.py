@@ -1,54 +1,68 @@
-"""Is a difference explained by writing numbers as text? Python's decimal rounding differs from Spark's, so this is an Arrow UDF."""
+"""Is a difference explained by writing numbers as text? Python's decimal rounding differs from Spark's, so this is an Arrow UDF over whole columns."""
 
 from __future__ import annotations
 
-import math
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLACES = range(2, 8)
+# Decimal places or figures that are tried, and the relative errors under which a difference is negligible or a likely rounding.
+DIGITS = np.arange(2, 8)
+NEGLIGIBLE, LIKELY, ALIKE = 1e-7, 1e-5, 1e-12
+PLACES_FLOOR, FIGURES_FLOOR = 1e-10, 1e-100
+EXPLANATIONS = {
+    "non_float": "exact mismatch of a field that is no number with decimals",
+    "negligible": "numbers differ by less than 0.1 ppm",
+    "ascii_rounding": "the number was written with few decimals or figures: a limit of the text format, no loss of data",
+    "large_error": "more than the text format explains; look into it",
+}
+
+
+def _as_decimals(values: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """A row for each number of decimals: the values as text with that many decimals and back (the exact decimal value decides, as in printing)."""
+    return np.array([[float(f"{x:.{n}f}") if np.isfinite(x) else x for x in values] for n in digits]).reshape(len(digits), len(values))
 
 
-def _single(x: float) -> float | None:
-    try:
-        return struct.unpack("f", struct.pack("f", x))[0]
-    except OverflowError:
-        return None
+def _as_figures(values: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """A row for each number of significant figures."""
+    return np.array([[float(f"{x:.{n - 1}e}") if np.isfinite(x) else x for x in values] for n in digits]).reshape(len(digits), len(values))
 
 
-def _near(candidate: float, value: float, floor: float) -> bool:
-    tolerance = 1e-12 * max(abs(value), floor)
-    single = _single(candidate)
-    return abs(candidate - value) < tolerance or (single is not None and abs(single - value) < tolerance)
+def _met(candidates: np.ndarray, values: np.ndarray, floor: float) -> np.ndarray:
+    """Of each column: is the value one of the candidates, or one of them in single precision?"""
+    within = ALIKE * np.maximum(np.abs(values), floor)
+    with np.errstate(over="ignore", invalid="ignore"):
+        single = candidates.astype(np.float32).astype(np.float64)
+        near = (np.abs(candidates - values) < within) | (np.isfinite(single) & (np.abs(single - values) < within))
+    return near.any(axis=0)
 
 
-def rounded_to_places(original: float, value: float) -> bool:
-    return any(_near(round(original, n), value, 1e-10) for n in PLACES)
+def rounded_to_places(original: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return _met(_as_decimals(original, DIGITS), value, PLACES_FLOOR)
 
 
-def rounded_to_figures(original: float, value: float) -> bool:
-    if not original or not value or not math.isfinite(original):
-        return False
-    top = math.floor(math.log10(abs(original)))
-    return any(_near(round(original * 10.0 ** (n - 1 - top)) / 10.0 ** (n - 1 - top), value, 1e-100) for n in PLACES)
+def rounded_to_figures(original: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return (original != 0) & (value != 0) & np.isfinite(original) & _met(_as_figures(original, DIGITS), value, FIGURES_FLOOR)
 
 
-def category(original: float | None, value: float | None, error: float | None) -> str:
-    """non_float, negligible (under 1e-7), ascii_rounding or large_error."""
-    if error is None or original is None or value is None or pd.isna(error) or pd.isna(original) or pd.isna(value):
-        return "non_float"
-    if error < 1e-7:
-        return "negligible"
-    return "ascii_rounding" if error < 1e-5 or rounded_to_places(original, value) or rounded_to_figures(original, value) else "large_error"
+def categories(original: np.ndarray, value: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """non_float, negligible (under 1e-7), ascii_rounding or large_error of each element; NaN stands for no number."""
+    number = ~(np.isnan(original) | np.isnan(value) | np.isnan(error))
+    out = np.full(len(original), "non_float", dtype=object)
+    out[number] = "large_error"
+    out[number & (error < LIKELY)] = "ascii_rounding"
+    out[number & (error < NEGLIGIBLE)] = "negligible"
+    open_ = np.flatnonzero(number & (error >= LIKELY))
+    explained = rounded_to_places(original[open_], value[open_]) | rounded_to_figures(original[open_], value[open_])
+    out[open_[explained]] = "ascii_rounding"
+    return out
 
 
 @F.pandas_udf(T.StringType())
 def _category(original: pd.Series, value: pd.Series, error: pd.Series) -> pd.Series:
-    return pd.Series([category(*x) for x in zip(original, value, error, strict=True)], dtype=object)
+    return pd.Series(categories(*(x.to_numpy(dtype=np.float64, na_value=np.nan) for x in (original, value, error))), dtype=object)
 
 
 def difference_category(original: Column, value: Column, error: Column) -> Column:
@@ -59,6 +73,12 @@ def expected_rounding(kind: Column) -> Column:
     return kind.isin("negligible", "ascii_rounding")
 
 
+def explanation(kind: Column, error: Column) -> Column:
+    """What a category says about its difference, with the relative error if there is one."""
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair]), kind)
+    return F.when(error.isNotNull(), F.concat(text, F.lit(" (relative error "), F.format_string("%.2e", error), F.lit(")"))).otherwise(text)
+
+
 def relative_error(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-300))
 

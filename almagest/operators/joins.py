@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,11 +49,11 @@ def with_log_ordinal(index: DataFrame, unknown: DataFrame | None = None) -> Data
 
 
 def with_table_ordinal(table: DataFrame, log: str) -> DataFrame:
-    """A log table with its name and the ordinal of its rows, which index and table share whatever their ids mean."""
-    return table.withColumn("log", F.lit(log)).withColumn("ordinal", F.row_number().over(Window.partitionBy("log").orderBy("sequence_id")) - 1)
+    """A log table with its name and the ordinal of its rows, which index and table share whatever their ids mean; no window over the whole table."""
+    return running_ordinal(table, ["sequence_id"], "sequence_id").withColumn("log", F.lit(log))
 
 
-def running_ordinal(df: DataFrame, order: Sequence[str], bucket: str, name: str = "ordinal", width: int = 1 << 16) -> DataFrame:
+def running_ordinal(df: DataFrame, order: Sequence[str | Column], bucket: str, name: str = "ordinal", width: int = 1 << 16) -> DataFrame:
     """``df`` with the place of each row in the order given, without one window over all rows.
 
     ``bucket`` is a whole number that does not fall along the order; rows are numbered inside ranges of it, and the ranges' counts give their offsets.
@@ -62,3 +63,32 @@ def running_ordinal(df: DataFrame, order: Sequence[str], bucket: str, name: str
     offsets = counts.withColumn("_offset", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return part.withColumn("_inside", inside).join(offsets.select("_part", F.coalesce("_offset", F.lit(0)).alias("_offset")), "_part").withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_part", "_inside", "_offset")
+
+
+@dataclass(frozen=True)
+class Key:
+    """A sort key: nulls are last in either direction."""
+
+    name: str
+    ascending: bool = True
+
+    @property
+    def column(self) -> Column:
+        col = F.col(f"`{self.name}`")
+        return col.asc_nulls_last() if self.ascending else col.desc_nulls_last()
+
+
+def positions(df: DataFrame, order: Sequence[Key], name: str = "pos", ranges: int = 200) -> DataFrame:
+    """``df`` with the place (from 1) of each row in the order given, without a window over all rows.
+
+    A first key of numbers is cut into at most ``ranges`` ranges by a bounded sketch of its values (the bounds decide only how evenly rows are dealt); rows are
+    numbered inside their range, and the ranges' counts give the offsets. A hot value's rows share a range, as they share a place but for the later keys.
+    """
+    first = order[0]
+    value = F.col(f"`{first.name}`").cast("double")
+    found = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+    bounds = sorted(set(found or []))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
+    place = F.when(value.isNull(), len(bounds) + 1).otherwise(place if first.ascending else len(bounds) - place)
+    rows = running_ordinal(df.withColumn("_range", place.cast("long")), [k.column for k in order], "_range", name, width=1)
+    return rows.withColumn(name, F.col(name) + 1).drop("_range")

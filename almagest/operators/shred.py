@@ -82,9 +82,9 @@ def assemble(table: DataFrame, children: dict[str, object]) -> DataFrame:
     return out
 
 
-def flattened_header(df: DataFrame, header: str = "header") -> list[Column]:
-    """Columns of a header struct with its name in front."""
-    return [F.col(f"{header}.`{c.name}`").alias(f"{header}_{c.name}") for c in df.schema[header].dataType]
+def expanded(value: Column, kind: T.StructType, prefix: str) -> list[Column]:
+    """A struct's fields as columns with a prefix."""
+    return [value[f.name].alias(f"{prefix}{f.name}") for f in kind]
 
 
 def enum_columns(value: Column, name: str, names: dict[int, str]) -> list[Column]:

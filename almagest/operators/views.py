@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.functions import codes
@@ -39,10 +39,6 @@ def mercator_y(lat: Column) -> Column:
     return F.log(F.tan((90 + lat) * F.lit(3.141592653589793) / 360)) / (F.lit(3.141592653589793) / 180) * MERCATOR / 180
 
 
-def latitude_of(y: Column) -> Column:
-    return F.degrees(2 * F.atan(F.exp(y / MERCATOR * F.lit(3.141592653589793))) - F.lit(3.141592653589793) / 2)
-
-
 def observations(top: DataFrame, obs: DataFrame) -> DataFrame:
     """Each observation with its epoch's time: an equi-join on the parent's id."""
     epoch = top.select(F.col("sequence_id").alias("_epoch"), "header_milliseconds")
@@ -146,13 +142,24 @@ def sky_track(df: DataFrame) -> DataFrame:
     return df.select("*", (90 - F.col("elevation")).alias("radius"), F.radians("azimuth").alias("theta"), system.alias("system"), codes.satellite_label(prefix, F.col("prn")).alias("label"))
 
 
+def track_order(track: DataFrame) -> DataFrame:
+    """A sky track with ``step``, the place of each point on its satellite's way (from 1)."""
+    way = Window.partitionBy("system_type", "prn").orderBy("header_milliseconds", "elevation", "azimuth")
+    return track.withColumn("step", F.row_number().over(way).cast("long"))
+
+
+def sky_peaks(track: DataFrame) -> DataFrame:
+    """Where each satellite stands highest, the earliest point of equally high ones."""
+    peaks = track.groupBy("system_type", "prn").agg(F.max_by(F.struct("radius", "theta", "label"), F.struct("elevation", -F.col("header_milliseconds"))).alias("peak"))
+    return peaks.select("system_type", "prn", "peak.*")
+
+
 def skyview(rec: Recording) -> dict[str, DataFrame] | None:
     parts = [_table(rec, "SATVIS2"), _table(rec, "SATVIS2", "sat_vis_list"), _table(rec, "SATVIS2", "sat_vis_list", "id")]
     if any(p is None for p in parts):
         return None
-    track = sky_track(sky_positions(*parts))
-    peaks = track.groupBy("system_type", "prn").agg(F.max_by(F.struct("radius", "theta", "label"), F.struct("elevation", -F.col("header_milliseconds"))).alias("peak"))
-    return {"track": track, "peaks": peaks.select("system_type", "prn", "peak.*"), "satellites": track.agg(F.count_distinct("system_type", "prn").alias("satellites"))}
+    track = track_order(sky_track(sky_positions(*parts)))
+    return {"track": track, "peaks": sky_peaks(track), "satellites": track.agg(F.count_distinct("system_type", "prn").alias("satellites"))}
 
 
 def position_sigma(df: DataFrame) -> DataFrame:

@@ -15,10 +15,34 @@ from pyspark.sql import functions as F
 
 from almagest.errors import FieldNotFoundError, InvalidRecordingError
 from almagest.operators.joins import with_log_ordinal, with_table_ordinal
+from almagest.operators.shred import Shredded, shred
 from almagest.plans.table import LogTable, Namespace, clean, database_order
 
 METADATA, UNKNOWN = "_metadata.json", "unknown_data.parquet"
-ARCHIVES = (".zip", ".gnsspq")
+#: Suffixes of archived recordings; ``Recording.open`` takes others.
+ARCHIVES = (".zip",)
+#: The folder of a streamed batch inside a table.
+BATCH = "batch"
+
+
+@dataclasses.dataclass(frozen=True)
+class SchemaNames:
+    """What a recording calls its id and time columns, where that differs from this package's names."""
+
+    sequence: str = "sequence_id"
+    parent: str = "parent_id"
+    week: str = "header_week"
+    milliseconds: str = "header_milliseconds"
+
+    def renamed(self, df: DataFrame) -> DataFrame:
+        ours = SchemaNames()
+        names = {getattr(self, f.name): getattr(ours, f.name) for f in dataclasses.fields(self)}
+        return df.withColumnsRenamed({a: b for a, b in names.items() if a != b and a in df.columns})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where executors and driver both read and write: the folder that the cluster names, else the warehouse."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 class Files:
@@ -49,6 +73,22 @@ class Files:
     def put(self, local: str, path: str) -> None:
         self._fs.copyFromLocalFile(self._path(f"file://{local}"), self._path(path))
 
+    def fetch(self, path: str, local: str) -> None:
+        self._fs.copyToLocalFile(False, self._path(path), self._path(f"file://{local}"), True)
+
+    def write_text(self, path: str, text: str) -> None:
+        with tempfile.NamedTemporaryFile("w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            self._fs.mkdirs(self._path(path).getParent())
+            self._fs.copyFromLocalFile(False, True, self._path(f"file://{f.name}"), self._path(path))
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def names(self, path: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path))) if self.exists(path) else []
+
 
 def unpacked(spark: SparkSession, archive: str) -> str:
     """The archive's recording in a folder that executors see: the shared folder if one is set."""
@@ -59,10 +99,8 @@ def unpacked(spark: SparkSession, archive: str) -> str:
     if not inside:
         raise InvalidRecordingError(f"{archive} holds no recording")
     found = min(inside, key=len)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        return found
-    there = f"{shared.rstrip('/')}/recording-{uuid.uuid4().hex}/{Path(found).name}"
+    shared = shared_folder(spark)
+    there = f"{shared}/recording-{uuid.uuid4().hex}/{Path(found).name}"
     Files(spark, shared).put(found, there)
     return there
 
@@ -73,6 +111,16 @@ def stream(name: str | None, rows: DataFrame, value: str) -> Iterator[tuple[int,
         yield r["sequence_id"], name, r[value]
 
 
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """A table's rows; of a streamed one all batches, whose columns are merged."""
+    df = spark.read.option("mergeSchema", True).parquet(path)
+    return df.drop(BATCH)
+
+
+def from_tree(name: str, tree: Shredded, children: dict[str, LogTable]) -> LogTable:
+    return LogTable(name, clean(tree.table), {**{k: from_tree(k, t, {}) for k, t in tree.children.items()}, **children})
+
+
 @dataclasses.dataclass(frozen=True)
 class Recording:
     index: DataFrame
@@ -81,30 +129,35 @@ class Recording:
     whole_index: DataFrame | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, logs: Sequence[str] | None = None) -> Recording:
-        """Lazy: only footers are read. ``logs`` restricts the tables and pushes the names down to the index scan."""
+    def open(cls, spark: SparkSession, path: str, logs: Sequence[str] | None = None, names: SchemaNames = SchemaNames(), archives: Sequence[str] = ARCHIVES) -> Recording:
+        """Lazy: only footers are read. ``logs`` restricts the tables and pushes the names down to the index scan.
+
+        ``names`` tells how the recording calls its columns; ``archives`` are the suffixes of files that hold a recording. Streamed recordings open alike:
+        nested columns of a table become its child tables.
+        """
         path = str(path)
-        if path.endswith(ARCHIVES):
+        if path.endswith(tuple(archives)):
             path = unpacked(spark, path)
         files = Files(spark, path)
         name = files.root.rsplit("/", 1)[-1]
         place = next((p for p in (f"{path}/{name}.parquet", f"{path}/log_table.parquet") if files.exists(p)), None)
         if place is None:
             raise InvalidRecordingError(f"{path} has no index table")
-        index = spark.read.parquet(place)
+        index = names.renamed(scanned(spark, place))
         if logs is not None:
             index = index.filter(F.col("log").isin(list(logs)))
-        tables = {d: t for d in files.folders(path) if (logs is None or d in logs) and (t := cls._table(spark, files, path, d))}
-        unknown = spark.read.parquet(f"{path}/{UNKNOWN}") if files.exists(f"{path}/{UNKNOWN}") else None
+        tables = {d: t for d in files.folders(path) if (logs is None or d in logs) and (t := cls._table(spark, files, path, d, names))}
+        unknown = names.renamed(scanned(spark, f"{path}/{UNKNOWN}")) if files.exists(f"{path}/{UNKNOWN}") else None
         return cls(index, tables, unknown, index)
 
     @classmethod
-    def _table(cls, spark: SparkSession, files: Files, above: str, name: str) -> LogTable | None:
+    def _table(cls, spark: SparkSession, files: Files, above: str, name: str, names: SchemaNames) -> LogTable | None:
         here = f"{above}/{name}"
         if not files.exists(f"{here}/{name}.parquet"):
             return None
-        children = {d: t for d in files.folders(here) if (t := cls._table(spark, files, here, d))}
-        return LogTable(name, clean(spark.read.parquet(f"{here}/{name}.parquet")), children)
+        children = {d: t for d in files.folders(here) if (t := cls._table(spark, files, here, d, names))}
+        rows = names.renamed(scanned(spark, f"{here}/{name}.parquet"))
+        return from_tree(name, shred(rows), children)
 
     @property
     def subtables(self) -> Namespace:
@@ -130,7 +183,9 @@ class Recording:
 
     def placed(self, log: str) -> DataFrame:
         """The index rows of a log with its entries, joined by ordinal."""
-        rows = with_table_ordinal(self.tables[log].entries().dropDuplicates(["sequence_id"]), log)
+        entries = self.tables[log].entries()
+        first = entries.groupBy("sequence_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in entries.columns if c != "sequence_id"])).alias("e")).select("sequence_id", "e.*")  # of rows with one id always the same one
+        rows = with_table_ordinal(first, log)
         rows = rows.select(F.col("ordinal").alias("at"), F.struct("*").alias("entry"))
         ours = with_log_ordinal(self.whole_index, self.unknown).filter(F.col("log") == log)
         return ours.join(rows, F.col("ordinal") == F.col("at")).select("sequence_id", "log", "entry")

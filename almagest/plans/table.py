@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from almagest.errors import FieldNotFoundError
 from almagest.functions.aggregates import aggregated, described, operation
 from almagest.functions.gpstime import GpsTime
+from almagest.operators.joins import Key, positions
 from almagest.operators.shred import PARENT, SEQUENCE, assemble
 
 WEEK, MS = "header_week", "header_milliseconds"
@@ -92,13 +93,14 @@ class FieldHandle:
 
 @dataclasses.dataclass(frozen=True)
 class LogTable:
-    """``base``: all rows; ``current``: those of this view; ``within``: the restriction that a reset keeps (a parent's rows)."""
+    """``base``: all rows; ``current``: those of this view; ``within``: the restriction that a reset keeps (a parent's rows); ``order``: that of its rows."""
 
     name: str
     base: DataFrame
     children: dict[str, LogTable] = dataclasses.field(default_factory=dict)
     current: DataFrame | None = None
     within: DataFrame | None = None
+    order: tuple[Key, ...] = (Key(SEQUENCE),)
 
     def __post_init__(self) -> None:
         if self.current is None:
@@ -134,18 +136,18 @@ class LogTable:
 
     # Views
 
-    def _view(self, current: DataFrame, within: DataFrame | None = None) -> LogTable:
+    def _view(self, current: DataFrame, within: DataFrame | None = None, kept_order: bool = True) -> LogTable:
         ids = current.select(F.col(SEQUENCE).alias("_id"))
         children = {k: c._inside(ids) for k, c in self.children.items()}
-        return LogTable(self.name, self.base, children, current, self.within if within is None else within)
+        return LogTable(self.name, self.base, children, current, self.within if within is None else within, self.order if kept_order else (Key(SEQUENCE),))
 
     def _inside(self, ids: DataFrame) -> LogTable:
         rows = self.base.join(ids, self.base[PARENT] == ids["_id"], "left_semi")
-        return self._view(rows, rows)
+        return self._view(rows, rows, False)
 
     def reset_filters(self) -> LogTable:
         start = self.base if self.within is None else self.within
-        return self._view(start)
+        return self._view(start, kept_order=False)
 
     def apply_filter_mask(self, mask: Column) -> LogTable:
         return self._view(self.current.filter(mask))
@@ -214,15 +216,21 @@ class LogTable:
 
     # Order
 
+    def _sorted(self, *keys: Key) -> LogTable:
+        order = (*keys, Key(SEQUENCE))
+        return dataclasses.replace(self, current=self.current.orderBy(*[k.column for k in order]), order=order)
+
     def sort_by(self, field: str, ascending: bool = True) -> LogTable:
         self._need(field)
-        col = F.col(f"`{field}`")
-        return dataclasses.replace(self, current=self.current.orderBy(col.asc_nulls_last() if ascending else col.desc_nulls_last(), SEQUENCE))
+        return self._sorted(Key(field, ascending))
 
     def sort_by_time(self, ascending: bool = True) -> LogTable:
         self._need_time()
-        keys = [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in (WEEK, MS)]
-        return dataclasses.replace(self, current=self.current.orderBy(*keys, SEQUENCE))
+        return self._sorted(Key(WEEK, ascending), Key(MS, ascending))
+
+    def positions(self) -> DataFrame:
+        """The current rows with ``pos``, the place of each in this table's order."""
+        return positions(self.current, self.order)
 
     # Summaries
 
@@ -283,10 +291,18 @@ def clean(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+DATABASE_ORDER = (Key(WEEK), Key(MS), Key(SEQUENCE))
+
+
 def database_order(index: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """The index with ``pos``-giving time columns of each message's log row, unmatched ones last."""
+    """The index with the time columns of each message's log row, in the order of time, unmatched ones last."""
     parts = [t.select("sequence_id", WEEK, MS) for t in tables.values() if {WEEK, MS} <= set(t.columns)]
     if not parts:
         raise FieldNotFoundError("no log has time columns")
     times = reduce(DataFrame.unionByName, parts)
-    return index.join(times, "sequence_id", "left").orderBy(F.col(WEEK).asc_nulls_last(), F.col(MS).asc_nulls_last(), "sequence_id")
+    return index.join(times, "sequence_id", "left").orderBy(*[k.column for k in DATABASE_ORDER])
+
+
+def database_positions(index: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The same with ``pos``, the place of each message."""
+    return positions(database_order(index, tables), DATABASE_ORDER)

@@ -5,7 +5,9 @@ little-endian bytes. The payload is JSON: {"name": ..., "header": {...}, "body":
 is not part of this package; a ``Decoder`` for them takes the place of ``JsonDecoder``.
 
 The source is splittable: a file is cut into equal slices, and a slice owns the frames that start in it. Bytes that are no frame are skipped;
-a frame whose payload cannot be decoded becomes a row without body, with its payload.
+a frame whose payload cannot be decoded becomes a row without body, with its payload. A decoder is taken by name (``decoders``), so others plug in.
+
+Abbreviated ASCII messages, two lines that begin with ``<`` (name and header fields, then body fields), are found by ``ascii_messages``.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SYNC = b"\xaa\x44\x12"
 HEAD = 8
@@ -47,6 +51,10 @@ def raw_frame(payload: bytes) -> bytes:
     return SYNC + b"\x01" + struct.pack("<I", len(payload)) + payload + struct.pack("<I", zlib.crc32(payload))
 
 
+#: Decoders by the name that the option ``decoder`` gives; a cluster's workers must be able to import what is registered here.
+decoders: dict[str, Callable[[], Decoder]] = {"json": JsonDecoder}
+
+
 class Boundaries:
     """Splits a file: slice i holds the frames that start in its bytes. Another splitter may snap to its own marks."""
 
@@ -55,49 +63,70 @@ class Boundaries:
         return [(a, min(size, a + step)) for a in range(0, size, step)]
 
 
-def frames(f: pa.NativeFile, start: int, end: int, decoder: Decoder, chunk: int = 1 << 16) -> Iterator[tuple]:
-    """Rows of the frames that start in start..end-1; resynchronises after garbage."""
-    size = f.size()
-    base, buf = start, b""
+class Frames:
+    """The whole frames that start in start..end-1 of a file, resynchronised after garbage; iterates (offset, payload).
 
-    def fill(upto: int) -> None:
-        nonlocal buf
-        need = min(upto, size) - (base + len(buf))
+    Afterwards ``safe`` is how far the file has been dealt with: before a frame that it holds only in part, behind everything else.
+    """
+
+    def __init__(self, f: pa.NativeFile, start: int, end: int, chunk: int = 1 << 16) -> None:
+        self.file, self.start, self.end, self.chunk = f, start, end, chunk
+        self.size = f.size()
+        self.base, self.buf = start, b""
+        self.safe = start
+
+    def _have(self, upto: int) -> None:
+        need = min(upto, self.size) - (self.base + len(self.buf))
         if need > 0:
-            f.seek(base + len(buf))
-            buf += f.read(max(need, min(chunk, size - base - len(buf))))
-
-    at = start
-    while at < end:
-        fill(at + HEAD)
-        found = buf.find(SYNC, at - base)
-        if found < 0:
-            at = max(at + 1, base + len(buf) - len(SYNC) + 1)
-            if base + len(buf) >= size:
-                return
-            buf, base = buf[max(0, at - base) :], at
-            fill(at + chunk)
-            continue
-        at = base + found
-        if at >= end:
-            return
-        fill(at + HEAD)
-        head = buf[at - base : at - base + HEAD]
-        length = struct.unpack("<I", head[4:])[0] if len(head) == HEAD and head[3] == 1 else -1
-        if 0 <= length and at + HEAD + length + 4 <= size:
-            fill(at + HEAD + length + 4)
-            payload = buf[at - base + HEAD : at - base + HEAD + length]
-            if struct.unpack("<I", buf[at - base + HEAD + length : at - base + HEAD + length + 4])[0] == zlib.crc32(payload):
-                try:
-                    name, header, body = decoder.decode(payload)
-                    yield at, name, header, body, None
-                except (ValueError, KeyError, TypeError):
-                    yield at, UNKNOWN_LOG, None, None, payload
-                at += HEAD + length + 4
-                if at - base > chunk:
-                    buf, base = buf[at - base :], at
-                continue
-        at += 1
+            self.file.seek(self.base + len(self.buf))
+            self.buf += self.file.read(max(need, min(self.chunk, self.size - self.base - len(self.buf))))
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self._have(at + n)
+        return self.buf[at - self.base : at - self.base + n]
+
+    def _next_sync(self, at: int) -> int:
+        """Where the next sync bytes begin, or as much of them as the file still has; the file's end if nowhere."""
+        while at < self.end:
+            self._have(at + self.chunk)
+            found = self.buf.find(SYNC, at - self.base)
+            if found >= 0:
+                return self.base + found
+            known = self.base + len(self.buf)
+            if known >= self.size:
+                return next((k for k in range(max(at, known - len(SYNC) + 1), known) if SYNC.startswith(self.buf[k - self.base :])), self.size)
+            at = max(at, known - len(SYNC) + 1)
+            self.buf, self.base = self.buf[at - self.base :], at
+        return at
+
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        at, partial = self.start, None
+        while (at := self._next_sync(at)) < self.end:
+            head = self._bytes(at, HEAD)
+            length = struct.unpack("<I", head[4:])[0] if len(head) == HEAD and head[3] == 1 else -1
+            past = at + HEAD + length + 4
+            if len(head) < HEAD or (length >= 0 and past > self.size):
+                partial = at if partial is None else partial
+            elif length >= 0:
+                payload, check = self._bytes(at + HEAD, length), self._bytes(past - 4, 4)
+                if struct.unpack("<I", check)[0] == zlib.crc32(payload):
+                    partial = None
+                    yield at, payload
+                    at = past
+                    if at - self.base > self.chunk:
+                        self.buf, self.base = self.buf[at - self.base :], at
+                    continue
+            at += 1
+        self.safe = max(at, self.end) if partial is None else partial
+
+
+def frames(f: pa.NativeFile, start: int, end: int, decoder: Decoder, chunk: int = 1 << 16) -> Iterator[tuple]:
+    """Rows of the frames that start in start..end-1."""
+    for at, payload in Frames(f, start, end, chunk):
+        try:
+            yield at, *decoder.decode(payload), None
+        except (ValueError, KeyError, TypeError):
+            yield at, UNKNOWN_LOG, None, None, payload
 
 
 class Slice(InputPartition):
@@ -126,36 +155,45 @@ class FrameReader(DataSourceReader):
             yield from frames(f, part.start, part.end, self.decoder)
 
 
-class FrameStreamReader(SimpleDataSourceStreamReader):
-    """Reads what has been appended to the file since the last batch, whole frames only."""
+class FrameStreamReader(DataSourceStreamReader):
+    """What has been appended to the file since the last batch, whole frames only, in slices that the executors decode.
+
+    The driver looks for the last whole frame of a batch (at most ``maxbytespertrigger`` bytes) without decoding any; bytes that are no frame are passed over.
+    """
 
-    def __init__(self, options: dict, decoder: Decoder) -> None:
-        self.path, self.decoder = options["path"], decoder
+    def __init__(self, options: dict, decoder: Decoder, splitter: Boundaries) -> None:
+        self.path, self.decoder, self.splitter = options["path"], decoder, splitter
         self.most = int(options.get("maxbytespertrigger", 16 << 20))
+        self.slice_bytes = int(options.get("slicebytes", 4 << 20))
+        self.reached = 0
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        with _opened(self.path) as f:
-            rows = list(frames(f, start["at"], min(f.size(), start["at"] + self.most), self.decoder))
-        if not rows:
-            return iter(()), start
-        last = rows[-1]
+    def latestOffset(self) -> dict:
         with _opened(self.path) as f:
-            f.seek(last[0] + 4)
-            length = struct.unpack("<I", f.read(4))[0]
-        return iter(rows), {"at": last[0] + HEAD + length + 4}
+            found = Frames(f, self.reached, min(f.size(), self.reached + self.most))
+            for _ in found:
+                pass
+        self.reached = max(self.reached, found.safe)
+        return {"at": self.reached}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[Slice]:
+        self.reached = max(self.reached, end["at"])  # after a restart the checkpoint knows more than this reader
+        size = end["at"] - start["at"]
+        return [Slice(start["at"] + a, start["at"] + z) for a, z in self.splitter.slices(size, -(-size // self.slice_bytes))]
+
+    def read(self, part: Slice) -> Iterator[tuple]:
         with _opened(self.path) as f:
-            yield from frames(f, start["at"], end["at"], self.decoder)
+            yield from frames(f, part.start, part.end, self.decoder)
+
+    def commit(self, end: dict) -> None:
+        self.reached = max(self.reached, end["at"])
 
 
 class FramedLog(DataSource):
-    """``spark.read.format("framedlog").load(path)``; options: path, slicebytes, maxbytespertrigger."""
+    """``spark.read.format("framedlog").load(path)``; options: path, decoder (a registered name), slicebytes, maxbytespertrigger."""
 
-    decoder: Decoder = JsonDecoder()
     splitter = Boundaries()
 
     @classmethod
@@ -165,8 +203,31 @@ class FramedLog(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def _decoder(self) -> Decoder:
+        return decoders[self.options.get("decoder", "json")]()
+
     def reader(self, schema: object) -> FrameReader:
-        return FrameReader(dict(self.options), self.decoder, self.splitter)
+        return FrameReader(dict(self.options), self._decoder(), self.splitter)
+
+    def streamReader(self, schema: object) -> FrameStreamReader:
+        return FrameStreamReader(dict(self.options), self._decoder(), self.splitter)
+
+
+#: Fixed value: a name and its header fields on a line, body fields on the next, which is indented.
+ASCII_MESSAGE = r"(?s)<([A-Z][A-Z0-9]+) ([^\r\n]+)\r\n<[ ]+([^\r\n]+)\r\n"
+
+
+def ascii_messages(spark: SparkSession, path: str) -> DataFrame:
+    """file, ordinal (from 0, in order of the file), log, header and body (lists of fields) of every abbreviated ASCII message; other bytes are passed over.
+
+    A file is one row here, so files are the unit of work: this is for rebuilt logs, not for recordings of any size.
+    """
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    found = raw.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(ASCII_MESSAGE), F.lit(0))).alias("ordinal", "m"))
+    part = lambda k: F.regexp_extract("m", ASCII_MESSAGE, k)
+    fields = lambda c: F.regexp_extract_all(c, F.lit(r'"[^"]*"|[^ ]+'), F.lit(0))
+    return found.select("file", "ordinal", part(1).alias("log"), fields(part(2)).alias("header"), fields(part(3)).alias("body"))
+
 
-    def simpleStreamReader(self, schema: object) -> FrameStreamReader:
-        return FrameStreamReader(dict(self.options), self.decoder)
+def ascii_frame(name: str, header: Sequence[object], body: Sequence[object]) -> bytes:
+    return f"<{name} {' '.join(map(str, header))}\r\n<     {' '.join(map(str, body))}\r\n".encode("latin-1")

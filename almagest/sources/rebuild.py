@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 
 from almagest.errors import RebuildError
 from almagest.operators.shred import PARENT
-from almagest.plans.catalog import Recording, stream
+from almagest.plans.catalog import Files, Recording, stream
 from almagest.sources.frames import frame, raw_frame
 
+#: The header fields that a message is made with; others are derived when it is encoded.
+HEADER_FIELDS = ("message_type", "port_address", "sequence", "idle_time", "time_status", "week", "milliseconds", "receiver_status", "receiver_sw_version")
+RAW = "_raw"
+
 
 def _plain(value: object) -> object:
     if isinstance(value, list):
@@ -16,13 +21,31 @@ def _plain(value: object) -> object:
         keyed = len(rows) == 1 and isinstance(rows[0], dict) and rows[0] and all(k.startswith("key_") for k in rows[0])
         return list(rows[0].values()) if keyed else rows
     if hasattr(value, "asDict"):
-        return {k: _plain(v) for k, v in value.asDict().items() if k not in ("sequence_id", PARENT) and v is not None}
+        return with_raw({k: _plain(v) for k, v in value.asDict().items() if k not in ("sequence_id", PARENT) and v is not None})
     return value
 
 
-def rebuild(rec: Recording, out: str) -> int:
+def with_raw(fields: dict) -> dict:
+    """A field that is kept as a name beside its number gets the number back."""
+    return {k: fields.get(k + RAW, v) for k, v in fields.items() if not (k.endswith(RAW) and k.removesuffix(RAW) in fields)}
+
+
+def header_of(fields: dict, allowed: tuple[str, ...] | None = None) -> dict:
+    """The header's fields; whole numbers but for milliseconds, and other values as they are. ``allowed`` names the only ones to keep."""
+    out = {}
+    for k, v in fields.items():
+        name = k.removeprefix("header_")
+        if name != k and (allowed is None or name in allowed):
+            whole = isinstance(v, float) and v.is_integer() and name != "milliseconds"
+            out[name] = int(v) if whole else float(v) if name == "milliseconds" else v
+    return out
+
+
+def rebuild(rec: Recording, out: str, header_fields: tuple[str, ...] | None = None) -> int:
     """Writes one frame for each index row and returns their number; unknown payloads are copied, a null payload is empty.
 
+    ``out`` may be in any store; ``header_fields`` (such as ``HEADER_FIELDS``) restricts headers to what an encoder takes.
+
     The logs and the payloads are streamed in order and merged by id, so the driver holds one row of each at a time.
     """
     streams = [stream(name, rec.placed(name), "entry") for name in rec.tables]
@@ -30,7 +53,8 @@ def rebuild(rec: Recording, out: str) -> int:
         streams.append(stream(None, rec.unknown, "payload"))
     parts = heapq.merge(*streams, key=lambda x: x[0])
     written = 0
-    with open(out, "wb") as f:
+    far = "://" in out
+    with tempfile.NamedTemporaryFile("wb") if far else open(out, "wb") as f:
         for row in rec.whole_index.orderBy("sequence_id").toLocalIterator():
             place, log, what = next(parts, (None, None, None))
             if place != row.sequence_id:
@@ -39,7 +63,9 @@ def rebuild(rec: Recording, out: str) -> int:
                 f.write(raw_frame(bytes(what or b"")))
             else:
                 fields = _plain(what)
-                header = {k.removeprefix("header_"): v for k, v in fields.items() if k.startswith("header_")}
-                f.write(frame(log, header, {k: v for k, v in fields.items() if not k.startswith("header_") and k not in ("log", "ordinal")}))
+                f.write(frame(log, header_of(fields, header_fields), {k: v for k, v in fields.items() if not k.startswith("header_") and k not in ("log", "ordinal")}))
             written += 1
+        if far:
+            f.flush()
+            Files(rec.whole_index.sparkSession, out).put(f.name, out)
     return written

@@ -4,29 +4,38 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.errors import RecordingExistsError
+from almagest.errors import RecordingExistsError, WriteError
 from almagest.operators.joins import running_ordinal
-from almagest.operators.shred import Shredded, shred
+from almagest.operators.shred import Shredded, enum_columns, expanded, shred
 from almagest.operators.verify import file_sha256
-from almagest.plans.catalog import METADATA, UNKNOWN
-from almagest.sources.frames import UNKNOWN_LOG, FramedLog
+from almagest.plans.catalog import METADATA, UNKNOWN, Files, shared_folder
+from almagest.progress import Progress, Tracker
+from almagest.sources.frames import SCHEMA, FramedLog, frame, raw_frame
+
+#: Field to the names of its numbers.
+Enums = dict[str, dict[int, str]]
 
 VERSIONS = {"schema_version": "1", "writer_version": "1.0.0"}
 
 
-def write_options(size: int) -> dict[str, str]:
-    """Rows for each file from the source's size: about 500 bytes a message, an eighth of a worker's share, 20 000 to 200 000 rows."""
-    workers = min(8, max(2, (os.cpu_count() or 2) - 1))
-    rows = min(200_000, max(20_000, size // 500 // (8 * workers)))
-    return {"compression": "zstd", "maxRecordsPerFile": str(200_000 if size > 1 << 30 else rows)}
+#: Bytes of decoded text for one file; Parquet files come out at about a quarter of it.
+FILE_BYTES = 512 << 20
+
+
+def write_options(rows: int, size: int) -> dict[str, str]:
+    """Files of about one size: as many rows as ``FILE_BYTES`` hold at the table's mean."""
+    return {"compression": "zstd", "maxRecordsPerFile": str(max(10_000, FILE_BYTES * rows // max(1, size)))}
 
 
 def json_schema(df: DataFrame, col: str) -> T.StructType:
@@ -49,12 +58,18 @@ def _widened(kind: T.DataType) -> T.DataType:
     return T.StringType() if isinstance(kind, (T.NullType, T.VariantType)) else kind
 
 
-def decoded(messages: DataFrame, log: str) -> DataFrame:
-    """sequence_id, header_* and body columns of one log."""
+def header_columns(col: str, kind: T.StructType) -> list[Column]:
+    """header_* columns; milliseconds are always doubles."""
+    return [c.cast("double").alias("header_milliseconds") if f.name == "milliseconds" else c for f, c in zip(kind, expanded(F.col(col), kind, "header_"), strict=True)]
+
+
+def decoded(messages: DataFrame, log: str, enums: Enums | None = None) -> DataFrame:
+    """sequence_id, header_* and body columns of one log; ``enums``: field to the names of its numbers, which become a name and a ``_raw`` column."""
     rows = messages.filter((F.col("log") == log) & F.col("body").isNotNull())
     head, body = json_schema(rows, "header"), json_schema(rows, "body")
     out = rows.select("sequence_id", F.from_json("header", head).alias("h") if len(head) else F.lit(None).alias("h"), F.from_json("body", body).alias("b") if len(body) else F.lit(None).alias("b"))
-    return out.select("sequence_id", *[F.col("h")[f.name].alias(f"header_{f.name}") for f in head], *[F.col("b")[f.name].alias(f.name) for f in body])
+    columns = [c for f in body for c in (enum_columns(F.col("b")[f.name], f.name, enums[f.name]) if enums and f.name in enums else [F.col("b")[f.name].alias(f.name)])]
+    return out.select("sequence_id", *header_columns("h", head), *columns)
 
 
 def _write_tree(tree: Shredded, at: str, name: str, options: dict, mode: str) -> None:
@@ -63,40 +78,130 @@ def _write_tree(tree: Shredded, at: str, name: str, options: dict, mode: str) ->
         _write_tree(below, f"{at}/{name}", child, options, mode)
 
 
-def write_recording(messages: DataFrame, out: str, overwrite: bool = False, size: int = 0, metadata: dict | None = None, on_table: Callable[[str, int, int], None] | None = None) -> str:
-    """``messages``: sequence_id, log, header (JSON), body (JSON), payload. Returns the recording's folder."""
-    meta = Path(out) / METADATA
-    if meta.exists() and not overwrite:
+def write_recording(messages: DataFrame, out: str, overwrite: bool = False, metadata: dict | None = None, tracker: Tracker | None = None, enums: dict[str, Enums] | None = None) -> str:
+    """``messages``: sequence_id, log, header (JSON), body (JSON), payload. Returns the recording's folder, in any store that Spark writes to.
+
+    The source is decoded once, into a staging table with a folder for each log, from which the tables are made; the metadata is written last.
+    """
+    spark, out = messages.sparkSession, str(out).rstrip("/")
+    files, name, staging = Files(spark, out), out.rsplit("/", 1)[-1], f"{out}/_staging"
+    if files.exists(f"{out}/{METADATA}") and not overwrite:
         raise RecordingExistsError(f"{out} holds a recording; overwrite it explicitly")
-    meta.unlink(missing_ok=True)
-    options, name = write_options(size), Path(out).name
-    logs = [r.log for r in messages.filter(F.col("body").isNotNull()).select("log").distinct().orderBy("log").collect()]  # as many as log types
-    for n, log in enumerate(logs):
-        _write_tree(shred(decoded(messages, log)), out, log, options, "overwrite")
-        if on_table:
-            on_table(log, n + 1, len(logs))
-    messages.select("sequence_id", "log").write.options(**options).mode("overwrite").parquet(f"{out}/{name}.parquet")
-    messages.filter(F.col("body").isNull()).select("sequence_id", "payload").write.options(**options).mode("overwrite").parquet(f"{out}/{UNKNOWN}")
-    meta.write_text(json.dumps({**(metadata or {}), "total_message_count": messages.count(), **VERSIONS}, indent=2))
+    files.delete(f"{out}/{METADATA}")
+    tell = tracker.emit if tracker else lambda *_, **__: None
+    tell(Progress("decode", 0, 1), force=True)
+    try:
+        messages.write.option("compression", "zstd").mode("overwrite").partitionBy("log").parquet(staging)
+        staged = spark.read.schema(messages.schema).parquet(staging)
+        size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+        facts = staged.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.count("body").alias("bodies"), F.sum(size("header") + size("body")).alias("bytes")).orderBy("log").collect()  # a row for each log type
+        known = [r for r in facts if r.bodies]
+        for n, r in enumerate(known):
+            _write_tree(shred(decoded(staged, r.log, (enums or {}).get(r.log))), out, r.log, write_options(r.bodies, r.bytes), "overwrite")
+            tell(Progress(r.log, n + 1, len(known)), force=n + 1 == len(known))
+        total = sum(r.n for r in facts)
+        plain = write_options(total, 16 * total)
+        staged.select("sequence_id", "log").write.options(**plain).mode("overwrite").parquet(f"{out}/{name}.parquet")
+        staged.filter(F.col("body").isNull()).select("sequence_id", "payload").write.options(**plain).mode("overwrite").parquet(f"{out}/{UNKNOWN}")
+    except Exception as e:
+        raise WriteError(f"writing {out} failed: {e}") from e
+    finally:
+        files.delete(staging)
+    files.write_text(f"{out}/{METADATA}", json.dumps({**(metadata or {}), "total_message_count": total, **VERSIONS}, indent=2))
     return out
 
 
 def read_messages(spark: SparkSession, path: str, slice_bytes: int = 64 << 20) -> DataFrame:
     """A framed log as messages, numbered in file order without a window over the whole file."""
     spark.dataSource.register(FramedLog)
-    rows = spark.read.format("framedlog").option("slicebytes", slice_bytes).load(path)
-    return running_ordinal(rows, ["offset"], "offset", "sequence_id", width=16 << 20).select("sequence_id", "log", "header", "body", "payload")
+    return numbered(spark.read.format("framedlog").option("slicebytes", min(slice_bytes, 1 << 62)).load(path))
+
+
+def numbered(rows: DataFrame, first: int = 0) -> DataFrame:
+    """Messages from frames, numbered in the order of their offsets from ``first`` on."""
+    out = running_ordinal(rows, ["offset"], "offset", "sequence_id", width=16 << 20)
+    return out.select((F.col("sequence_id") + first).alias("sequence_id"), "log", "header", "body", "payload")
 
 
-def convert(spark: SparkSession, source: str, out: str, overwrite: bool = False, archive: bool = False, **more: object) -> str:
+def convert(spark: SparkSession, source: str | Path, out: str, overwrite: bool = False, archive: bool = False, slice_bytes: int = 64 << 20, **more: object) -> str:
     """One file to one recording, with the file's fingerprint in the metadata."""
     if not isinstance(source, (str, Path)):
-        raise TypeError("convert takes a file; use the stream writer for records")
+        raise TypeError("convert takes a file; RecordingWriter takes records")
     size = os.path.getsize(source)
-    write_recording(read_messages(spark, str(source)), out, overwrite, size, {"source_filename": Path(source).name, "file_size": size, "sha256": file_sha256(str(source))}, **more)
+    write_recording(read_messages(spark, str(source), slice_bytes), out, overwrite, {"source_filename": Path(source).name, "file_size": size, "sha256": file_sha256(str(source))}, **more)
     return archived(out) if archive else out
 
 
+Record = tuple[str, dict, dict] | bytes
+
+
+class RecordingWriter:
+    """Writes a recording from a file, from records, or from any iterable of them; as a context manager it finishes on a clean exit only.
+
+    A record is (name, header, body), or bytes that nothing could decode. Records are kept in framed files of ``AT_ONCE`` records in the shared folder until
+    the recording is written, so the driver holds no more of them at a time.
+    """
+
+    AT_ONCE = 50_000
+
+    def __init__(self, spark: SparkSession, out: str, overwrite: bool = False, archive: bool = False, parallel: bool | None = None, progress: Callable[[Progress], None] | None = None, enums: dict[str, Enums] | None = None) -> None:
+        self.spark, self.out, self.overwrite, self.archive = spark, str(out), overwrite, archive
+        self.slice_bytes = (1 << 62) if parallel is False else (64 << 20)
+        self.more = {"tracker": Tracker(progress) if progress else None, "enums": enums}
+        self.parts, self._held, self._records = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}", [], 0
+
+    def write_to_db(self, source: str | Path | Iterable[Record]) -> str:
+        """What ``source`` names or yields, as one recording."""
+        if isinstance(source, (str, Path)):
+            return convert(self.spark, source, self.out, self.overwrite, self.archive, self.slice_bytes, **self.more)
+        self.consume(source)
+        return self.finish()
+
+    def write(self, record: Record) -> None:
+        self._held.append(raw_frame(record) if isinstance(record, bytes) else frame(*record))
+        self._records += 1
+        if len(self._held) >= self.AT_ONCE:
+            self._flush()
+
+    def consume(self, records: Iterable[Record]) -> int:
+        before = self._records
+        for r in records:
+            self.write(r)
+        return self._records - before
+
+    def _flush(self) -> None:
+        if self._held:
+            with tempfile.NamedTemporaryFile() as f:
+                f.write(b"".join(self._held))
+                f.flush()
+                Files(self.spark, self.parts).put(f.name, f"{self.parts}/{self._records - len(self._held):012d}")
+            self._held = []
+
+    def finish(self) -> str:
+        self._flush()
+        self.spark.dataSource.register(FramedLog)
+        frames_of = lambda n: self.spark.read.format("framedlog").load(f"{self.parts}/{n}").withColumn("offset", F.col("offset") + int(n) * (1 << 31))
+        names = Files(self.spark, self.parts).names(self.parts)
+        rows = reduce(DataFrame.unionByName, map(frames_of, names)) if names else self.spark.createDataFrame([], SCHEMA)
+        try:
+            out = write_recording(numbered(rows), self.out, self.overwrite, **self.more)
+        finally:
+            self.discard()
+        return archived(out) if self.archive else out
+
+    def discard(self) -> None:
+        Files(self.spark, self.parts).delete(self.parts)
+
+    def __enter__(self) -> RecordingWriter:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is None:
+            self.finish()
+        else:
+            self.discard()
+
+
 def archived(folder: str) -> str:
     """The folder as a sibling archive, entries sorted, with the folder's name in front."""
     root = Path(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from almagest.errors import FieldNotFoundError, InvalidRecordingError, RebuildError, RecordingExistsError
 from almagest.functions.aggregates import described
 from almagest.functions.gpstime import GpsTime, gps_milliseconds, gps_week
-from almagest.functions.rounding import category
+from almagest.functions.rounding import categories
 from almagest.operators import views
 from almagest.operators.joins import nearest, running_ordinal
 from almagest.operators.shred import Shredded, assemble, shred, union_promoted, with_offsets
@@ -58,10 +58,10 @@ def test_logs_restrict_what_is_opened(spark, mydb):
 def test_archive(spark, mydb, tmp_path):
     from pathlib import Path
 
-    with zipfile.ZipFile(tmp_path / "other.gnsspq", "w") as z:
+    with zipfile.ZipFile(tmp_path / "other.pack", "w") as z:
         for p in Path(mydb).rglob("*"):
             z.write(p, f"mydb/{p.relative_to(mydb)}")
-    assert len(Recording.open(spark, str(tmp_path / "other.gnsspq")).tables["RANGE"]) == 3
+    assert len(Recording.open(spark, str(tmp_path / "other.pack"), archives=(".pack",)).tables["RANGE"]) == 3
 
 
 def test_time(rec):
@@ -197,10 +197,12 @@ def test_verification(spark):
 
 
 def test_categories():
-    assert category(12345.678, 12300.0, 0.0037) == "ascii_rounding"
-    assert category(1.0, 1.0 + 1e-9, 1e-9) == "negligible"
-    assert category(1.0, 2.0, 1.0) == "large_error"
-    assert category(None, None, None) == "non_float"
+    import numpy as np
+
+    a = np.array([12345.678, 1.0, 1.0, np.nan, 51.123456789, 0.0, 1.1, 3.3e-9])
+    b = np.array([12300.0, 1.0 + 1e-9, 2.0, 1.0, 51.1235, 0.004, float(np.float32(1.1)), 3.0e-9])
+    got = categories(a, b, np.abs(a - b) / np.maximum(np.abs(a), 1e-300))
+    assert got.tolist() == ["ascii_rounding", "negligible", "large_error", "non_float", "ascii_rounding", "large_error", "negligible", "large_error"]
 
 
 def test_views(spark):
@@ -296,19 +298,30 @@ def test_convert_rebuild_and_verify(spark, logfile, tmp_path):
 
 
 def test_stream(spark, logfile, tmp_path):
-    from almagest.sources.frames import FramedLog
+    from almagest.sources.frames import FramedLog, frame
     from almagest.streaming.sink import RecordingStream
 
     spark.dataSource.register(FramedLog)
-    sink = RecordingStream(str(tmp_path / "live"))
-    stream = spark.readStream.format("framedlog").option("maxbytespertrigger", 2000).load(logfile)
+    sink = RecordingStream(spark, str(tmp_path / "live"))
+    live = tmp_path / "live.log"
+    whole = open(logfile, "rb").read() + b"x" * 5000
+    live.write_bytes(whole[:2500])  # ends inside a frame
+    stream = spark.readStream.format("framedlog").option("maxbytespertrigger", 2000).option("slicebytes", 500).load(str(live))
+    q = sink.start(stream, str(tmp_path / "ck"), once=False)
+    q.processAllAvailable()
+    live.write_bytes(whole)
+    q.processAllAvailable()
+    q.stop()
+    more = whole + frame("TIME", {"week": 2300, "milliseconds": 6.0}, {"utc": "y"})
+    live.write_bytes(more)  # behind 5000 bytes of garbage, more than a batch reads, and after a restart
     q = sink.start(stream, str(tmp_path / "ck"), once=False)
     q.processAllAvailable()
     q.stop()
     sink.finish()
-    index = spark.read.parquet(str(tmp_path / "live/_index"))
-    assert sorted(r.sequence_id for r in index.collect()) == list(range(42))
-    assert spark.read.parquet(str(tmp_path / "live/BESTPOS")).count() == 40
+    rec = Recording.open(spark, str(tmp_path / "live"))
+    assert sorted(r.sequence_id for r in rec.index.collect()) == list(range(43)) and rec.unknown.count() == 1
+    assert len(rec.tables["BESTPOS"]) == 40 and len(rec.tables["BESTPOS"].children["obs"]) == 80 and len(rec.tables["TIME"]) == 2
+    assert [r.lat for r in rec.tables["BESTPOS"].current.orderBy("sequence_id").collect()] == [m[2]["lat"] for m in MESSAGES[:40]]
 
 
 def test_command_line(mydb, tmp_path, capsys, spark):
