@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions import codes
@@ -16,10 +16,11 @@ from almagest.functions.aggregates import OPERATIONS, aggregated, described
 from almagest.functions.gpstime import GpsTime, gps_milliseconds, gps_week
 from almagest.functions.rounding import relative_error
 from almagest.operators import views
-from almagest.operators.joins import kth_occurrence, nearest, running_ordinal, with_log_ordinal
+from almagest.operators.joins import Key, kth_occurrence, nearest, positions, running_ordinal, with_log_ordinal
 from almagest.operators.shred import assemble, shred, union_promoted, with_offsets
-from almagest.operators.verify import by_log, overall
-from almagest.plans.table import LogTable, compared, database_order
+from almagest.operators import verify as v
+from almagest.plans.catalog import Recording
+from almagest.plans.table import LogTable, compared, database_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,8 +82,6 @@ def r(col: str, places: int = 6) -> object:
 
 @query("SELECT event_id AS sequence_id, event_type AS log FROM events WHERE event_type = 'click'")
 def flt_by_log(spark, d):
-    from almagest.plans.catalog import Recording
-
     index = event_log(spark, d).select("sequence_id", "log")
     return Recording(index, {}, None, index).filter_by_log("click").index
 
@@ -102,8 +101,8 @@ def flt_child_path(spark, d):
 
 
 for _op in OPERATIONS:
-    query(f"SELECT o_orderkey AS sequence_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING round({SQL_OPS[_op].format('l_quantity')}, 6) > 20)", f"flt_child_having_{_op}")(
-        lambda spark, d, _op=_op: order_table(spark, d).filter_entries("C_No", ">", 20.0000005, "obs", _op).current.select("sequence_id")
+    query(f"SELECT o_orderkey AS sequence_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING {SQL_OPS[_op].format('l_quantity')} > 20.25)", f"flt_child_having_{_op}")(
+        lambda spark, d, _op=_op: order_table(spark, d).filter_entries("C_No", ">", 20.25, "obs", _op).current.select("sequence_id")
     )
 
 
@@ -124,7 +123,53 @@ def _times(spark: SparkSession, d: str) -> LogTable:
 query(f"SELECT sequence_id FROM {EVENTS} WHERE {_FROM}", "flt_time_start")(lambda spark, d: _times(spark, d).filter_start_time(_START).current.select("sequence_id"))
 query(f"SELECT sequence_id FROM {EVENTS} WHERE {_TO}", "flt_time_end")(lambda spark, d: _times(spark, d).filter_end_time(_END).current.select("sequence_id"))
 query(f"SELECT sequence_id FROM {EVENTS} WHERE {_FROM} AND {_TO}", "flt_time_range")(lambda spark, d: _times(spark, d).filter_time_range(_START, _END).current.select("sequence_id"))
-query("SELECT l_orderkey AS parent_id, l_suppkey AS sv_prn FROM lineitem WHERE l_suppkey IN (1, 3, 7)", "flt_prn_isin")(lambda spark, d: children(spark, d).filter(F.col("sv_prn").isin(1, 3, 7)).select("parent_id", "sv_prn"))
+query(f"SELECT header_milliseconds, sv_prn, max(C_No) AS C_No FROM {JOINED} WHERE sv_prn IN (1, 3, 7) GROUP BY 1, 2, c_status", "flt_prn_isin")(lambda spark, d: views.satellite_series(views.observations(parents(spark, d), children(spark, d)), [1, 3, 7]).select("header_milliseconds", "sv_prn", "C_No"))
+
+
+@query("SELECT l_orderkey AS parent_id, l_quantity AS C_No FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_totalprice > 200000")
+def flt_reset_child(spark, d):
+    """A child's reset keeps its parent's restriction."""
+    kids = order_table(spark, d).filter_entries("price", ">", 200000).children["obs"]
+    return kids.filter_entries("C_No", ">", 30).reset_filters().current.select("parent_id", "C_No")
+
+
+@query("SELECT o_orderkey AS sequence_id FROM orders")
+def flt_reset(spark, d):
+    return order_table(spark, d).filter_entries("price", ">", 200000).filter_entries("C_No", ">", 48, "obs").reset_filters().current.select("sequence_id")
+
+
+@query("SELECT o_orderkey AS sequence_id FROM orders WHERE o_totalprice % 7 < 3 OR o_orderstatus = 'F'")
+def flt_mask(spark, d):
+    return order_table(spark, d).apply_filter_mask((F.col("price") % 7 < 3) | (F.col("status") == "F")).current.select("sequence_id")
+
+
+@query("SELECT o_orderkey AS sequence_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey HAVING avg(l_quantity) > 40.25)")
+def flt_having_current(spark, d):
+    """With ``use_current`` an aggregate sees the child rows of the view only."""
+    table = order_table(spark, d)
+    kept = LogTable(table.name, table.base, {"obs": table.children["obs"].filter_entries("C_No", ">", 10)})
+    return kept.filter_entries("C_No", ">", 40.25, "obs", "mean", use_current=True).current.select("sequence_id")
+
+
+@query("SELECT o_orderkey AS sequence_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) - min(l_quantity) > 40)")
+def flt_having_callable(spark, d):
+    return order_table(spark, d).filter_entries("C_No", ">", 40, "obs", lambda x: x.max() - x.min()).current.select("sequence_id")
+
+
+@query("SELECT what, replace(message, chr(34), chr(39)) AS message FROM (VALUES ('missing', 'orders has no field \"nothing\"'), ('in a child', 'orders has no field \"C_No\"; its child table \"obs\" has'), ('no time', 'orders has no time columns'), ('no child', 'orders has no child table \"kids\"')) AS t(what, message)")
+def flt_missing_fields(spark, d):
+    """What the errors of missing fields, times and children say."""
+    from almagest.errors import FieldNotFoundError
+
+    t = order_table(spark, d)
+    tries = {"missing": lambda: t.filter_entries("nothing", ">", 1), "in a child": lambda: t.filter_entries("C_No", ">", 1), "no time": lambda: t.filter_start_time(_START), "no child": lambda: t.filter_entries("x", ">", 1, "kids")}
+    found = []
+    for what, act in tries.items():
+        try:
+            act()
+        except FieldNotFoundError as e:
+            found.append((what, e.args[0]))
+    return spark.createDataFrame(found, "what string, message string")
 
 
 # Aggregates
@@ -175,12 +220,14 @@ def join_asof_nearest(spark, d):
     return nearest(clicks, e.filter("log = 'purchase'").select("user_id", "t", "value"), "t", ["user_id"], ["value"], 3_600_000).select("sequence_id", "value")
 
 
-@query("""WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'click'),
-b AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'purchase')
-SELECT a.event_id AS pos, b.event_id AS other FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.k = b.k""")
+@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN user_id % 5 > 0 THEN user_id END AS k FROM events),
+a AS (SELECT event_id, k, row_number() OVER (PARTITION BY k ORDER BY event_id) AS n FROM e WHERE event_type = 'click'),
+b AS (SELECT event_id, k, row_number() OVER (PARTITION BY k ORDER BY event_id) AS n FROM e WHERE event_type = 'purchase')
+SELECT a.event_id AS pos, b.event_id AS other FROM a LEFT JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.n = b.n""")
 def join_kth_occurrence(spark, d):
-    e = event_log(spark, d).select(F.col("sequence_id").alias("pos"), "user_id", "log")
-    return kth_occurrence(e.filter("log = 'click'"), e.filter("log = 'purchase'"), ["user_id"], "pos").select(F.col("l.pos").alias("pos"), F.col("r.pos").alias("other"))
+    """Null keys are equal."""
+    e = event_log(spark, d).select(F.col("sequence_id").alias("pos"), F.when(F.col("user_id") % 5 > 0, F.col("user_id")).alias("key"), "log")
+    return kth_occurrence(e.filter("log = 'click'"), e.filter("log = 'purchase'"), ["key"], "pos").select(F.col("l.pos").alias("pos"), F.col("r.pos").alias("other"))
 
 
 @query("SELECT event_id AS sequence_id, event_type AS log, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS ordinal FROM events WHERE event_id % 10 <> 0")
@@ -199,10 +246,12 @@ def assemble_nested(spark, d):
     return out.select("sequence_id", F.when(F.col("obs").isNotNull(), F.array_join(F.transform("obs", lambda o: o["q"].cast("string")), ",")).alias("quantities"))
 
 
-@query("SELECT vec_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, CAST(embedding[1] AS DOUBLE) AS key_0, CAST(embedding[2] AS DOUBLE) AS key_1 FROM embeddings")
+@query("SELECT vec_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, len(embedding) AS width, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000000) AS BIGINT)), ',') AS keys FROM embeddings")
 def shred_list_scalar(spark, d):
-    tree = shred(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
-    return tree.children["embedding"].table.select("parent_id", "sequence_id", F.col("key_0").cast("double").alias("key_0"), F.col("key_1").cast("double").alias("key_1"))
+    """All elements, each in a column of its own."""
+    tree = shred(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").children["embedding"].table
+    keys = [c for c in tree.columns if c.startswith("key_")]
+    return tree.select("parent_id", "sequence_id", F.lit(len(keys)).cast("long").alias("width"), F.concat_ws(",", *[F.round(F.col(k).cast("double") * 1000000).cast("long") for k in keys]).alias("keys"))
 
 
 @query("SELECT event_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -241,24 +290,46 @@ def distinct_pairs(spark, d):
 # Order and time
 
 
-@query("SELECT sequence_id, row_number() OVER (ORDER BY value NULLS LAST, sequence_id) AS pos FROM " + EVENTS)
-def sort_by_field(spark, d):
-    ordered = LogTable("events", event_log(spark, d)).sort_by("value").current
-    return ordered.select("sequence_id", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_last(), "sequence_id")).cast("long").alias("pos"))
+for _name, _up, _sql in (("sort_by_field", True, "value NULLS LAST"), ("sort_by_field_desc", False, "value DESC NULLS LAST")):
+    query(f"SELECT sequence_id, row_number() OVER (ORDER BY {_sql}, sequence_id) AS pos FROM {EVENTS}", _name)(lambda spark, d, _up=_up: _times(spark, d).sort_by("value", _up).positions().select("sequence_id", "pos"))
+for _name, _up, _sql in (("sort_by_time", True, "header_week, header_milliseconds"), ("sort_by_time_desc", False, "header_week DESC, header_milliseconds DESC")):
+    query(f"SELECT sequence_id, row_number() OVER (ORDER BY {_sql}, sequence_id) AS pos FROM {EVENTS} WHERE user_id % 3 = 0", _name)(lambda spark, d, _up=_up: _times(spark, d).apply_filter_mask(F.col("user_id") % 3 == 0).sort_by_time(_up).positions().select("sequence_id", "pos"))
 
 
-@query(f"SELECT sequence_id, row_number() OVER (ORDER BY header_week, header_milliseconds, sequence_id) AS pos FROM {EVENTS}")
+@query(f"SELECT sequence_id, row_number() OVER (ORDER BY CASE WHEN log <> 'view' THEN header_week END NULLS LAST, CASE WHEN log <> 'view' THEN header_milliseconds END NULLS LAST, sequence_id) AS pos FROM {EVENTS}")
 def sort_db_time(spark, d):
+    """Messages without a log row (here views) come last."""
     e = event_log(spark, d)
-    ordered = database_order(e.select("sequence_id", "log"), {"a": e.filter("log = 'click'"), "b": e.filter("log <> 'click'")})
-    return ordered.select("sequence_id", F.row_number().over(Window.orderBy("header_week", "header_milliseconds", "sequence_id")).cast("long").alias("pos"))
+    return database_positions(e.select("sequence_id", "log"), {"a": e.filter("log = 'click'"), "b": e.filter("log not in ('click', 'view')")}).select("sequence_id", "pos")
 
 
-@query(f"SELECT log, min(header_week * 604800000.0 + header_milliseconds) AS first, max(header_week * 604800000.0 + header_milliseconds) AS last FROM {EVENTS} GROUP BY log")
+@query(f"SELECT log, first(header_week ORDER BY header_week, header_milliseconds) AS first_week, first(header_milliseconds ORDER BY header_week, header_milliseconds) AS first_ms, last(header_week ORDER BY header_week, header_milliseconds) AS last_week, last(header_milliseconds ORDER BY header_week, header_milliseconds) AS last_ms FROM {EVENTS} GROUP BY log")
 def time_range(spark, d):
-    ends = event_log(spark, d).groupBy("log").agg(F.min(F.struct("header_week", "header_milliseconds")).alias("a"), F.max(F.struct("header_week", "header_milliseconds")).alias("z"))
-    total = lambda c: F.col(f"{c}.header_week") * 604800000.0 + F.col(f"{c}.header_milliseconds")
-    return ends.select("log", total("a").alias("first"), total("z").alias("last"))
+    e = event_log(spark, d)
+    logs = [r.log for r in e.select("log").distinct().collect()]  # a row for each log type
+    ends = {log: LogTable(log, e.filter(F.col("log") == log)).time_range for log in logs}
+    return spark.createDataFrame([(log, a.week, float(a.milliseconds), z.week, float(z.milliseconds)) for log, (a, z) in ends.items()], "log string, first_week long, first_ms double, last_week long, last_ms double")
+
+
+@query("SELECT l_orderkey AS parent_id, round(avg(l_quantity), 6) AS mean, round(median(l_quantity), 6) AS median, max(l_quantity) AS max FROM lineitem GROUP BY l_orderkey")
+def agg_handles(spark, d):
+    """Summaries by a table's field handles, found in its child table."""
+    kids = order_table(spark, d).children["obs"]
+    parts = [getattr(kids.C_No, f"grouped_{op}").withColumnRenamed("value", op) for op in ("mean", "median", "max")]
+    return parts[0].join(parts[1], "parent_id").join(parts[2], "parent_id").select("parent_id", r("mean"), r("median"), "max")
+
+
+@query("SELECT round(avg(l_quantity), 6) AS own, round(avg(l_tax), 6) AS deep, count(*) AS rows, 'balance,orders' AS fields, 'sequence_id,balance,sequence_id,parent_id,header_milliseconds,price,status,sequence_id,parent_id,sv_prn,C_No,sd_psr,sd_adr,c_status' AS columns, 'unknown operation' AS refused FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def agg_resolved(spark, d):
+    """A field that a child's child holds is found from the top; columns of the whole subtree; an unknown operation is refused."""
+    top = customer_table(spark, d)
+    try:
+        top.summary("C_No", "mode")
+        refused = None
+    except ValueError as e:
+        refused = str(e)[:17]
+    kids = top.children["orders"].children["obs"]
+    return spark.createDataFrame([(round(top.get_mean("C_No"), 6), round(top.get_mean("sd_adr"), 6), len(kids), ",".join([*top.fields, *top.subtables]), ",".join(top.get_columns()), refused)], "own double, deep double, rows long, fields string, columns string, refused string")
 
 
 @query(f"SELECT sequence_id, header_week, header_milliseconds FROM {EVENTS}")
@@ -296,12 +367,97 @@ def view_satstats(spark, d):
 
 _SKY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.SKY_SYSTEMS.items())
 _LETTER = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.SKY_PREFIXES.items())
+_SKIES = f"""(SELECT CAST(c_custkey AS DOUBLE) * 1000 AS header_milliseconds, l_suppkey AS prn, CAST(l_linenumber % 9 AS VARCHAR) AS system_type, o_totalprice / 8000 AS elevation, o_orderkey % 360 AS azimuth,
+  90 - o_totalprice / 8000 AS radius, round(radians(o_orderkey % 360), 9) AS theta, coalesce(CASE CAST(l_linenumber % 9 AS VARCHAR) {_SKY} END, CAST(l_linenumber % 9 AS VARCHAR)) AS system,
+  coalesce(CASE CAST(l_linenumber % 9 AS VARCHAR) {_LETTER} END, '?') || substr(lpad(CAST(l_suppkey AS VARCHAR), 2, '0'), 1, 2) AS label
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
 
+def skies(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as epochs, orders as what is visible, lines as satellites."""
+    top = table(spark, d, "customer").select(F.col("c_custkey").alias("sequence_id"), (F.col("c_custkey") * 1000.0).alias("header_milliseconds"))
+    seen = table(spark, d, "orders").select(F.col("o_orderkey").alias("sequence_id"), F.col("o_custkey").alias("parent_id"), (F.col("o_totalprice") / 8000).alias("elevation"), (F.col("o_orderkey") % 360).cast("double").alias("azimuth"))
+    ids = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("sequence_id"), F.col("l_orderkey").alias("parent_id"), F.col("l_suppkey").alias("prn"), (F.col("l_linenumber") % 9).cast("string").alias("system_type"))
+    return views.sky_track(views.sky_positions(top, seen, ids))
 
-@query(f"SELECT s_suppkey AS prn, 90 - s_acctbal / 200 AS radius, round(radians(s_suppkey * 3.0), 9) AS theta, coalesce(CASE CAST(s_nationkey % 9 AS VARCHAR) {_SKY} END, CAST(s_nationkey % 9 AS VARCHAR)) AS system, coalesce(CASE CAST(s_nationkey % 9 AS VARCHAR) {_LETTER} END, '?') || substr(lpad(CAST(s_suppkey AS VARCHAR), 2, '0'), 1, 2) AS label FROM supplier")
+
+@query(f"SELECT header_milliseconds, prn, radius, theta, system, label FROM {_SKIES}")
 def view_skyview(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("prn"), (F.col("s_acctbal") / 200).alias("elevation"), (F.col("s_suppkey") * 3.0).alias("azimuth"), (F.col("s_nationkey") % 9).cast("string").alias("system_type"))
-    return views.sky_track(s).select("prn", "radius", F.round("theta", 9).alias("theta"), "system", "label")
+    return skies(spark, d).select("header_milliseconds", "prn", "radius", F.round("theta", 9).alias("theta"), "system", "label")
+
+
+@query(f"SELECT system_type, prn, radius FROM (SELECT *, row_number() OVER (PARTITION BY system_type, prn ORDER BY elevation DESC, header_milliseconds) AS n FROM {_SKIES}) WHERE n = 1")
+def view_sky_peaks(spark, d):
+    return views.sky_peaks(skies(spark, d)).select("system_type", "prn", "radius")
+
+
+@query(f"SELECT system_type, prn, header_milliseconds, elevation, row_number() OVER (PARTITION BY system_type, prn ORDER BY header_milliseconds, elevation, azimuth) AS step FROM {_SKIES}")
+def view_sky_way(spark, d):
+    return views.track_order(skies(spark, d)).select("system_type", "prn", "header_milliseconds", "elevation", "step")
+
+
+@query(f"SELECT count(DISTINCT (system_type, prn)) AS satellites FROM {_SKIES}")
+def view_sky_satellites(spark, d):
+    return skies(spark, d).agg(F.count_distinct("system_type", "prn").alias("satellites"))
+
+
+def stats_recording(spark: SparkSession, d: str) -> Recording:
+    """RANGE from orders and lines; SATVIS2 from orders, one satellite for each line and 3 s later."""
+    top = parents(spark, d).select("sequence_id", "header_milliseconds")
+    seen = top.select((F.col("sequence_id") * 2).alias("sequence_id"), F.col("sequence_id").alias("parent_id"), (F.col("sequence_id") % 91).cast("double").alias("elevation"), F.lit(0.0).alias("azimuth"))
+    ids = children(spark, d).select("sequence_id", (F.col("parent_id") * 2).alias("parent_id"), F.col("sv_prn").alias("prn"), F.lit("0").alias("system_type")).filter("prn % 2 = 0")
+    sky = LogTable("SATVIS2", top.withColumn("header_milliseconds", F.col("header_milliseconds") + 3000), {"sat_vis_list": LogTable("sat_vis_list", seen, {"id": LogTable("id", ids)})})
+    log = LogTable("RANGE", top, {"obs": LogTable("obs", children(spark, d))})
+    index = top.select("sequence_id", F.lit("RANGE").alias("log"))
+    return Recording(index, {"RANGE": log, "SATVIS2": sky}, None, index)
+
+
+_ELEVATION = f"""WITH l AS (SELECT DISTINCT header_milliseconds AS t, sv_prn FROM {JOINED}),
+r AS (SELECT header_milliseconds + 3000 AS t, sv_prn, max(CAST(parent_id % 91 AS DOUBLE)) AS elevation FROM {JOINED} WHERE sv_prn % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT l.*, r.t AS bt, r.elevation AS be FROM l ASOF LEFT JOIN r ON l.sv_prn = r.sv_prn AND l.t >= r.t),
+f AS (SELECT l.t, l.sv_prn, r.t AS ft, r.elevation AS fe FROM l ASOF LEFT JOIN r ON l.sv_prn = r.sv_prn AND l.t <= r.t)
+SELECT t AS header_milliseconds, sv_prn, CASE WHEN bt IS NOT NULL AND (ft IS NULL OR t - bt <= ft - t) THEN CASE WHEN t - bt <= 10000 THEN be END WHEN ft - t <= 10000 THEN fe END AS elevation FROM b JOIN f USING (t, sv_prn)"""
+
+
+@query(_ELEVATION)
+def view_satstats_elevation(spark, d):
+    """Each satellite's elevation nearest in time, the earlier of two as near, the greatest of one time."""
+    return views.satellite_stats(stats_recording(spark, d))["elevation"].select("header_milliseconds", "sv_prn", "elevation")
+
+
+@query(f"SELECT round(avg(satellites), 6) AS satellites, round(avg(signals), 6) AS signals FROM (SELECT count(DISTINCT sv_prn) AS satellites, count(*) AS signals FROM {JOINED} GROUP BY time_s)")
+def view_tracking_average(spark, d):
+    return views.tracking(stats_recording(spark, d))["average"].select(r("satellites"), r("signals"))
+
+
+@query(f"SELECT round(avg(satellites), 6) AS satellites FROM (SELECT count(DISTINCT sv_prn) AS satellites FROM {JOINED} GROUP BY time_s)")
+def view_signal_average(spark, d):
+    return views.signal(stats_recording(spark, d))["average"].select(r("satellites"))
+
+
+def one_log(spark: SparkSession, name: str, rows: DataFrame) -> Recording:
+    index = rows.select("sequence_id", F.lit(name).alias("log"))
+    return Recording(index, {name: LogTable(name, rows)}, None, index)
+
+
+@query("SELECT l_orderkey / 1000.0 AS time_s, l_quantity AS roll_std_dev, l_discount AS pitch_std_dev, l_tax AS azimuth_std_dev FROM lineitem")
+def view_attitude_accuracy(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sequence_id"), F.col("l_orderkey").alias("header_milliseconds"), F.col("l_quantity").alias("roll_std_dev"), F.col("l_discount").alias("pitch_std_dev"), F.col("l_tax").alias("azimuth_std_dev"))
+    return views.attitude_accuracy(one_log(spark, "INSSTDEV", li))["series"]
+
+
+@query("SELECT CAST(l_orderkey AS DOUBLE) AS time_s, l_quantity AS accel_x, l_discount AS accel_y, l_tax AS gyro_z FROM lineitem")
+def view_imu(spark, d):
+    """The third of four logs, its seconds, and axes in either spelling."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sequence_id"), F.col("l_orderkey").cast("double").alias("gps_seconds"), F.col("l_quantity").alias("accel_x"), F.col("l_discount").alias("y_accel_output"), F.col("l_tax").alias("z_gyro_output"))
+    return views.imu(one_log(spark, "RAWIMUS", li))["series"]
+
+
+@query("SELECT l_orderkey / 1000.0 AS time_s, l_quantity AS accel_z FROM lineitem")
+def view_imu_header_time(spark, d):
+    """Header time where the log has no seconds of its own; other axes are lacking."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sequence_id"), F.col("l_orderkey").alias("header_milliseconds"), F.col("l_quantity").alias("accel_z"))
+    return views.imu(one_log(spark, "RAWIMU", li))["series"]
 
 
 _TYPE = " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.POSITION_TYPES.items())
@@ -328,35 +484,104 @@ def view_accuracy(spark, d):
 # Verification
 
 
-@query("""WITH f AS (SELECT l_returnflag AS log, l_orderkey % 5 <> 0 AS matched, l_quantity AS a, CASE WHEN l_suppkey % 7 = 0 AND l_returnflag = 'A' THEN l_quantity * 1.5 ELSE l_quantity END AS b FROM lineitem),
-p AS (SELECT log, count(*) AS messages, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE matched AND abs(a - b) > 1e-9 * greatest(abs(a), abs(b))) AS diffs FROM f GROUP BY log)
-SELECT log, messages, matched, diffs, CASE WHEN diffs > 0 THEN 'MISMATCH' WHEN matched = 0 THEN 'NOT_VERIFIED' ELSE 'VERIFIED' END AS status FROM p""")
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as messages, and as a rebuilt log would have them: flag A off by half in some, R off by rounding, O's fields exact; orders divisible by 5 lost; some without a week."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("log"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("week"), F.col("l_orderkey").cast("double").alias("milliseconds"), "l_quantity", "l_extendedprice", "l_suppkey", "l_linenumber", "l_orderkey")
+    text = lambda c: c.cast("string")
+    body = lambda price, supp: F.create_map(F.lit("quantity"), text(F.col("l_quantity")), F.lit("price"), text(price), F.lit("supplier"), text(supp))
+    price = F.col("l_extendedprice")
+    wrong = F.when((F.col("log") == "A") & (F.col("l_suppkey") % 7 == 0), price * 1.5).when((F.col("log") == "R") & (F.col("l_suppkey") % 7 == 1), F.round(price, -2) + 0.0).otherwise(price * (1 + 1e-12))
+    supplier = F.when((F.col("log") == "A") & (F.col("l_suppkey") % 7 == 2), F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey"))
+    keys = ["pos", "log", "week", "milliseconds"]
+    return li.select(*keys, body(price, F.col("l_suppkey")).alias("body")), li.filter("l_orderkey % 5 <> 0").select(*keys, body(wrong, supplier).alias("body"))
+
+
+#: Per message: matched, and which of its fields differ beyond 1e-9; keys repeat (no week), so the k-th of a key meets the k-th.
+_SIDES = """(SELECT pos, log, matched, matched AND abs(price - other) > 1e-9 * greatest(abs(price), abs(other)) AS price_differs, matched AND log = 'A' AND supp % 7 = 2 AS supp_differs, price, other FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS log, l_orderkey % 5 <> 0 AS matched, l_suppkey AS supp, l_extendedprice AS price,
+    CASE WHEN l_returnflag = 'A' AND l_suppkey % 7 = 0 THEN l_extendedprice * 1.5 WHEN l_returnflag = 'R' AND l_suppkey % 7 = 1 THEN round(l_extendedprice, -2) ELSE l_extendedprice END AS other FROM lineitem))"""
+
+
+@query(f"SELECT pos, log, 'price' AS field FROM {_SIDES} WHERE price_differs UNION ALL SELECT pos, log, 'supplier' FROM {_SIDES} WHERE supp_differs")
+def verify_fields(spark, d):
+    return v.field_differences(*sides(spark, d)).filter("differs").select("pos", "log", "field")
+
+
+_BY_LOG = f"SELECT log, count(*) AS messages, count(*) FILTER (WHERE matched) AS matched, CAST(sum(CAST(price_differs AS INT) + CAST(supp_differs AS INT)) AS BIGINT) AS diffs FROM {_SIDES} GROUP BY log"
+
+
+@query(f"SELECT *, CASE WHEN diffs > 0 THEN 'MISMATCH' WHEN matched = 0 THEN 'NOT_VERIFIED' ELSE 'VERIFIED' END AS status FROM ({_BY_LOG})")
 def verify_by_log(spark, d):
-    li = table(spark, d, "lineitem")
-    a, b = F.col("l_quantity"), F.when((F.col("l_suppkey") % 7 == 0) & (F.col("l_returnflag") == "A"), F.col("l_quantity") * 1.5).otherwise(F.col("l_quantity"))
-    from almagest.functions.rounding import is_close
+    return v.by_log(v.field_differences(*sides(spark, d)))
+
+
+@query(f"SELECT *, CASE WHEN diffs > 0 THEN 'MISMATCH' WHEN matched = 0 THEN 'NOT_VERIFIED' ELSE 'VERIFIED' END AS status FROM ({_BY_LOG}) WHERE log IN ('N', 'R')")
+def verify_some_logs(spark, d):
+    return v.by_log(v.field_differences(*sides(spark, d), logs=["N", "R"]))
+
 
-    matched = F.col("l_orderkey") % 5 != 0
-    rows = li.select(F.col("l_returnflag").alias("log"), F.monotonically_increasing_id().alias("pos"), matched.alias("matched"), (matched & ~is_close(a, b, 1e-9)).alias("differs"))
-    return by_log(rows)
+@query(f"SELECT log, CASE WHEN log = 'A' THEN 'MISMATCH' ELSE 'VERIFIED' END AS status FROM ({_BY_LOG})")
+def verify_promoted(spark, d):
+    """A log all of whose differences are roundings counts as verified: prices rounded to hundreds have two to five figures left."""
+    return v.by_log(v.field_differences(*sides(spark, d)), expected_ascii=True).select("log", "status")
 
 
-@query("""WITH p AS (SELECT l_returnflag AS log, count(*) AS messages, max(CAST(l_returnflag = 'A' AS INT)) AS bad FROM lineitem GROUP BY 1)
-SELECT CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(1 - bad) AS BIGINT) AS verified_types, CAST(0 AS BIGINT) AS messages_not_verified, CAST(sum(bad) AS BIGINT) AS mismatched_types FROM p""")
+@query(f"SELECT CAST(sum(messages) AS BIGINT) AS messages, count(*) FILTER (WHERE diffs = 0 AND matched > 0) AS verified_types, CAST(coalesce(sum(messages) FILTER (WHERE matched = 0), 0) AS BIGINT) AS messages_not_verified, count(*) FILTER (WHERE diffs > 0) AS mismatched_types FROM ({_BY_LOG})")
 def verify_overall(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("log"), F.monotonically_increasing_id().alias("pos"), F.lit(True).alias("matched"), (F.col("l_returnflag") == "A").alias("differs"))
-    return overall(by_log(rows))
+    return v.overall(v.by_log(v.field_differences(*sides(spark, d))))
+
+
+@query(f"SELECT log, CASE WHEN log = 'R' THEN 'ascii_rounding' ELSE 'large_error' END AS category, count(*) AS n FROM {_SIDES} WHERE price_differs GROUP BY log UNION ALL SELECT log, 'non_float', count(*) FROM {_SIDES} WHERE supp_differs GROUP BY log")
+def verify_category_counts(spark, d):
+    return v.category_counts(v.field_differences(*sides(spark, d)))
+
+
+@query(f"""SELECT DISTINCT category, CASE category WHEN 'non_float' THEN 'exact mismatch of a field that is no number with decimals' WHEN 'ascii_rounding' THEN 'the number was written with few decimals or figures: a limit of the text format, no loss of data' ELSE 'more than the text format explains; look into it (relative error 5.00e-01)' END AS explanation
+FROM (SELECT CASE WHEN log = 'R' THEN 'ascii_rounding' ELSE 'large_error' END AS category FROM {_SIDES} WHERE price_differs UNION ALL SELECT 'non_float' FROM {_SIDES} WHERE supp_differs)""")
+def verify_explained(spark, d):
+    found = v.categorised(v.field_differences(*sides(spark, d)))
+    return found.select("category", F.when(F.col("category") == "ascii_rounding", F.regexp_replace("explanation", r" \(.*$", "")).otherwise(F.col("explanation")).alias("explanation")).distinct()
+
+
+@query(f"SELECT pos, field, row_number() OVER (ORDER BY error DESC NULLS LAST, pos, field) AS place FROM (SELECT pos, 'price' AS field, round(abs(price - other) / price, 9) AS error FROM {_SIDES} WHERE price_differs UNION ALL SELECT pos, 'supplier', NULL FROM {_SIDES} WHERE supp_differs)")
+def verify_worst_first(spark, d):
+    """Differences by relative error, greatest first, fields that are no numbers last."""
+    found = v.categorised(v.field_differences(*sides(spark, d))).withColumn("error", F.round("error", 9))
+    return positions(found, [Key("error", False), Key("pos"), Key("field")], "place").select("pos", "field", "place")
+
+
+_PAYLOADS = "(SELECT event_id AS pos, event_type AS log, CASE WHEN user_id % 4 = 0 THEN 'unmatched' WHEN user_id % 4 IN (1, 2) THEN 'different' ELSE 'same' END AS status, CASE WHEN user_id % 4 = 1 THEN len(event_type) + 1 END AS first_byte FROM events)"
+
+
+@query(f"SELECT * FROM {_PAYLOADS}")
+def verify_payloads(spark, d):
+    """A changed byte, another length, the same, and none."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("log"), F.lit(1).cast("long").alias("week"), F.col("event_id").cast("double").alias("milliseconds"), F.concat("event_type", F.lit(":"), F.lit("x"), F.col("user_id").cast("string")).alias("p"), "user_id")
+    changed = F.when(F.col("user_id") % 4 == 1, F.replace("p", F.lit(":x"), F.lit(":y"))).when(F.col("user_id") % 4 == 2, F.concat("p", F.lit("!"))).otherwise(F.col("p"))
+    keys = ["pos", "log", "week", "milliseconds"]
+    found = v.payload_differences(e.select(*keys, F.col("p").cast("binary").alias("payload")), e.filter("user_id % 4 <> 0").select(*keys, changed.cast("binary").alias("payload")))
+    return found.select("pos", "log", "status", F.col("first_byte").cast("long").alias("first_byte"))
+
+
+@query("""SELECT 'L' AS log, count(*) AS messages, count(*) FILTER (WHERE o_custkey % 11 = 0) AS diffs, CASE WHEN count(*) FILTER (WHERE o_custkey % 11 = 0) > 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS status,
+  count(*) FILTER (WHERE o_custkey % 11 = 0) || ' differing fields' AS reason FROM orders""")
+def verify_stored(spark, d):
+    """A stored table held against decoded messages, the k-th row against the k-th message; a name is compared by its number."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("sequence_id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("state"), (F.col("o_custkey") % 11).alias("state_raw"))
+    code = F.when(F.col("state_raw") == 0, F.lit(-1)).otherwise(F.col("state_raw"))
+    rebuilt = o.select((F.col("sequence_id") * 3).alias("pos"), F.create_map(F.lit("price"), (F.col("price") * (1 + 1e-12)).cast("string"), F.lit("state"), code.cast("string")).alias("body"))
+    return v.stored_differences(o, rebuilt, "L")
 
 
-@query("""SELECT l_orderkey, CASE WHEN l_suppkey % 3 = 0 THEN 'negligible' WHEN l_suppkey % 3 = 1 THEN 'large_error' ELSE 'non_float' END AS category FROM lineitem""")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 4 = 0 THEN 'negligible' WHEN l_suppkey % 4 = 1 THEN 'large_error' WHEN l_suppkey % 4 = 2 THEN 'ascii_rounding' ELSE 'non_float' END AS category FROM lineitem")
 def verify_diff_category(spark, d):
     from almagest.functions.rounding import difference_category
 
-    a = F.col("l_extendedprice")
-    b = F.when(F.col("l_suppkey") % 3 == 0, a * (1 + 1e-9)).otherwise(a * 1.3333333)
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", a.alias("a"), b.alias("b"))
-    error = F.when(F.col("l_suppkey") % 3 != 2, relative_error(F.col("a"), F.col("b")))
-    return li.select("l_orderkey", difference_category(F.col("a"), F.col("b"), error).alias("category"))
+    a = F.col("l_extendedprice") + F.lit(0.123456)
+    b = F.when(F.col("l_suppkey") % 4 == 0, a * (1 + 1e-9)).when(F.col("l_suppkey") % 4 == 1, a * 1.3333333).otherwise(F.format_string("%.4e", a).cast("double"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", a.alias("a"), b.alias("b"))
+    error = F.when(F.col("l_suppkey") % 4 != 3, F.greatest(relative_error(F.col("a"), F.col("b")), F.when(F.col("l_suppkey") % 4 == 2, F.lit(2e-5)).otherwise(F.lit(0.0))))
+    return li.select("l_orderkey", "l_linenumber", difference_category(F.col("a"), F.col("b"), error).alias("category"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")

@@ -222,7 +222,7 @@ def ascii_messages(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row here, so files are the unit of work: this is for rebuilt logs, not for recordings of any size.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
     found = raw.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(ASCII_MESSAGE), F.lit(0))).alias("ordinal", "m"))
     part = lambda k: F.regexp_extract("m", ASCII_MESSAGE, k)
     fields = lambda c: F.regexp_extract_all(c, F.lit(r'"[^"]*"|[^ ]+'), F.lit(0))

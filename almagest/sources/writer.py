@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import tempfile
 import uuid
 import zipfile
@@ -18,10 +18,9 @@ from pyspark.sql import types as T
 from almagest.errors import RecordingExistsError, WriteError
 from almagest.operators.joins import running_ordinal
 from almagest.operators.shred import Shredded, enum_columns, expanded, shred
-from almagest.operators.verify import file_sha256
 from almagest.plans.catalog import METADATA, UNKNOWN, Files, shared_folder
 from almagest.progress import Progress, Tracker
-from almagest.sources.frames import SCHEMA, FramedLog, frame, raw_frame
+from almagest.sources.frames import SCHEMA, FramedLog, _opened, frame, raw_frame
 
 #: Field to the names of its numbers.
 Enums = dict[str, dict[int, str]]
@@ -127,11 +126,20 @@ def convert(spark: SparkSession, source: str | Path, out: str, overwrite: bool =
     """One file to one recording, with the file's fingerprint in the metadata."""
     if not isinstance(source, (str, Path)):
         raise TypeError("convert takes a file; RecordingWriter takes records")
-    size = os.path.getsize(source)
-    write_recording(read_messages(spark, str(source), slice_bytes), out, overwrite, {"source_filename": Path(source).name, "file_size": size, "sha256": file_sha256(str(source))}, **more)
+    size, sha256 = source_mark(str(source))
+    write_recording(read_messages(spark, str(source), slice_bytes), out, overwrite, {"source_filename": str(source).rsplit("/", 1)[-1], "file_size": size, "sha256": sha256}, **more)
     return archived(out) if archive else out
 
 
+def source_mark(path: str) -> tuple[int, str]:
+    """Size and SHA-256 of a file in any store, a piece at a time."""
+    digest = hashlib.sha256()
+    with _opened(path) as f:
+        while piece := f.read(1 << 20):
+            digest.update(piece)
+        return f.size(), digest.hexdigest()
+
+
 Record = tuple[str, dict, dict] | bytes
 
 

@@ -333,3 +333,167 @@ def test_command_line(mydb, tmp_path, capsys, spark):
     assert (tmp_path / "mydb.html").exists()
     with pytest.raises(SystemExit):
         main(["convert", "/no/such/file", "-o", "x"])
+
+
+def test_writer_takes_records_and_finishes_on_a_clean_exit_only(spark, tmp_path):
+    from almagest import RecordingWriter
+
+    RecordingWriter.AT_ONCE, before = 10, RecordingWriter.AT_ONCE
+    try:
+        seen = []
+        with RecordingWriter(spark, str(tmp_path / "a"), progress=seen.append, enums={"BESTPOS": {"n": {0: "zero", 1: "one"}}}) as w:
+            assert w.consume(MESSAGES[:25]) == 25
+            w.write(b"not json")
+            w.write(MESSAGES[40])
+        rec = Recording.open(spark, str(tmp_path / "a"))
+        assert len(rec) == 27 and rec.unknown.count() == 1 and len(rec.tables["TIME"]) == 1 and seen[-1].fraction == 1
+        rows = rec.tables["BESTPOS"].current.orderBy("sequence_id").collect()
+        assert [(r.n, r.n_raw) for r in rows[:3]] == [("zero", 0), ("one", 1), ("2", 2)] and rows[0].header_milliseconds == 0.0
+        with pytest.raises(RuntimeError), RecordingWriter(spark, str(tmp_path / "b")) as w:
+            w.write(MESSAGES[0])
+            raise RuntimeError
+        assert not (tmp_path / "b").exists()
+        with pytest.raises(RecordingExistsError):
+            RecordingWriter(spark, str(tmp_path / "a")).write_to_db(MESSAGES[:2])
+        assert len(Recording.open(spark, RecordingWriter(spark, str(tmp_path / "a"), overwrite=True).write_to_db([]))) == 0
+    finally:
+        RecordingWriter.AT_ONCE = before
+
+
+def test_rebuilt_fields():
+    from almagest.sources.rebuild import HEADER_FIELDS, header_of, with_raw
+
+    assert with_raw({"a": "x", "a_raw": 3, "b_raw": 1}) == {"a": 3, "b_raw": 1}
+    fields = {"header_week": 2300.0, "header_milliseconds": 5, "header_length": 7, "header_time_status": "FINE", "lat": 1.5}
+    assert header_of(fields, HEADER_FIELDS) == {"week": 2300, "milliseconds": 5.0, "time_status": "FINE"} and header_of(fields)["length"] == 7
+
+
+def test_schema_names(spark, tmp_path):
+    from almagest import SchemaNames
+
+    put = lambda rows, schema, at: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/r/{at}")
+    put([(0, "A"), (1, "A")], "id long, log string", "r.parquet")
+    put([(0, 2300, 1.0, 3.5), (1, 2300, 2.0, 4.5)], "id long, wk long, ms double, x double", "A/A.parquet")
+    put([(0, 1, 9)], "id long, up long, y int", "A/kid/kid.parquet")
+    rec = Recording.open(spark, f"{tmp_path}/r", names=SchemaNames("id", "up", "wk", "ms"))
+    a = rec.tables["A"]
+    assert ids(a.filter_entries("y", "==", 9, "kid")) == [1] and ids(a.filter_start_time(GpsTime(2300, 0.0015))) == [1] and a.x.max == 4.5
+
+
+def test_positions(spark):
+    rows = [(i, (i * 37 % 50) / 4 if i % 9 else None) for i in range(120)]
+    t = LogTable("t", spark.createDataFrame(rows, "sequence_id long, x double"))
+    for up in (True, False):
+        want = sorted(rows, key=lambda r: (r[1] is None, (r[1] or 0) * (1 if up else -1), r[0]))
+        got = {r.sequence_id: r.pos for r in t.sort_by("x", up).positions().collect()}
+        assert [got[i] for i, _ in want] == list(range(1, 121))
+    assert {r.pos for r in LogTable("t", t.base.limit(0)).positions().collect()} == set()
+
+
+def test_payloads_with_floats_and_without_encoding(spark):
+    import struct
+
+    from almagest.operators.verify import float_offsets
+
+    definition = [("n", "ULONG", 1), ("x", "FLOAT", 1), ("name", "CHAR", 4), ("d", "DOUBLE", 2)]
+    assert float_offsets(definition) == [(4, 4), (12, 8)]
+    pack = lambda n, x, d: struct.pack("<If4sdd", n, x, b"abcd", d, 1.0)
+    one, other = [(0, pack(1, 1.5, 2.0)), (1, pack(1, 1.5, 2.0)), (2, pack(1, 1.5, 2.0)), (3, b"ab"), (4, None)], [(0, pack(1, 1.5, 2.0 + 1e-12)), (1, pack(2, 1.5, 2.5)), (2, pack(1, float("nan"), 2.0)), (3, b"a"), (4, b"x")]
+    side = lambda rows, v: spark.createDataFrame([(p, "P", 1, float(p), {"f": v}, None if b is None else bytearray(b)) for p, b in rows], "pos long, log string, week long, milliseconds double, body map<string,string>, payload binary")
+    got = {r.pos: (r.status, r.first_byte, [d.field for d in r.found]) for r in payload_differences(side(one, "1.5"), side(other, "1.6"), {"P": definition}).collect()}
+    assert got == {0: ("same", None, []), 1: ("different", 0, ["_byte_0", "_float_offset_12"]), 2: ("different", 4, ["_float_offset_4"]), 3: ("different", None, ["_payload_length"]), 4: ("different", None, ["f"])}
+
+
+def test_stored_tables_and_categories(spark, logfile, tmp_path):
+    from almagest.operators.verify import category_counts, stored_differences
+    from almagest.report import verify, verify_stored, write_report
+    from almagest.sources.writer import convert
+
+    stored = spark.createDataFrame([(3, 1.5, "one", 1, 9), (7, 2.5, "two", 2, 9)], "sequence_id long, x double, kind string, kind_raw long, header_week int")
+    decoded = lambda *bodies: spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "pos long, body map<string,string>")
+    row = lambda *b: tuple(stored_differences(stored, decoded(*b), "L").first())
+    assert row({"x": "1.5", "kind": "1"}, {"x": "2.5", "kind": "2"}) == ("L", 2, 0, "VERIFIED", None)
+    assert row({"x": "1.5", "kind": "1"}, {"x": "2.6", "kind": "3"}) == ("L", 2, 2, "MISMATCH", "2 differing fields")
+    assert row({"x": "1.5"})[3:] == ("MISMATCH", "2 rows stored, 1 messages")
+    assert stored_differences(None, decoded({"x": "1"}), "L").first().status == "NOT_VERIFIED"
+    a = sides(spark, [("P", 1, 0.0, {"a": "12345.678", "b": "1.0", "c": "x", "d": "2.0"})])
+    b = sides(spark, [("P", 1, 0.0, {"a": "12300.0", "b": "2.0", "c": "y", "d": "2.0"})])
+    found = field_differences(a, b)
+    assert {(r.category, r.n) for r in category_counts(found).collect()} == {("ascii_rounding", 1), ("large_error", 1), ("non_float", 1)}
+    out = convert(spark, logfile, str(tmp_path / "rec"))
+    done = verify(spark, out, logfile)
+    assert done["field"].categories == [] and done["binary"].overall.mismatched_types == 0
+    write_report(done["field"], str(tmp_path / "r.html"), "field")
+    assert "VERIFIED" in (tmp_path / "r.html").read_text()
+    assert {(r.log, r.status) for r in verify_stored(spark, out, logfile, ["TIME", "NONE"]).collect()} == {("TIME", "VERIFIED"), ("NONE", "NOT_VERIFIED")}
+
+
+def test_abbreviated_ascii(spark, tmp_path):
+    from almagest.sources.frames import ascii_frame, ascii_messages
+
+    (tmp_path / "a.txt").write_bytes(b"#junk<\xff\r\n" + ascii_frame("BESTPOS", ["COM1", 2300, 5.0], ["SOL", '"a b"', 1.5]) + b"<TIME no body\r\n<X" + ascii_frame("TIME", ["COM1"], [1]))
+    got = [(r.ordinal, r.log, r.header, r.body) for r in ascii_messages(spark, str(tmp_path / "a.txt")).collect()]
+    assert got == [(0, "BESTPOS", ["COM1", "2300", "5.0"], ["SOL", '"a b"', "1.5"]), (1, "TIME", ["COM1"], ["1"])]
+
+
+def test_plugins(spark, tmp_path):
+    import json
+
+    from almagest import SliceError, WriteError
+    from almagest.sources.frames import Boundaries
+    from almagest.sources.plugins import JsonLines, counted, lines, run, sync_marks, to_csv, to_json
+
+    path = str(tmp_path / "a.jsonl")
+    with open(path, "w") as f:
+        f.writelines(json.dumps({"k": i, "s": "x" * (i % 13)}) + "\n" for i in range(500))
+    rows = run(spark, path, "k long, s string", JsonLines(), lines(path), wanted=7)
+    assert sorted(r.k for r in rows.collect()) == list(range(500)) and counted(rows).count() == 7
+    run(spark, path, "k long, s string", JsonLines(), lines(path), to_csv(str(tmp_path / "csv")), wanted=3)
+    run(spark, path, "k long, s string", JsonLines(), lines(path), to_json(str(tmp_path / "json")), wanted=3)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "json")).count() == 500
+    with pytest.raises(SliceError) as e:  # cut in the middle of lines
+        run(spark, path, "k long, s string", JsonLines(), Boundaries(), DataFrameCount, wanted=4)
+    assert e.value.byte_range[1] > e.value.byte_range[0]
+    with pytest.raises(WriteError):
+        run(spark, path, "k long, s string", JsonLines(), lines(path), lambda rows: 1 / 0)
+    (tmp_path / "b.bin").write_bytes(b"\xaa\x44\x12abc" * 50)
+    assert all((a - 0) % 6 == 0 for a, _ in sync_marks(str(tmp_path / "b.bin")).slices(300, 7))
+    (tmp_path / "empty").write_bytes(b"")
+    assert run(spark, str(tmp_path / "empty"), "k long", JsonLines()).collect() == []
+
+
+def DataFrameCount(rows):
+    return rows.count()
+
+
+def test_logging_banners_and_extensions(capsys):
+    import io
+    import logging
+
+    from almagest import extensions
+    from almagest.logs import WIDTH, banner, setup
+
+    out = io.StringIO()
+    for _ in range(3):
+        logger = setup(logging.INFO, out, colour=True)
+    logger.warning("once")
+    assert len(logger.handlers) == 1 and out.getvalue().count("once") == 1 and "\033[33m" in out.getvalue()
+    text = banner("convert", input="/very/long" * 30, output="o")
+    assert all(len(x) == WIDTH for x in text.splitlines()) and "..." in text
+    assert not extensions.enable("no such extension") and extensions.as_gps_time(dt.datetime(1980, 1, 6)) == GpsTime(0, 0.0)
+    entered = []
+
+    class Span:
+        def __init__(self, name):
+            self.name = name
+
+        def __enter__(self):
+            entered.append(self.name)
+
+        def __exit__(self, *_):
+            return False
+
+    extensions.enable("telemetry", Span)
+    extensions.enable("gpstime", lambda x: GpsTime(x, 1.0))
+    assert extensions.spanned(lambda: 3)() == 3 and len(entered) == 1 and extensions.as_gps_time(7) == GpsTime(7, 1.0)
+    extensions.disable("telemetry"), extensions.disable("gpstime")
