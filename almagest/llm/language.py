@@ -118,7 +118,8 @@ def _bundle(group: list[tuple[int, np.ndarray]], out: np.ndarray, sizes: np.ndar
     whole = owner[:n] == owner[gram - 1 :]
     code, part = code[whole], owner[:n][whole]
     of = np.array([i for i, _ in group])
-    text, part = np.unique(of[part], return_inverse=True) if len(part) else (of[:0], part)  # parts of one text next to each other are one
+    text = np.unique(of)  # parts of one text next to each other are one
+    part = np.searchsorted(text, of)[part]
     np.add.at(sizes, text, np.bincount(part, minlength=len(text)))
     if k**gram <= 1 << 24:
         seen = np.flatnonzero(np.bincount(code, minlength=k**gram))
@@ -127,23 +128,18 @@ def _bundle(group: list[tuple[int, np.ndarray]], out: np.ndarray, sizes: np.ndar
         code = number[code]
     else:
         seen, code = np.unique(code, return_inverse=True)
-    pair, times = np.unique(part * len(seen) + code, return_counts=True)
-    row, column = pair // max(1, len(seen)), pair % max(1, len(seen))
-    by = np.argsort(column, kind="stable")
-    row, column, times = row[by], column[by], times[by].astype(np.float32)
     total = np.zeros((len(text), out.shape[1]))
     for a in range(0, len(seen), UNLIKE):
         some = seen[a : a + UNLIKE]
         vectors = gram_vectors(np.stack([alphabet[some // k ** (gram - 1 - j) % k] for j in range(gram)], axis=1), out.shape[1])
-        x, z = np.searchsorted(column, (a, a + UNLIKE))
+        mine = slice(None) if len(some) == len(seen) else np.flatnonzero((code >= a) & (code < a + len(some)))
+        row, column = part[mine], code[mine] - a
         step = max(1, (1 << 20) // len(some))
-        order = np.argsort(row[x:z], kind="stable")
-        r, c, t = row[x:z][order], column[x:z][order] - a, times[x:z][order]
-        cuts = np.searchsorted(r, np.arange(0, len(text) + step, step))
+        cuts = np.searchsorted(row, np.arange(0, len(text) + step, step))
         for b, (y, w) in zip(range(0, len(text), step), zip(cuts[:-1], cuts[1:], strict=True), strict=False):
-            counts = np.zeros((min(step, len(text) - b), len(some)), dtype=np.float32)
-            counts[r[y:w] - b, c[y:w]] = t[y:w]
-            total[b : b + len(counts)] += counts @ vectors
+            rows = min(step, len(text) - b)
+            counts = np.bincount((row[y:w] - b) * len(some) + column[y:w], minlength=rows * len(some)).reshape(rows, len(some))
+            total[b : b + rows] += counts.astype(np.float32) @ vectors
     np.add.at(out, text, total)
 
 
