@@ -246,7 +246,7 @@ def assemble_nested(spark, d):
     return out.select("sequence_id", F.when(F.col("obs").isNotNull(), F.array_join(F.transform("obs", lambda o: o["q"].cast("string")), ",")).alias("quantities"))
 
 
-@query("SELECT vec_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, len(embedding) AS width, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000000) AS BIGINT)), ',') AS keys FROM embeddings")
+@query("SELECT vec_id AS parent_id, CAST(0 AS BIGINT) AS sequence_id, len(embedding) AS width, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS keys FROM embeddings")
 def shred_list_scalar(spark, d):
     """All elements, each in a column of its own."""
     tree = shred(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").children["embedding"].table
@@ -490,7 +490,7 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     text = lambda c: c.cast("string")
     body = lambda price, supp: F.create_map(F.lit("quantity"), text(F.col("l_quantity")), F.lit("price"), text(price), F.lit("supplier"), text(supp))
     price = F.col("l_extendedprice")
-    wrong = F.when((F.col("log") == "A") & (F.col("l_suppkey") % 7 == 0), price * 1.5).when((F.col("log") == "R") & (F.col("l_suppkey") % 7 == 1), F.round(price, -2) + 0.0).otherwise(price * (1 + 1e-12))
+    wrong = F.when((F.col("log") == "A") & (F.col("l_suppkey") % 7 == 0), price * 1.5).when((F.col("log") == "R") & (F.col("l_suppkey") % 7 == 1) & (price >= 1000), F.round(price, -2) + 0.0).otherwise(price * (1 + 1e-12))
     supplier = F.when((F.col("log") == "A") & (F.col("l_suppkey") % 7 == 2), F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey"))
     keys = ["pos", "log", "week", "milliseconds"]
     return li.select(*keys, body(price, F.col("l_suppkey")).alias("body")), li.filter("l_orderkey % 5 <> 0").select(*keys, body(wrong, supplier).alias("body"))
@@ -499,7 +499,7 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 #: Per message: matched, and which of its fields differ beyond 1e-9; keys repeat (no week), so the k-th of a key meets the k-th.
 _SIDES = """(SELECT pos, log, matched, matched AND abs(price - other) > 1e-9 * greatest(abs(price), abs(other)) AS price_differs, matched AND log = 'A' AND supp % 7 = 2 AS supp_differs, price, other FROM (
   SELECT l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS log, l_orderkey % 5 <> 0 AS matched, l_suppkey AS supp, l_extendedprice AS price,
-    CASE WHEN l_returnflag = 'A' AND l_suppkey % 7 = 0 THEN l_extendedprice * 1.5 WHEN l_returnflag = 'R' AND l_suppkey % 7 = 1 THEN round(l_extendedprice, -2) ELSE l_extendedprice END AS other FROM lineitem))"""
+    CASE WHEN l_returnflag = 'A' AND l_suppkey % 7 = 0 THEN l_extendedprice * 1.5 WHEN l_returnflag = 'R' AND l_suppkey % 7 = 1 AND l_extendedprice >= 1000 THEN round(l_extendedprice, -2) ELSE l_extendedprice END AS other FROM lineitem))"""
 
 
 @query(f"SELECT pos, log, 'price' AS field FROM {_SIDES} WHERE price_differs UNION ALL SELECT pos, log, 'supplier' FROM {_SIDES} WHERE supp_differs")
@@ -507,7 +507,7 @@ def verify_fields(spark, d):
     return v.field_differences(*sides(spark, d)).filter("differs").select("pos", "log", "field")
 
 
-_BY_LOG = f"SELECT log, count(*) AS messages, count(*) FILTER (WHERE matched) AS matched, CAST(sum(CAST(price_differs AS INT) + CAST(supp_differs AS INT)) AS BIGINT) AS diffs FROM {_SIDES} GROUP BY log"
+_BY_LOG = f"SELECT log, count(DISTINCT pos) AS messages, count(DISTINCT pos) FILTER (WHERE matched) AS matched, CAST(sum(CAST(price_differs AS INT) + CAST(supp_differs AS INT)) AS BIGINT) AS diffs FROM {_SIDES} GROUP BY log"
 
 
 @query(f"SELECT *, CASE WHEN diffs > 0 THEN 'MISMATCH' WHEN matched = 0 THEN 'NOT_VERIFIED' ELSE 'VERIFIED' END AS status FROM ({_BY_LOG})")
