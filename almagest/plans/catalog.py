@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from almagest.errors import FieldNotFoundError, InvalidRecordingError
 from almagest.operators.joins import with_log_ordinal, with_table_ordinal
 from almagest.operators.shred import Shredded, shred
-from almagest.plans.table import LogTable, Namespace, clean, database_order
+from almagest.plans.table import LogTable, Namespace, clean, database_order, database_positions
 
 METADATA, UNKNOWN = "_metadata.json", "unknown_data.parquet"
 #: Suffixes of archived recordings; ``Recording.open`` takes others.
@@ -181,6 +181,10 @@ class Recording:
         ordered = database_order(self.index, {k: t.base for k, t in self.tables.items()})
         return dataclasses.replace(self, index=ordered.select(*self.index.columns))
 
+    def positions(self) -> DataFrame:
+        """The index with ``pos``, the place of each message in the order of time; messages without a log row come last."""
+        return database_positions(self.index, {k: t.base for k, t in self.tables.items()})
+
     def placed(self, log: str) -> DataFrame:
         """The index rows of a log with its entries, joined by ordinal."""
         entries = self.tables[log].entries()
