@@ -6,8 +6,8 @@ second pass only windows estimated to repeat are grouped exactly, by 128-bit fin
 earliest one, so no repeat is lost.
 
 Defined cases: a null or blank text has no words and keeps the empty text; a text shorter than one window loses nothing;
-rows with the same id count as separate documents in order of their text; a null id comes after all others; an empty
-table gives an empty result; other columns are not read, whatever their names.
+rows with the same id count as separate documents in order of their text; a null id comes after all others; ids may be of any type
+that has an order; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, Sketch, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, ungap, unpack, unpack_many
+from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, Sketch, WholeIds, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, ungap, unpack, unpack_many
 from almagest.llm.hashing import Words, whole_windows, windows
 
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -66,7 +66,8 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     A window is ``size`` consecutive words of one document.  Each word covered by a window whose word sequence also
     starts earlier (smaller id, or same document, earlier start) goes; windows are judged on the input.
     """
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    ids = WholeIds(docs, id_col)
+    blocks = Blocks(ids.docs, id_col, text_col, block_bytes)
     sketch = Sketch(max(1, blocks.bytes // 6), blocks.count)
     n_slices = slices_for(blocks.bytes // 6, blocks.count)
 
@@ -102,4 +103,5 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     answers = sketch.exchange(blocks, lambda pdf: _starts_and_keys(Words(texts_of(pdf)), size)[1])
     answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(earlier_block, PACKED)
     out = blocks.answered(answers, third, RESULT)
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_words", "n_removed", "kept")
+    out = out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_words", "n_removed", "kept")
+    return ids.named(out, id_col)

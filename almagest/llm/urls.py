@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BAD = "label=bad"
 SUPPORT = 0.01
 CONFIDENCE = 0.6
-BROADCAST_RULES = 200_000
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,10 +53,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
 
 
-def matched(token_sets: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def matched(token_sets: DataFrame, rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """tokens, confidence: the distinct token sets that hold a rule's antecedent, with the best rule's confidence."""
-    n = rules.count()
-    near = F.broadcast if n <= broadcast_rules else lambda x: x
+    size = rules.agg(F.coalesce(F.sum(F.octet_length(F.array_join("antecedent", " ")) + 100), F.lit(0))).first()[0]
+    near = F.broadcast if size <= broadcast_bytes else lambda x: x
     often = rules.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
     listed = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(near(often), "token")
     index = listed.groupBy("antecedent", "confidence").agg(F.min(F.struct("often", "token")).alias("least")).select(F.col("least.token").alias("token"), "antecedent", "confidence")
@@ -87,7 +87,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), host(url).alias("host"), path(url).alias("path"), url_tokens(url).alias("tokens"))
     bad = labels.select(F.col(f"`{label_id}`").alias("of"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     mined = mine(rows.join(bad, rows["id"] == bad["of"]).filter(F.size("tokens") > 0).select("tokens", "bad"), support, confidence)
-    hits = matched(rows, mined).withColumnRenamed("tokens", "held")
+    # An exchange of its own before the join lets Spark split the pages with one token set among several tasks.
+    hits = matched(rows, mined).withColumnRenamed("tokens", "held").repartition("held")
     fixed = explicit_rule(F.col("host"), F.col("path"), rules)
     out = rows.join(hits, rows["tokens"] == hits["held"], "left").withColumn("fixed", fixed)
     verdict = F.coalesce("fixed.verdict", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))

@@ -112,3 +112,10 @@ def test_stage_rejects_long_noise_and_unlearned_scripts_and_keeps_short_texts(sp
     assert {k for k, _, _ in clean} <= kept and {k for k, _, _ in short} <= kept and 200 in kept
     assert not {k for k, _, _ in noise} & kept
     assert language.counted_vectors(["ab", None, "12", "the of"])[1].tolist() == [2, 0, 0, 6]
+
+
+def test_ties_go_to_the_first_label(spark):
+    same = language.unit(language.text_vectors(["the of"]))
+    df = spark.createDataFrame([(1, "the of")], "doc_id long, text string")
+    (r,) = language.predict(df, ["a", "b"], language.np.concatenate([same, same])).collect()
+    assert r.lang_pred == "a" and r.score == 1.0

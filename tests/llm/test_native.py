@@ -125,3 +125,21 @@ def test_slots_must_map_one_to_one(spark):
     docs = spark.createDataFrame([(1, item.replace("Anna", "Cleo").replace("Ben", "Dirk")), (2, "Cleo gave Dirk some bread while the others sat and Dirk")], "doc_id long, text string")
     got = {r.doc_id: r.n_windows for r in decontamination.judged(docs, bench).collect()}
     assert got[1] == 6 and got[2] == 1
+
+
+def test_rules_that_tie_and_very_long_urls(spark):
+    """Of equally long rules the one with the longer host wins; a URL may be of any length, labels may repeat or be null."""
+    rules = [("block", "b.com", "/xy"), ("allow", "a.b.com", "/x"[:0]), ("allow", "xa.b.com", "")]
+    long = "http://xa.b.com/" + "x" * 200_000 + "?q#f"
+    pages = spark.createDataFrame([(1, "http://xa.b.com/xyz"), (2, long), (2, long), (None, "http://q.b.com/xy"), (3, "http://h.org/" + "/".join(f"s{i}" for i in range(300)))], "page_id long, url string")
+    labels = spark.createDataFrame([(2, 1, None), (2, None, 0), (None, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in urls.judge(pages, labels, rules).collect())
+    assert got == sorted([("1", "xa.b.com", "allow"), ("2", "xa.b.com", "allow"), ("2", "xa.b.com", "allow"), ("None", "b.com/xy", "block"), ("3", None, "allow")])
+
+
+def test_very_long_texts(spark):
+    body = "word " * 100_000
+    docs = spark.createDataFrame([(1, body + ITEM + " " + body), (2, body + "token=abcdefgh" + body)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontamination.judged(docs, bench).collect()} == {1: [7], 2: []}
+    assert {r.doc_id: [(s.kind, s.start) for s in r.found] for r in scan(docs).collect()} == {1: [], 2: [("assign", 500_000)]}

@@ -47,3 +47,41 @@ def test_extra_columns_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", 9), (1, "a b c d", 8), (None, "b c d", 7)], "doc_id int, text string, block int")
     got = sorted(((r.doc_id, r.n_removed) for r in remove_repeated_windows(df, 3).collect()), key=str)
     assert got == [(1, 0), (1, 4), (None, 3)]
+
+
+def test_production_size_text_ids_and_very_long_texts(spark):
+    """Windows of 20 words; ids that are text, in their order; one text of 60,000 words."""
+    rnd = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(35))
+    long = " ".join(rnd.choice(["a", "b", "c"]) for _ in range(30_000)) + " " + passage + " " + " ".join(f"w{i}" for i in range(30_000))
+    docs = [(1, "one " + passage + " two"), (2, long), (3, passage[:60]), (4, "x " * 25), (5, None), (6, long[-500:])]
+    want = brute(docs, 20)
+    df = spark.createDataFrame([(f"d{k}", t) for k, t in docs], "doc_id string, text string")
+    got = {int(r.doc_id[1:]): (r.n_words, r.n_removed, r.kept) for r in remove_repeated_windows(df, block_bytes=4000).collect()}
+    assert got == want
+
+
+def test_blocks_are_even_in_rows_and_bytes_and_keep_the_order(monkeypatch):
+    import numpy as np
+
+    from almagest.llm import blocks
+
+    rnd = np.random.default_rng(1)
+    ids = rnd.permutation(50_000).astype(np.int64) * 3
+    sizes = np.where(rnd.random(50_000) < 0.01, 20_000, 200).astype(float)
+    cuts = blocks.even_bounds(ids, sizes, 100)
+    block = blocks.block_numbers(ids, cuts, int(ids.min()), int(ids.max()), 4)
+    order = np.argsort(ids)
+    assert np.all(np.diff(block[order]) >= 0) and block.max() < 400
+    filled = np.bincount(block // 4, weights=sizes)
+    assert len(cuts) == 99 and filled.max() < 2.2 * filled.mean()
+    assert blocks.block_numbers(np.array([blocks.LAST]), cuts, 0, 10**6, 4)[0] == 399
+
+
+def test_many_blocks_for_each_bound(spark, monkeypatch):
+    """Where the driver holds fewer bounds than there are blocks, ranges are cut by id; nothing else changes."""
+    from almagest.llm import blocks
+
+    monkeypatch.setattr(blocks, "MOST_BOUNDS", 3)
+    docs = corpus(8)
+    assert run(spark, docs, 5, block_bytes=500) == brute(docs, 5)
