@@ -9,13 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: How many tolerances wide the pieces of time are that ``nearest`` joins by themselves.
+SPAN = 64
+
+
 def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value_cols: Sequence[str], tolerance: float | None = None) -> DataFrame:
     """``left`` with the values of the right row nearest in ``on`` among equal ``by``; null where none is within the tolerance.
 
-    The earlier row wins a tie, and of rows with one time the last by values. One exchange by the keys: both sides are unioned and two windows carry
-    the rows before and after along, so the keys' rows are never multiplied.
+    The earlier row wins a tie, and of rows with one time the last by values. One exchange: both sides are unioned and two windows carry
+    the rows before and after along, so the keys' rows are never multiplied. With a tolerance the windows are cut by time too, each as wide as ``SPAN`` tolerances;
+    right rows near a cut belong to both sides of it. So a key that holds many rows is dealt over its time, and only a join without tolerance
+    keeps all rows of a key together.
     """
     by = list(by)
+    out_by = by
+    if tolerance is not None:
+        width = tolerance * SPAN if tolerance > 0 else 1.0
+        span = lambda t: F.floor(t / width).cast("long")
+        time = F.col(on).cast("double")
+        left = left.withColumn("_span", span(time))
+        right = right.withColumn("_span", F.explode(F.array_distinct(F.array(span(time - tolerance), span(time), span(time + tolerance)))))
+        by = [*by, "_span"]
     extra = [c for c in left.columns if c not in (on, *by)]
     a = left.select(*by, F.col(on).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(on, *extra).alias("_left"), F.lit(None).alias("_r"))
     b = right.select(*by, F.col(on).cast("double").alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), F.struct(F.col(on).cast("double").alias("t"), *value_cols).alias("_r"))
@@ -28,7 +42,7 @@ def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value
     if tolerance is not None:
         chosen = F.when(F.abs(chosen["t"] - F.col("_t")) <= tolerance, chosen)
     found = found.withColumn("_c", chosen)
-    return found.select(F.col(f"_left.{on}").alias(on), *by, *[F.col(f"_left.{c}").alias(c) for c in extra], *[F.col("_c")[c].alias(c) for c in value_cols])
+    return found.select(F.col(f"_left.{on}").alias(on), *out_by, *[F.col(f"_left.{c}").alias(c) for c in extra], *[F.col("_c")[c].alias(c) for c in value_cols])
 
 
 def kth_occurrence(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -45,7 +59,7 @@ def kth_occurrence(left: DataFrame, right: DataFrame, keys: Sequence[str], order
 def with_log_ordinal(index: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
     """The index without unknown payloads, with ``ordinal``: the place of each message among those of its log."""
     known = index if unknown is None else index.join(unknown.select("sequence_id"), "sequence_id", "left_anti")
-    return known.withColumn("ordinal", F.row_number().over(Window.partitionBy("log").orderBy("sequence_id")) - 1)
+    return running_ordinal(known, ["sequence_id"], "sequence_id", by=["log"])
 
 
 def with_table_ordinal(table: DataFrame, log: str) -> DataFrame:
@@ -53,16 +67,18 @@ def with_table_ordinal(table: DataFrame, log: str) -> DataFrame:
     return running_ordinal(table, ["sequence_id"], "sequence_id").withColumn("log", F.lit(log))
 
 
-def running_ordinal(df: DataFrame, order: Sequence[str | Column], bucket: str, name: str = "ordinal", width: int = 1 << 16) -> DataFrame:
-    """``df`` with the place of each row in the order given, without one window over all rows.
+def running_ordinal(df: DataFrame, order: Sequence[str | Column], bucket: str, name: str = "ordinal", width: int = 1 << 16, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the place of each row in the order given (among those of equal ``by``), without one window over all rows.
 
     ``bucket`` is a whole number that does not fall along the order; rows are numbered inside ranges of it, and the ranges' counts give their offsets.
     """
     part = df.withColumn("_part", F.floor(F.col(bucket) / width))
-    counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_offset", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return part.withColumn("_inside", inside).join(offsets.select("_part", F.coalesce("_offset", F.lit(0)).alias("_offset")), "_part").withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_part", "_inside", "_offset")
+    keys = [*by, "_part"]
+    counts = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return part.withColumn("_inside", inside).join(offsets, keys).withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_part", "_inside", "_offset")
 
 
 @dataclass(frozen=True)

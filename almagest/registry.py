@@ -6,14 +6,16 @@ Roles of the tables: events are an index (event_type is the log) and a log table
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions import codes
 from almagest.functions.aggregates import OPERATIONS, aggregated, described
-from almagest.functions.gpstime import GpsTime, gps_milliseconds, gps_week
+from almagest.functions.gpstime import LEAP_DAYS, GpsTime, gps_milliseconds, gps_week
 from almagest.functions.rounding import relative_error
 from almagest.operators import views
 from almagest.operators.joins import Key, kth_occurrence, nearest, positions, running_ordinal, with_log_ordinal
@@ -337,6 +339,16 @@ def gpstime_convert(spark, d):
     return event_log(spark, d).select("sequence_id", "header_week", "header_milliseconds")
 
 
+_LEAPS = " + ".join(f"CAST(o_orderdate >= DATE '{day}' AS BIGINT)" for day in LEAP_DAYS)
+
+
+@query(f"SELECT o_orderkey, floor((epoch(o_orderdate::TIMESTAMP) - epoch(TIMESTAMP '1980-01-06') + {_LEAPS}) / 604800) AS week, ((epoch(o_orderdate::TIMESTAMP) - epoch(TIMESTAMP '1980-01-06') + {_LEAPS}) % 604800) * 1000.0 AS ms FROM orders")
+def gpstime_leaps(spark, d):
+    """Dates from 1992 on, before and after several leap seconds."""
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    return table(spark, d, "orders").select("o_orderkey", gps_week(day).cast("double").alias("week"), gps_milliseconds(day).alias("ms"))
+
+
 # Views
 
 
@@ -563,6 +575,20 @@ def verify_payloads(spark, d):
     return found.select("pos", "log", "status", F.col("first_byte").cast("long").alias("first_byte"))
 
 
+@query("SELECT event_id AS pos, CASE WHEN user_id % 3 = 0 THEN 'same' ELSE 'different' END AS status, CASE user_id % 3 WHEN 1 THEN '_float_offset_4' WHEN 2 THEN '_byte_1' END AS field FROM events WHERE value IS NOT NULL")
+def verify_payload_floats(spark, d):
+    """Numbers at the offsets that the message's definition gives compare within the tolerance, other bytes exactly."""
+    @F.pandas_udf("binary")
+    def packed(n: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([struct.pack("<Id", int(a), b) for a, b in zip(n, x, strict=True)])
+
+    e = table(spark, d, "events").filter("value is not null").select(F.col("event_id").alias("pos"), F.lit("P").alias("log"), F.lit(1).cast("long").alias("week"), F.col("event_id").cast("double").alias("milliseconds"), "user_id", "value")
+    turn, keys = F.col("user_id") % 3, ["pos", "log", "week", "milliseconds"]
+    other = packed(F.when(turn == 2, F.col("user_id").bitwiseXOR(F.lit(256))).otherwise(F.col("user_id")), F.when(turn == 1, F.col("value") + 1).otherwise(F.col("value") * (1 + 1e-12)))
+    found = v.payload_differences(e.select(*keys, packed("user_id", "value").alias("payload")), e.select(*keys, other.alias("payload")), {"P": [("n", "ULONG", 1), ("x", "DOUBLE", 1)]})
+    return found.select("pos", "status", F.get("found", F.lit(0))["field"].alias("field"))
+
+
 @query("""SELECT 'L' AS log, count(*) AS messages, count(*) FILTER (WHERE o_custkey % 11 = 0) AS diffs, CASE WHEN count(*) FILTER (WHERE o_custkey % 11 = 0) > 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS status,
   count(*) FILTER (WHERE o_custkey % 11 = 0) || ' differing fields' AS reason FROM orders""")
 def verify_stored(spark, d):

@@ -471,13 +471,13 @@ def test_logging_banners_and_extensions(capsys):
     import logging
 
     from almagest import extensions
-    from almagest.logs import WIDTH, banner, setup
+    from almagest.logs import WIDTH, Coloured, banner, setup
 
     out = io.StringIO()
     for _ in range(3):
         logger = setup(logging.INFO, out, colour=True)
     logger.warning("once")
-    assert len(logger.handlers) == 1 and out.getvalue().count("once") == 1 and "\033[33m" in out.getvalue()
+    assert sum(isinstance(h.formatter, Coloured) for h in logger.handlers) == 1 and out.getvalue().count("once") == 1 and "\033[33m" in out.getvalue()
     text = banner("convert", input="/very/long" * 30, output="o")
     assert all(len(x) == WIDTH for x in text.splitlines()) and "..." in text
     assert not extensions.enable("no such extension") and extensions.as_gps_time(dt.datetime(1980, 1, 6)) == GpsTime(0, 0.0)
