@@ -11,10 +11,11 @@ a lost executor's part is computed again from the tables, as every pass is deter
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,10 +45,30 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+_passing: list[str] | None = None
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``written`` makes inside are deleted at the end, but for those that the caller takes off the list of their paths."""
+    global _passing
+    before, _passing = _passing, []
+    made = _passing
+    try:
+        yield made
+    finally:
+        _passing = before
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _passing is not None:
+        _passing.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

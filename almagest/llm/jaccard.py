@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, Blocks, Sketch, WholeIds, texts_of, written
+from almagest.llm.blocks import LAST, Blocks, Sketch, WholeIds, passing, texts_of, written
 from almagest.llm.hashing import COEFFICIENTS, Words, mix, whole_windows, windows
 
 GROUP = 512
@@ -242,7 +242,9 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, id
     with_tokens = alive.filter("tokens is not null").select(F.col("ord").alias("cid"), *key, "tokens")
     classes = written(with_tokens.join(named, [*key, "cid"]).dropDuplicates([*key, "cid"]).select("cid", "members", "tokens", *key), "classes")
 
-    labels = components(links_between(classes, percent))
+    with passing(classes.sparkSession) as made:
+        labels = components(links_between(classes, percent))
+        made.pop()  # the labels; what they were made from goes
     sized = labels.withColumnRenamed("label", "component")
     linked = classes.drop("tokens").join(sized, classes["cid"] == sized["node"], "left").select(*key, "cid", "members", "component")
     # Unlinked members of one class share just ``shared`` shingles, all others being unique to each.

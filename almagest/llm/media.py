@@ -117,10 +117,11 @@ def references(sequenced: DataFrame) -> DataFrame:
 def resolved(refs: DataFrame, media: DataFrame) -> DataFrame:
     """``refs`` with the columns of the media row that has their digest; the media table may repeat a digest.
 
-    The media have an exchange of their own before the join, so that Spark may split the references to one digest among several tasks.
+    The media are grouped by one key more, so that they have an exchange of their own before the join and Spark may split the references to one digest
+    among several tasks.
     """
     rest = [c for c in media.columns if c != "digest"]
-    once = media.groupBy("digest").agg(F.min(F.struct(*rest)).alias("media")).repartition("digest")
+    once = media.groupBy("digest", F.xxhash64("digest").alias("_h")).agg(F.min(F.struct(*rest)).alias("media")).drop("_h")
     return refs.join(once, "digest", "left").select("id", "pos", "digest", "caption", "media.*")
 
 

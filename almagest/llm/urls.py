@@ -62,7 +62,9 @@ def matched(token_sets: DataFrame, rules: DataFrame, broadcast_bytes: int = BROA
     index = listed.groupBy("antecedent", "confidence").agg(F.min(F.struct("often", "token")).alias("least")).select(F.col("least.token").alias("token"), "antecedent", "confidence")
     sets = token_sets.select("tokens").distinct()
     met = sets.select("tokens", F.explode("tokens").alias("token")).join(near(index), "token")
-    return met.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    # One key more: so the result has an exchange of its own before it is joined, and Spark may split the pages with one token set among several tasks.
+    found = met.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("tokens", F.size("tokens").alias("n"))
+    return found.agg(F.max("confidence").alias("confidence")).select("tokens", "confidence")
 
 
 def explicit_rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -87,8 +89,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), host(url).alias("host"), path(url).alias("path"), url_tokens(url).alias("tokens"))
     bad = labels.select(F.col(f"`{label_id}`").alias("of"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     mined = mine(rows.join(bad, rows["id"] == bad["of"]).filter(F.size("tokens") > 0).select("tokens", "bad"), support, confidence)
-    # An exchange of its own before the join lets Spark split the pages with one token set among several tasks.
-    hits = matched(rows, mined).withColumnRenamed("tokens", "held").repartition("held")
+    hits = matched(rows, mined).withColumnRenamed("tokens", "held")
     fixed = explicit_rule(F.col("host"), F.col("path"), rules)
     out = rows.join(hits, rows["tokens"] == hits["held"], "left").withColumn("fixed", fixed)
     verdict = F.coalesce("fixed.verdict", F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
