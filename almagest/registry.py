@@ -613,3 +613,7 @@ def verify_diff_category(spark, d):
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def fingerprint_sha256(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+#: The queries over tables, as against those that go through files.
+TABLE_QUERIES = tuple(QUERIES)
