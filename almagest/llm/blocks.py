@@ -1,9 +1,9 @@
 """Ordered document blocks, and exchanges of packed keys between them.
 
 The corpus is dealt once, by range of id, into blocks of a few MB.  A block is the unit of vectorised work.
-Blocks never see each other: each sends its distinct keys, packed, to the owners of key slices; an owner
-answers every block about the keys that this block sent.  A key therefore reaches its owner at most once
-for each block, however many rows hold it, so no key is hot.
+Blocks never see each other: each sends its distinct keys, packed, to the owners of key slices (over hubs, if there are
+many); an owner answers every block about the keys that this block sent.  A key therefore reaches its owner at most once
+for each block, however many rows hold it.
 
 All of it is one lazy plan.  The dealt documents are used by several passes, and Spark reuses that exchange;
 a lost executor's part is computed again from the tables, as every pass is deterministic.
@@ -234,9 +234,153 @@ def packed(rows: Iterable[tuple[int, int, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["block", "slice", "kind", "data"]).astype({"block": "int32", "slice": "int32", "kind": "int32"})
 
 
-def slices_for(n_keys: int, n_blocks: int) -> int:
-    """How many owners share the keys: about a million keys each, so that rows stay large and an owner's memory small."""
-    return max(1, min(n_blocks, 8), n_keys >> 20)
+#: Most key slices that a block, or a hub, sends a row to.
+FAN = 4096
+KEY, OWN = 0, 1
+#: A row of a hub has the keys of several blocks; its kind is this much greater, and runs (block, slice, how many) stand before its columns.
+MANY = 16
+
+
+class Slices:
+    """How many key slices there are, and by how many they are divided at each step on the way from blocks to owners."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.fan = n, FAN
+
+    @property
+    def levels(self) -> int:
+        n = 1
+        while self.fan**n < self.n:
+            n += 1
+        return n
+
+
+def slices_for(n_keys: int, n_blocks: int) -> Slices:
+    """As many owners as share the keys at about a million each, so that rows stay large and an owner's memory small."""
+    return Slices(max(1, min(n_blocks, 8), n_keys >> 20))
+
+
+class Deal:
+    """How a block's keys go to the owners of ``slices``: ``order`` lists them row by row, and inside a row slice by slice, each slice in the order given.
+
+    There is a row for each slice, or for each rest of the slices by their fan if there are more. A key's slice is its rest by their number, unless it is given.
+    """
+
+    def __init__(self, slices: Slices, hi: np.ndarray, given: np.ndarray | None = None) -> None:
+        self.single, self.n = slices.levels == 1, min(slices.n, slices.fan)
+        fine = (hi % np.uint64(slices.n)).astype(np.int64) if given is None else given
+        if self.single:
+            row = fine.astype(np.uint16)  # at most the fan: 16 bits sort in linear time
+            self.order = np.argsort(row, kind="stable")
+        else:
+            row = fine % slices.fan
+            self.order = np.lexsort((fine, row))
+        self.fine = fine[self.order]
+        self.cuts = np.searchsorted(row[self.order], np.arange(self.n + 1))
+
+    def rows(self, block: int, columns: list[np.ndarray], kind: int = KEY) -> Iterable[tuple[int, int, int, bytes]]:
+        for s in range(self.n):
+            a, z = self.cuts[s], self.cuts[s + 1]
+            if a < z:
+                own = self.order[a:z]
+                if self.single:
+                    yield block, s, kind, pack_many(*(c[own] for c in columns))
+                else:
+                    head = np.flatnonzero(np.diff(self.fine[a:z], prepend=-1))
+                    yield block, s, kind + MANY, pack_many(np.full(len(head), block), self.fine[a:z][head], np.diff(np.append(head, z - a)), *(c[own] for c in columns))
+
+    def places(self, ascending: np.ndarray) -> np.ndarray:
+        """Ascending positions of the keys, dealt; as gaps inside each row where it is one slice."""
+        dealt = ascending[self.order].astype(np.int64)
+        if not self.single:
+            return dealt
+        out = np.diff(dealt, prepend=0)
+        heads = self.cuts[:-1][self.cuts[:-1] < self.cuts[1:]]
+        out[heads] = dealt[heads]
+        return out
+
+
+def placed(places: np.ndarray, sizes: Iterable[int], slices: Slices) -> np.ndarray:
+    """The dealt positions again; ``sizes``: how many each row got."""
+    return ungap(places, sizes) if slices.levels == 1 else places.astype(np.int64)
+
+
+def ungap(gaps: np.ndarray, sizes: Iterable[int]) -> np.ndarray:
+    total = np.cumsum(gaps.astype(np.int64))
+    sizes = np.fromiter(sizes, dtype=np.int64)
+    before = np.concatenate(([0], total))[np.cumsum(sizes) - sizes]
+    return total - np.repeat(before, sizes)
+
+
+def answers_in_order(got: dict, kind: int) -> list[bytes]:
+    return [got[k] for k in sorted(got) if k[0] == kind]
+
+
+def gathered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray]:
+    """An owner's keys: the rows, their columns end to end, each element's block, and the rows' cuts."""
+    rows = pdf[pdf["kind"] != OWN]
+    parts = [unpack_many(d) for d in rows["data"]]
+    runs = [p[:3] if k >= MANY else None for p, k in zip(parts, rows["kind"], strict=True)]
+    parts = [p if r is None else p[3:] for p, r in zip(parts, runs, strict=True)]
+    sizes = np.array([len(p[0]) for p in parts], dtype=np.int64)
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    block = [np.full(n, b) if r is None else np.repeat(r[0], r[2].astype(np.int64)) for r, b, n in zip(runs, rows["block"], sizes, strict=True)]
+    return rows.assign(runs=runs), columns, np.concatenate(block).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def replies(rows: pd.DataFrame, answer: np.ndarray, cuts: np.ndarray) -> Iterable[tuple[int, int, int, bytes]]:
+    """The answers for the rows that ``gathered`` gave, an element for each key."""
+    for b, s, k, runs, a, z in zip(rows["block"], rows["slice"], rows["kind"], rows["runs"], cuts[:-1], cuts[1:], strict=True):
+        yield b, s, k, pack(answer[a:z]) if runs is None else pack_many(*runs, answer[a:z])
+
+
+def _split(pdf: pd.DataFrame, row_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], plain: bool) -> pd.DataFrame:
+    """A hub: deals the keys of its rows anew, to the rows (unit, slice) that ``row_of`` gives for (block, slice); what is no key passes."""
+    keys = pdf[pdf["kind"] != OWN]
+    rest = pdf[pdf["kind"] == OWN]
+    out = list(zip(rest["block"], rest["slice"], rest["kind"], rest["data"], strict=True))
+    if len(keys):
+        parts = [unpack_many(d) for d in keys["data"]]
+        runs = [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3)]
+        block, fine = (np.repeat(r, runs[2]) for r in runs[:2])
+        columns = [np.concatenate(c) for c in zip(*(p[3:] for p in parts), strict=True)]
+        unit, row = row_of(block, fine)
+        order = np.lexsort((fine, block, row, unit))
+        block, fine, unit, row = block[order], fine[order], unit[order], row[order]
+        fresh = lambda *c: np.flatnonzero(np.any([np.diff(x, prepend=-1) != 0 for x in c], axis=0))
+        head = fresh(unit, row)
+        for a, z in zip(head, np.append(head[1:], len(order)), strict=True):
+            own = [c[order[a:z]] for c in columns]
+            run = fresh(block[a:z], fine[a:z])
+            kind = KEY if plain else KEY + MANY
+            data = pack_many(*own) if plain and len(own) > 1 else pack(own[0]) if plain else pack_many(block[a:z][run], fine[a:z][run], np.diff(np.append(run, z - a)), *own)
+            out.append((int(unit[a]), int(row[a]), kind, data))
+    return packed(out)
+
+
+def owned(parts: DataFrame, owner: Callable[[pd.DataFrame], pd.DataFrame], slices: Slices) -> DataFrame:
+    """What the owners of the key slices answer to the blocks' rows.
+
+    Up to ``FAN`` slices each block sends a row to each owner. More are reached over hubs: a hub has the rows of up to ``FAN`` blocks (at the next level: hubs) for the slices with one
+    rest, merges them and divides the slices by ``FAN`` again; answers go back the same way. So the number of rows at each level grows with the input, not with its square.
+    """
+    fan, own = slices.fan, F.col("kind") == OWN
+
+    def forward(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: _split(pdf, lambda block, fine: (block // fan**level, fine % fan ** (level + 1)), plain=False)
+
+    def backward(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: _split(pdf, lambda block, fine: (block // fan ** (level - 1), fine % fan**level), plain=level == 1)
+
+    # States go along by their blocks' numbers; other rows are named by the unit of their level.
+    for level in range(1, slices.levels):
+        unit = F.when(own, F.col("block")).otherwise(F.col("block") * fan ** (level - 1))
+        parts = parts.withColumn("unit", F.floor(unit / fan**level)).groupBy("unit", "slice").applyInPandas(forward(level), PACKED)
+    parts = parts.groupBy("slice").applyInPandas(lambda pdf: owner(pdf), PACKED)  # a method would count as taking the key too
+    for level in range(slices.levels - 1, 0, -1):
+        unit = F.when(own, F.floor(F.col("block") / fan**level)).otherwise(F.col("block"))
+        parts = parts.withColumn("unit", unit).withColumn("row", F.col("slice") % fan**level).groupBy("unit", "row").applyInPandas(backward(level), PACKED)
+    return parts
 
 
 class Sketch:
@@ -250,104 +394,67 @@ class Sketch:
     def __init__(self, n_keys: int, n_blocks: int, depth: int = 2, load: float = 0.5) -> None:
         self.depth = depth
         self.bits = max(10, int(np.ceil(np.log2(max(1.0, n_keys / load)))))
-        self.slice_bits = min(self.bits, int(np.ceil(np.log2(slices_for(n_keys, n_blocks)))))
+        self.slice_bits = min(self.bits, int(np.ceil(np.log2(slices_for(n_keys, n_blocks).n))))
+        self.slices = Slices(depth << self.slice_bits)
+        self.low_bits = self.bits - self.slice_bits
 
     def _buckets(self, keys: np.ndarray, row: int) -> np.ndarray:
         turn = keys if row == 0 else (keys * np.uint64(0x9E3779B97F4A7C15)) ^ (keys >> np.uint64(29))
         return (turn * np.uint64((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)[row % 3])) >> np.uint64(64 - self.bits)
 
-    def _cuts(self, buckets: np.ndarray) -> np.ndarray:
-        """Where each slice begins in sorted buckets."""
-        return np.searchsorted(buckets, np.arange((1 << self.slice_bits) + 1, dtype=np.uint64) << np.uint64(self.bits - self.slice_bits))
+    def _slices(self, buckets: np.ndarray, row: int) -> np.ndarray:
+        return (buckets >> np.uint64(self.low_bits)).astype(np.int64) | row << self.slice_bits
 
     def part(self, block: int, keys: np.ndarray) -> Iterable[tuple[int, int, int, bytes]]:
+        """The block's counters: of each slice the gaps between their places, and what they count."""
+        slices, gaps, counts = [], [], []
         for row in range(self.depth):
             ordered = np.sort(self._buckets(keys, row))
             new = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1))) if len(ordered) else np.zeros(0, dtype=np.int64)
-            mine, counts = ordered[new], np.minimum(np.diff(new, append=len(ordered)), 255)
-            cuts = self._cuts(mine)
-            for s in range(1 << self.slice_bits):
-                a, b = cuts[s], cuts[s + 1]
-                if a < b:
-                    low = mine[a:b] - (np.uint64(s) << np.uint64(self.bits - self.slice_bits))
-                    gaps = np.diff(low, prepend=np.uint64(0))
-                    yield block, row << self.slice_bits | s, row, pack_many(gaps, counts[a:b])
+            mine = ordered[new]
+            slices.append(self._slices(mine, row))
+            low = (mine & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+            gap, head = np.diff(low, prepend=0), np.flatnonzero(np.diff(slices[-1], prepend=-1))
+            gap[head] = low[head]
+            gaps.append(gap)
+            counts.append(np.minimum(np.diff(new, append=len(ordered)), 255))
+        slices, gaps, counts = (np.concatenate(x) for x in (slices, gaps, counts))
+        yield from Deal(self.slices, slices, slices).rows(block, [gaps, counts])
 
     def owner(self, pdf: pd.DataFrame) -> pd.DataFrame:
         """Adds up one slice; answers with the merged counters of each block's own list."""
-        total = np.zeros(1 << (self.bits - self.slice_bits), dtype=np.uint8)
-        lists = []
-        for data in pdf["data"]:
-            gaps, counts = unpack_many(data)
-            at = np.cumsum(gaps.astype(np.int64))
-            total[at] = np.minimum(total[at].astype(np.int64) + counts, 255)
-            lists.append(at)
-        return packed((b, s, k, pack(total[at])) for b, s, k, at in zip(pdf["block"], pdf["slice"], pdf["kind"], lists, strict=True))
+        rows, (gaps, counts), _, cuts = gathered(pdf)
+        sizes = [n for runs, a, z in zip(rows["runs"], cuts[:-1], cuts[1:], strict=True) for n in ([z - a] if runs is None else runs[2].tolist())]
+        at = ungap(gaps, sizes)
+        total = np.minimum(np.bincount(at, weights=counts, minlength=1 << self.low_bits), 255).astype(np.uint8)
+        return packed(replies(rows, total[at], cuts))
 
     def estimates(self, keys: np.ndarray, got: dict) -> np.ndarray:
         """Merged count of each key, in the order given, from the owners' answers to this block."""
         out = np.full(len(keys), 255, dtype=np.uint8)
+        if not len(keys):
+            return out
+        orders, places, slices = [], [], []
+        n = 0
         for row in range(self.depth):
-            if not len(keys):
-                break
             buckets = self._buckets(keys, row)
-            order = np.argsort(buckets)
-            ordered = buckets[order]
-            fresh = np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0
-            counts = [unpack(got[row, row << self.slice_bits | s]) for s in range(1 << self.slice_bits) if (row, row << self.slice_bits | s) in got]
-            merged = np.concatenate(counts)[np.cumsum(fresh) - 1]
-            out[order] = np.minimum(out[order], merged)
+            orders.append(np.argsort(buckets))
+            ordered = buckets[orders[-1]]
+            new = np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0
+            places.append(np.cumsum(new) - 1 + n)
+            n = int(places[-1][-1]) + 1
+            slices.append(self._slices(ordered[new], row))
+        slices = np.concatenate(slices)
+        merged = np.empty(len(slices), dtype=np.uint8)
+        merged[Deal(self.slices, slices, slices).order] = np.concatenate([unpack(d) for d in answers_in_order(got, KEY)])
+        for order, place in zip(orders, places, strict=True):
+            out[order] = np.minimum(out[order], merged[place])
         return out
 
     def exchange(self, blocks: Blocks, keys_of: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
         """The owners' answers for all blocks; ``keys_of`` gives a block's keys."""
         parts = blocks.each(lambda block, pdf: packed(self.part(block, keys_of(pdf))), PACKED)
-        return parts.groupBy("slice").applyInPandas(lambda pdf: self.owner(pdf), PACKED)  # a bound method would count as taking the key too
-
-
-class Deal:
-    """How a block's keys go to ``n_slices`` owners: ``order`` lists them slice by slice, each slice in the order given."""
-
-    def __init__(self, n_slices: int, hi: np.ndarray) -> None:
-        slices = (hi % np.uint64(n_slices)).astype(np.uint16 if n_slices < 1 << 16 else np.int64)  # 16 bits sort in linear time
-        self.n = n_slices
-        self.order = np.argsort(slices, kind="stable")
-        self.cuts = np.searchsorted(slices[self.order], np.arange(n_slices + 1))
-
-    def rows(self, block: int, columns: list[np.ndarray], kind: int = 0) -> Iterable[tuple[int, int, int, bytes]]:
-        for s in range(self.n):
-            if self.cuts[s] < self.cuts[s + 1]:
-                own = self.order[self.cuts[s] : self.cuts[s + 1]]
-                yield block, s, kind, pack_many(*(c[own] for c in columns))
-
-    def gaps(self, ascending: np.ndarray) -> np.ndarray:
-        """Ascending positions of the keys, dealt, as gaps inside each slice."""
-        dealt = ascending[self.order].astype(np.int64)
-        out = np.diff(dealt, prepend=0)
-        heads = self.cuts[:-1][self.cuts[:-1] < self.cuts[1:]]
-        out[heads] = dealt[heads]
-        return out
-
-
-def ungap(gaps: np.ndarray, sizes: Iterable[int]) -> np.ndarray:
-    """The dealt positions again; ``sizes``: how many each slice got."""
-    total = np.cumsum(gaps.astype(np.int64))
-    sizes = np.fromiter(sizes, dtype=np.int64)
-    before = np.concatenate(([0], total))[np.cumsum(sizes) - sizes]
-    return total - np.repeat(before, sizes)
-
-
-def answers_in_order(got: dict, kind: int) -> list[bytes]:
-    return [got[k] for k in sorted(got) if k[0] == kind]
-
-
-def gathered(pdf: pd.DataFrame, kind: int = 0) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray]:
-    """An owner's rows of one kind: the rows, their columns end to end, each element's block, and the rows' cuts."""
-    rows = pdf[pdf["kind"] == kind]
-    parts = [unpack_many(d) for d in rows["data"]]
-    sizes = np.array([len(p[0]) for p in parts], dtype=np.int64)
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return rows, columns, np.repeat(rows["block"].to_numpy(np.int64), sizes), np.concatenate(([0], np.cumsum(sizes)))
+        return owned(parts, self.owner, self.slices)
 
 
 def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, WholeIds, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, unpack, unpack_many
+from almagest.llm.blocks import KEY, LAST, OWN, PACKED, Blocks, Deal, WholeIds, answers_in_order, distinct, gathered, owned, pack_many, packed, replies, slices_for, texts_of, unpack, unpack_many
 from almagest.llm.hashing import COEFFICIENTS, Words, mix
 
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
-KEY, OWN = 0, 1
 WHOLE, VARIANT, HALF = 0, 1, 2
 #: Lines with fewer words are no rarer for their halves, and emit their few variants at once.
 HALVES_FROM = 8
@@ -119,7 +118,7 @@ def copies_and_halves(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == OWN]
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
-        rows, (hi, lo, tag), block, cuts = gathered(pdf, KEY)
+        rows, (hi, lo, tag), block, cuts = gathered(pdf)
         answer = np.zeros(len(hi), dtype=bool)
         whole, half = np.flatnonzero(tag == WHOLE), np.flatnonzero(tag == HALF)
         first, number = distinct(hi[whole], lo[whole])
@@ -131,7 +130,7 @@ def copies_and_halves(pdf: pd.DataFrame) -> pd.DataFrame:
             head = np.flatnonzero(np.diff(hi[order], prepend=hi[order[:1]] + _U(1)))
             several = np.minimum.reduceat(lo[order], head) != np.maximum.reduceat(lo[order], head)
             answer[order] = np.repeat(several, np.diff(np.append(head, len(order))))
-        out += [(b, s, KEY, pack(answer[a:z])) for b, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
+        out += replies(rows, answer, cuts)
     return packed(out)
 
 
@@ -140,9 +139,9 @@ def meet(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == OWN]
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
-        rows, (hi, lo, tag, place, n), block, cuts = gathered(pdf, KEY)
+        rows, (hi, lo, tag, place, n), block, cuts = gathered(pdf)
         goes = nearest_before(distinct(hi, lo)[1], tag, place, n, block)
-        out += [(b, s, KEY, pack(goes[a:z])) for b, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
+        out += replies(rows, goes, cuts)
     return packed(out)
 
 
@@ -152,7 +151,7 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 1, near_words: int
     blocks = Blocks(ids.docs, id_col, text_col, block_bytes, carry=carry)
     halves_from = max(HALVES_FROM, near_words)
     result = T.StructType([*RESULT.fields, *[T.StructField(f"carry{i}", T.StringType()) for i in range(len(carry))]])
-    n_slices = slices_for(blocks.bytes // 16, blocks.count)
+    slices = slices_for(blocks.bytes // 16, blocks.count)
 
     def first(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
         lines = Lines(texts_of(pdf))
@@ -169,9 +168,9 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 1, near_words: int
         hi, lo = np.concatenate((hi, half)), np.concatenate((lo, np.tile(hi[near], 4)))
         tag = np.repeat([WHOLE, HALF], [len(which), len(half)])
         line = np.concatenate((which, half_line))
-        deal = Deal(n_slices, hi)
+        deal = Deal(slices, hi)
         state = pack_many(np.diff(counted[copy], prepend=0), line[deal.order], tag[deal.order])
-        return packed([*deal.rows(block, [hi, lo, tag], KEY), (block, block % n_slices, OWN, state)])
+        return packed([*deal.rows(block, [hi, lo, tag], KEY), (block, block % slices.n, OWN, state)])
 
     def answers_of(got: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         (state,) = answers_in_order(got, OWN)
@@ -199,11 +198,11 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 1, near_words: int
         keep, entry = distinct((number * 2 + tag).astype(_U), place.astype(_U))
         extra = np.ones(len(line), dtype=bool)
         extra[keep] = False
-        deal = Deal(n_slices, hi[keep])
+        deal = Deal(slices, hi[keep])
         where = np.empty(len(keep), dtype=np.int64)
         where[deal.order] = np.arange(len(keep))
         state = pack_many(np.diff(gone, prepend=0), line[keep][deal.order], where[entry[extra]], line[extra])
-        return packed([*deal.rows(block, [hi[keep], lo[keep], tag[keep], place[keep], n[keep]], KEY), (block, block % n_slices, OWN, state)])
+        return packed([*deal.rows(block, [hi[keep], lo[keep], tag[keep], place[keep], n[keep]], KEY), (block, block % slices.n, OWN, state)])
 
     def third(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         lines = Lines(texts_of(pdf))
@@ -220,8 +219,8 @@ def remove_repeated_lines(docs: DataFrame, exact_words: int = 1, near_words: int
         real = pdf["text"].notna().to_numpy()
         return pd.DataFrame({"id": pdf["ord"], "n_lines": lines.text_count * real, "n_removed": (sums[lines.text_first + lines.text_count] - sums[lines.text_first]) * real, "text": text} | {c: pdf[c] for c in pdf.columns if c.startswith("carry")})
 
-    answers = blocks.each(first, PACKED).groupBy("slice").applyInPandas(lambda pdf: copies_and_halves(pdf), PACKED)
-    answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(lambda pdf: meet(pdf), PACKED)
+    answers = owned(blocks.each(first, PACKED), copies_and_halves, slices)
+    answers = owned(blocks.answered(answers, second, PACKED), meet, slices)
     out = blocks.answered(answers, third, result)
     out = out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_lines", "n_removed", F.col("text").alias("kept_text"), *[F.col(f"carry{i}").cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(carry)])
     return ids.named(out, id_col)

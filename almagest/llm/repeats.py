@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, Sketch, WholeIds, answers_in_order, distinct, gathered, pack, pack_many, packed, slices_for, texts_of, ungap, unpack, unpack_many
+from almagest.llm.blocks import KEY, LAST, OWN, PACKED, Blocks, Deal, Sketch, WholeIds, answers_in_order, distinct, gathered, owned, pack_many, packed, placed, replies, slices_for, texts_of, unpack, unpack_many
 from almagest.llm.hashing import Words, whole_windows, windows
 
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-KEY, OWN = 0, 1
 
 
 def _starts_and_keys(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,14 +35,14 @@ def earlier_block(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == OWN]
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
-        rows, (hi, lo), block, cuts = gathered(pdf, KEY)
+        rows, (hi, lo), block, cuts = gathered(pdf)
         order = np.lexsort((block, lo, hi))
         h, low, b = hi[order], lo[order], block[order]
         fresh = np.ones(len(h), dtype=bool)
         fresh[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
         later = np.empty(len(h), dtype=bool)
         later[order] = b > b[fresh][np.cumsum(fresh) - 1]
-        out += [(x, s, KEY, pack(later[a:z])) for x, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
+        out += replies(rows, later, cuts)
     return packed(out)
 
 
@@ -69,7 +68,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
     ids = WholeIds(docs, id_col)
     blocks = Blocks(ids.docs, id_col, text_col, block_bytes)
     sketch = Sketch(max(1, blocks.bytes // 6), blocks.count)
-    n_slices = slices_for(blocks.bytes // 6, blocks.count)
+    slices = slices_for(blocks.bytes // 6, blocks.count)
 
     def second(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         words = Words(texts_of(pdf))
@@ -81,9 +80,9 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
         first = np.sort(first)
         repeated = np.ones(len(starts), dtype=bool)
         repeated[first] = False
-        deal = Deal(n_slices, hi[first])
-        state = pack_many(deal.gaps(starts[first]), np.diff(starts[repeated], prepend=0))
-        return packed([*deal.rows(block, [hi[first], lo[first]], KEY), (block, block % n_slices, OWN, state)])
+        deal = Deal(slices, hi[first])
+        state = pack_many(deal.places(starts[first]), np.diff(starts[repeated], prepend=0))
+        return packed([*deal.rows(block, [hi[first], lo[first]], KEY), (block, block % slices.n, OWN, state)])
 
     def third(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         words = Words(texts_of(pdf))
@@ -92,7 +91,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
         later = [unpack(d).astype(bool) for d in answers_in_order(got, KEY)]
         gone = np.cumsum(repeated.astype(np.int64))
         if later:
-            gone = np.concatenate((gone, ungap(firsts, map(len, later))[np.concatenate(later)]))
+            gone = np.concatenate((gone, placed(firsts, map(len, later), slices)[np.concatenate(later)]))
         cover = np.zeros(len(words.start) + 1, dtype=np.int64)
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + size, -1)
@@ -101,7 +100,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 20, id_col: str = "doc_
         return pd.DataFrame({"id": pdf["ord"], "n_words": words.count, "n_removed": sums[words.first + words.count] - sums[words.first], "kept": kept_words(words, removed)})
 
     answers = sketch.exchange(blocks, lambda pdf: _starts_and_keys(Words(texts_of(pdf)), size)[1])
-    answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(earlier_block, PACKED)
+    answers = owned(blocks.answered(answers, second, PACKED), earlier_block, slices)
     out = blocks.answered(answers, third, RESULT)
     out = out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_words", "n_removed", "kept")
     return ids.named(out, id_col)

@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almagest.llm.blocks import LAST, PACKED, Blocks, Deal, WholeIds, answers_in_order, gathered, pack, pack_many, packed, slices_for, texts_of, unpack, unpack_many
+from almagest.llm.blocks import KEY, LAST, OWN, PACKED, Blocks, Deal, WholeIds, answers_in_order, gathered, owned, pack_many, packed, replies, slices_for, texts_of, unpack, unpack_many
 from almagest.llm.hashing import RangeHash, joined, mix
 
 SPREAD, GRAM = 128, 8
-KEY, OWN = 0, 1
 ALONE, SAME, MIXED = 0, 1, 2
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 RESULT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPAN), T.StructField("kept", T.BinaryType())])
@@ -188,7 +187,7 @@ def core_owner(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == OWN]
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
-        rows, (core, context, flags), block, cuts = gathered(pdf, KEY)
+        rows, (core, context, flags), block, cuts = gathered(pdf)
         order = np.argsort(core)
         new = fresh(core[order])
         head = np.flatnonzero(new)
@@ -198,7 +197,7 @@ def core_owner(pdf: pd.DataFrame) -> pd.DataFrame:
         around = context[order]
         mixed = (np.maximum.reduceat(flags[order], head) >= 2) | (np.minimum.reduceat(around, head) != np.maximum.reduceat(around, head))
         answer = np.where(count < 2, ALONE, np.where(mixed, MIXED, SAME))[number].astype(np.uint8)
-        out += [(b, s, KEY, pack(answer[a:z])) for b, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
+        out += replies(rows, answer, cuts)
     return packed(out)
 
 
@@ -207,13 +206,13 @@ def window_owner(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == OWN]
     out = list(zip(own["block"], own["slice"], own["kind"], own["data"], strict=True))
     if len(own) < len(pdf):
-        rows, (hi, lo, many), block, cuts = gathered(pdf, KEY)
+        rows, (hi, lo, many), block, cuts = gathered(pdf)
         order = np.lexsort((lo, hi))
         new = fresh(hi[order], lo[order])
         number = np.empty(len(hi), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         again = (held_by(number, block, many, int(new.sum())) >= 2)[number]
-        out += [(b, s, KEY, pack(again[a:z])) for b, s, a, z in zip(rows["block"], rows["slice"], cuts[:-1], cuts[1:], strict=True)]
+        out += replies(rows, again, cuts)
     return packed(out)
 
 
@@ -225,7 +224,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     """
     ids = WholeIds(docs, id_col)
     blocks = Blocks(ids.docs, id_col, text_col, block_bytes)
-    n_slices = slices_for(blocks.bytes // 16, blocks.count)
+    slices = slices_for(blocks.bytes // 16, blocks.count)
 
     def first(block: int, pdf: pd.DataFrame) -> pd.DataFrame:
         x = Anchors(texts_of(pdf), length)
@@ -238,13 +237,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         size = np.diff(np.append(head, len(core)))
         least, most = (reduced(f, around, head) for f in (np.minimum, np.maximum))
         flags = (size > 1) + 2 * (least != most)
-        deal = Deal(n_slices, core[head])
+        deal = Deal(slices, core[head])
         dealt = np.empty(len(head), dtype=np.int64)
         dealt[deal.order] = np.arange(len(head))
         # In the order of the text: where windows begin, how many, how far on the anchor is, its class, and its place in the array.
         by_place = np.argsort(low)
         state = pack_many(np.diff(low[by_place], prepend=0), (high - low)[by_place], (at - low)[by_place], np.repeat(dealt, size)[by_place], by_place)
-        return packed([*deal.rows(block, [core[head], least, flags], KEY), (block, block % n_slices, OWN, state)])
+        return packed([*deal.rows(block, [core[head], least, flags], KEY), (block, block % slices.n, OWN, state)])
 
     def answered(got: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         (state,) = answers_in_order(got, OWN)
@@ -279,13 +278,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
                 classes.append((np.cumsum(new) - 1 + n).astype(np.uint32))
                 n += len(head)
         hi, lo, many, starts, classes = (np.concatenate(c) if c else np.zeros(0, dtype=k) for c, k in ((hi, np.uint64), (lo, np.uint64), (many, bool), (starts, np.uint32), (classes, np.uint32)))
-        deal = Deal(n_slices, hi)
+        deal = Deal(slices, hi)
         dealt = np.empty(n, dtype=np.uint32)
         dealt[deal.order] = np.arange(n, dtype=np.uint32)
         order = np.argsort(starts)
         starts, classes = starts[order], dealt[classes[order]]
         state = pack_many(np.diff(low[of == SAME], prepend=0), width[of == SAME], np.diff(starts, prepend=starts[:1] * 0), classes)
-        return packed([*deal.rows(block, [hi, lo, many], KEY), (block, block % n_slices, OWN, state)])
+        return packed([*deal.rows(block, [hi, lo, many], KEY), (block, block % slices.n, OWN, state)])
 
     def third(block: int, pdf: pd.DataFrame, got: dict) -> pd.DataFrame:
         again, (low, width, mixed, number) = answered(got)
@@ -306,8 +305,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         spans = [[{"start": s - o, "end": e - o} for s, e in zip(run_start[i:j].tolist(), run_end[i:j].tolist(), strict=True)] for i, j, o in zip(a, z, start.tolist(), strict=True)]
         return pd.DataFrame({"id": pdf["ord"], "n_bytes": end - start, "n_removed": (end - start) - (upto[end] - upto[start]), "spans": spans, "kept": [left[i:j] for i, j in zip(upto[start], upto[end], strict=True)]})
 
-    answers = blocks.each(first, PACKED).groupBy("slice").applyInPandas(lambda pdf: core_owner(pdf), PACKED)
-    answers = blocks.answered(answers, second, PACKED).groupBy("slice").applyInPandas(lambda pdf: window_owner(pdf), PACKED)
+    answers = owned(blocks.each(first, PACKED), core_owner, slices)
+    answers = owned(blocks.answered(answers, second, PACKED), window_owner, slices)
     out = blocks.answered(answers, third, RESULT)
     out = out.select(F.when(F.col("id") != LAST, F.col("id")).cast(blocks.id_type).alias(id_col), "n_bytes", "n_removed", "spans", "kept")
     return ids.named(out, id_col)

@@ -1,6 +1,7 @@
 import random
 import re
 
+from almagest.llm import repeats
 from almagest.llm.repeats import remove_repeated_windows
 
 
@@ -85,3 +86,28 @@ def test_many_blocks_for_each_bound(spark, monkeypatch):
     monkeypatch.setattr(blocks, "MOST_BOUNDS", 3)
     docs = corpus(8)
     assert run(spark, docs, 5, block_bytes=500) == brute(docs, 5)
+
+
+def test_many_slices_are_reached_over_hubs(spark, monkeypatch):
+    """Slices and blocks as at hundreds of GB, by a small fan: three levels of hubs change nothing in any operator's result."""
+    import test_jaccard
+    import test_lines
+    import test_suffixes
+
+    from almagest.llm import blocks, jaccard, lines, suffixes
+
+    monkeypatch.setattr(blocks, "FAN", 3)
+    assert [blocks.Slices(n).levels for n in (1, 3, 4, 9, 10, 28)] == [1, 1, 2, 2, 3, 4]
+    many = lambda n_keys, n_blocks: blocks.Slices(20)
+    for module in (blocks, lines, suffixes, repeats):
+        monkeypatch.setattr(module, "slices_for", many)
+    docs = corpus(8)
+    assert run(spark, docs, 5, block_bytes=500) == brute(docs, 5)
+    assert run(spark, [], 5) == {}
+    test_suffixes.check(spark, 150, 6, block_bytes=2000)
+    docs = test_lines.corpus(4)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in lines.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=400).collect()}
+    assert got == test_lines.brute(docs, 1, 5)
+    docs = test_jaccard.corpus(5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string"), 2, 60, block_bytes=2000).collect()}
+    assert got == test_jaccard.brute(docs, 2, 60)
