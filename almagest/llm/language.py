@@ -120,7 +120,7 @@ def _bundle(group: list[tuple[int, np.ndarray]], out: np.ndarray, sizes: np.ndar
     of = np.array([i for i, _ in group])
     text = np.unique(of)  # parts of one text next to each other are one
     part = np.searchsorted(text, of)[part]
-    np.add.at(sizes, text, np.bincount(part, minlength=len(text)))
+    sizes[text] += np.bincount(part, minlength=len(text))
     if k**gram <= 1 << 24:
         seen = np.flatnonzero(np.bincount(code, minlength=k**gram))
         number = np.zeros(k**gram, dtype=np.int32)
@@ -140,7 +140,7 @@ def _bundle(group: list[tuple[int, np.ndarray]], out: np.ndarray, sizes: np.ndar
             rows = min(step, len(text) - b)
             counts = np.bincount((row[y:w] - b) * len(some) + column[y:w], minlength=rows * len(some)).reshape(rows, len(some))
             total[b : b + rows] += counts.astype(np.float32) @ vectors
-    np.add.at(out, text, total)
+    out[text] += total
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
