@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,14 +47,16 @@ def nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value
 
 
 def kth_occurrence(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Left join of the k-th left row of a key with the k-th right row; null keys are equal. Columns ``l`` and ``r`` are the rows as structs."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    a = left.select(F.struct("*").alias("l"), F.row_number().over(w).alias("k"), *[F.col(k).alias(f"lk_{k}") for k in keys])
-    b = right.select(F.struct("*").alias("r"), F.row_number().over(w).alias("rk"), *[F.col(k).alias(f"rk_{k}") for k in keys])
+    """Left join of the k-th left row of a key with the k-th right row; null keys are equal. Columns ``l`` and ``r`` are the rows as structs.
+
+    ``order`` is a whole number; a key's rows are numbered by ranges of it, so that a key that holds many rows is dealt among tasks.
+    """
+    a = running_ordinal(left.select(F.struct("*").alias("l"), F.col(order).alias("_order"), *[F.col(k).alias(f"lk_{k}") for k in keys]), ["_order"], "_order", "k", by=[f"lk_{k}" for k in keys])
+    b = running_ordinal(right.select(F.struct("*").alias("r"), F.col(order).alias("_order"), *[F.col(k).alias(f"rk_{k}") for k in keys]), ["_order"], "_order", "rk", by=[f"rk_{k}" for k in keys])
     same = F.col("k") == F.col("rk")
     for key in keys:
         same &= F.col(f"lk_{key}").eqNullSafe(F.col(f"rk_{key}"))
-    return a.join(b, same, "left").select("l", "r", "k")
+    return a.drop("_order").join(b.drop("_order"), same, "left").select("l", "r", (F.col("k") + 1).alias("k"))
 
 
 def with_log_ordinal(index: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
@@ -76,9 +79,11 @@ def running_ordinal(df: DataFrame, order: Sequence[str | Column], bucket: str, n
     keys = [*by, "_part"]
     counts = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return part.withColumn("_inside", inside).join(offsets, keys).withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_part", "_inside", "_offset")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    numbered = part.withColumn("_inside", inside).join(offsets, same)
+    return numbered.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).drop("_part", "_inside", "_offset", *[f"_of_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
