@@ -77,3 +77,17 @@ def test_empty_table_null_ids_and_extra_columns(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (4, "a b c d e f", 2), (4, "a b c d e f", 2)], "doc_id int, text string, cid int")
     got = sorted((str(r.doc_id), r.component_id) for r in near_duplicate_classes(df).collect())
     assert got == [("4", 4), ("4", 4), ("None", 4)]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from almagest.llm.blocks import shared_dir
+
+    where = Path(shared_dir(spark).removeprefix("file://"))
+    listed = lambda: {p.name for p in where.iterdir()} if where.exists() else set()
+    before = listed()
+    docs = corpus(5, 60)
+    out = near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string"), 2, 60, block_bytes=2000)
+    assert sorted(n.split("-")[0] for n in listed() - before) == ["classes", "labels", "shingles"]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(docs, 2, 60)
