@@ -497,3 +497,18 @@ def test_logging_banners_and_extensions(capsys):
     extensions.enable("gpstime", lambda x: GpsTime(x, 1.0))
     assert extensions.spanned(lambda: 3)() == 3 and len(entered) == 1 and extensions.as_gps_time(7) == GpsTime(7, 1.0)
     extensions.disable("telemetry"), extensions.disable("gpstime")
+
+
+def test_command_line_converts_rebuilds_and_plots(spark, logfile, tmp_path, capsys):
+    from almagest.cli import dashboard, main
+
+    out = str(tmp_path / "rec")
+    assert main(["convert", logfile, "-o", out, "--no-parallel"]) == 0 and main(["convert", logfile, "-o", out]) == 1
+    assert main(["reconstruct", out, logfile, "--mode", "field", "--report", str(tmp_path / "r.html")]) == 0 and "VERIFIED" in (tmp_path / "r.html").read_text()
+    assert main(["validate-source", logfile, out]) == 0 and "VALID" in capsys.readouterr().out
+    rows = [(i, 2300, 1000.0 * i, 51.0 + i / 100, -114.0 - i / 100, 1.0) for i in range(300)]
+    pos = spark.createDataFrame(rows, "sequence_id long, header_week long, header_milliseconds double, latitude double, longitude double, latitude_std_dev double")
+    index = pos.select("sequence_id", F.lit("BESTPOS").alias("log"))
+    page, failed = dashboard(Recording(index, {"BESTPOS": LogTable("BESTPOS", pos)}, None, index), ["position", "imu"], "a <title>", osm=True)
+    assert "tile.openstreetmap.org" in page and '<a href="#position">' in page and "&lt;title&gt;" in page and list(failed) == ["imu"]
+    assert main(["plot", out, "--plot", "imu", "--out", str(tmp_path), "--no-html"]) in (0, 1)
