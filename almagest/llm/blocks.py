@@ -73,18 +73,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrays of fewer bytes are not compressed.
+SMALL, RAW = 256, 128
+
+
 def pack(values: np.ndarray) -> bytes:
     """Smallest unsigned type that holds the values, bytes grouped by significance, compressed."""
     top = int(values.max()) if len(values) else 0
     kind = next(t for t in ("u1", "u2", "u4", "u8") if top < 1 << (8 * int(t[1])))
     width = int(kind[1])
     raw = values.astype("<" + kind).view(np.uint8).reshape(-1, width).T.tobytes()
-    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(raw, codec="zstd", asbytes=True)
+    small = len(raw) < SMALL
+    return len(values).to_bytes(8, "little") + bytes([width | RAW * small]) + (raw if small else pa.compress(raw, codec="zstd", asbytes=True))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n, width = int.from_bytes(data[:8], "little"), data[8]
-    raw = pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
+    n, width = int.from_bytes(data[:8], "little"), data[8] & ~RAW
+    raw = data[9:] if data[8] & RAW else pa.decompress(data[9:], decompressed_size=n * width, codec="zstd", asbytes=True)
     return np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T.copy().view(f"<u{width}").reshape(-1)
 
 
