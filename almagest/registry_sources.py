@@ -5,16 +5,25 @@ Events and orders become messages (an order holds its lines, a pair of numbers a
 
 from __future__ import annotations
 
+import contextlib
+import datetime as dt
+import io
+import itertools
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almagest.functions.gpstime import LEAP_DAYS, GpsTime
 from almagest.operators.verify import same_source
 from almagest.plans.catalog import METADATA, Files, Recording, shared_folder
+from almagest.plans.table import LogTable
+from almagest.progress import Progress, Tracker
 from almagest.registry import EVENTS, event_log, query, table
-from almagest.report import verify, verify_stored
+from almagest.report import print_summary, verify, verify_stored, write_report
 from almagest.sources.frames import UNKNOWN_LOG, FramedLog, ascii_messages
 from almagest.sources.plugins import JsonLines, lines, run
 from almagest.sources.rebuild import rebuild
@@ -235,3 +244,107 @@ def src_plugin(spark, d):
     folder = made(spark, d, "json", make)
     path = f"{folder}/{next(n for n in Files(spark, folder).names(folder) if n.endswith('.json'))}"
     return run(spark, path, "k long, b double", JsonLines(), lines(path), wanted=5).select("k", "b")
+
+
+# What is told about recordings, on the driver
+
+
+@query(f"""SELECT place, line FROM (SELECT 0 AS place, 'recording: ' || count(*) || ' messages' AS line FROM {_MESSAGES}
+UNION ALL SELECT 1, '  EVENT: ' || count(*) || ' entries, 5 fields' FROM {_MESSAGES} WHERE log = 'EVENT'
+UNION ALL SELECT 2, '  ORDER: ' || count(*) || ' entries, 6 fields' FROM orders
+UNION ALL SELECT 3, '    lines: ' || count(*) || ' entries, 3 fields' FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT 4, '    pair: ' || count(*) || ' entries, 3 fields' FROM orders)""")
+def src_tree(spark, d):
+    """The tree of tables with the numbers of entries and fields."""
+    return spark.createDataFrame(list(enumerate(repr(Recording.open(spark, recording(spark, d))).splitlines())), "place int, line string")
+
+
+_LEAP = " + ".join(f"CAST(o_orderdate >= DATE '{day}' AS BIGINT)" for day in LEAP_DAYS)
+_SINCE = f"(epoch(o_orderdate::TIMESTAMP) - epoch(TIMESTAMP '1980-01-06') + {_LEAP})"
+
+
+@query(f"SELECT DISTINCT CAST(epoch(o_orderdate::TIMESTAMP) AS BIGINT) AS unix, CAST(floor({_SINCE} / 604800) AS BIGINT) AS week, CAST({_SINCE} % 604800 AS DOUBLE) AS seconds FROM orders")
+def gpstime_of(spark, d):
+    """Datetimes as weeks and seconds; a time of either kind is taken."""
+    days = [r.day for r in table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("day")).distinct().collect()]  # a row for each day of the calendar
+    times = [(int(day.replace(tzinfo=dt.timezone.utc).timestamp()), GpsTime.of(GpsTime.of(day))) for day in days]
+    return spark.createDataFrame([(unix, t.week, float(t.seconds)) for unix, t in times], "unix long, week long, seconds double")
+
+
+@query("SELECT * FROM (VALUES ('decode', 0.0::DOUBLE), ('A', 50.0), ('B', 100.0)) AS t(phase, percent)")
+def snk_progress(spark, d):
+    """What a caller hears of a writer's progress; one that fails is passed over."""
+    seen = []
+
+    def broken(_: Progress) -> None:
+        raise RuntimeError
+
+    rows = messages(spark, d).filter("log = 'EVENT'").withColumn("log", F.when(F.col("sequence_id") % 4 == 0, "A").otherwise("B"))
+    write_recording(rows, f"{shared_folder(spark).removeprefix('file://')}/progress-{uuid.uuid4().hex}", tracker=Tracker(broken, lambda p: seen.append((p.phase, float(p.percent))), clock=itertools.count().__next__))
+    return spark.createDataFrame(seen, "phase string, percent double")
+
+
+@query("""SELECT * FROM (VALUES ('exists', 'RecordingExistsError'), ('no recording', 'InvalidRecordingError'), ('no log', 'FieldNotFoundError'), ('lost rows', 'RebuildError'), ('slice', 'SliceError'), ('sink', 'WriteError'), ('no file', 'TypeError')) AS t(what, error)""")
+def errors_raised(spark, d):
+    at = recording(spark, d)
+    rec = Recording.open(spark, at)
+    root = at.rsplit("/", 1)[0]
+    folder = made(spark, d, "numbers", lambda p: spark.range(9).select(F.col("id").cast("string")).coalesce(1).write.text(p))
+    path = f"{folder}/{next(n for n in Files(spark, folder).names(folder) if n.endswith('.txt'))}"
+    tries = {
+        "exists": lambda: convert(spark, log_file(spark, d), at),
+        "no recording": lambda: Recording.open(spark, root),
+        "no log": lambda: rec.filter_by_log("NOTHING"),
+        "lost rows": lambda: rebuild(Recording(rec.index, {"EVENT": rec.tables["EVENT"]}, rec.unknown, rec.whole_index), f"{root}/lost.bin"),
+        "slice": lambda: run(spark, path, "k long", JsonLines(), lines(path), lambda rows: rows.count()),
+        "sink": lambda: run(spark, path, "k long", JsonLines(), lines(path), lambda rows: rows.nothing()),
+        "no file": lambda: convert(spark, [1, 2], f"{root}/none"),
+    }
+    rows = []
+    for what, act in tries.items():
+        try:
+            act()
+        except Exception as e:
+            rows.append((what, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
+@query("""SELECT * FROM (VALUES ('usage', 0), ('unknown', 1), ('validate-source', 0), ('validate_source, other', 1), ('convert again', 1)) AS t(command, code)""")
+def command_line(spark, d):
+    """Exit codes."""
+    from almagest.cli import main
+
+    log, at = log_file(spark, d), recording(spark, d)
+    runs = {"usage": [], "unknown": ["nothing"], "validate-source": ["validate-source", log, at], "validate_source, other": ["validate_source", log, streamed(spark, d)], "convert again": ["convert", log, "-o", at]}
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        codes = [(name, main(args)) for name, args in runs.items()]
+    return spark.createDataFrame(codes, "command string, code int")
+
+
+@query(f"SELECT log, 'VERIFIED' AS status, CAST(count(*) AS VARCHAR) AS messages FROM {_MESSAGES} WHERE log <> '{UNKNOWN_LOG}' GROUP BY log")
+def report_page(spark, d):
+    """The rows by log of the verification's page, read back from its HTML."""
+    found = verify(spark, recording(spark, d), log_file(spark, d), "field")["field"]
+    with tempfile.NamedTemporaryFile("r", suffix=".html") as f:
+        write_report(found, f.name, "field")
+        page = f.read()
+    with contextlib.redirect_stdout(io.StringIO()) as console:
+        print_summary(found, "field")
+    table_of = page[page.index("By log") :].split("</details>")[0]
+    rows = [re.sub("<[^>]*>", "|", x).strip("|") for x in re.findall(r"<tr><td>.*?</tr>", table_of)]
+    cells = [[c for c in r.split("|") if c] for r in rows]
+    told = [(c[0], c[4], c[1]) for c in cells if f"{c[0]}: {c[4]}, {c[2]} of {c[1]} matched" in console.getvalue()]
+    return spark.createDataFrame(told, "log string, status string, messages string")
+
+
+@query("SELECT * FROM (VALUES ('accuracy'), ('imu'), ('position')) AS t(tab)")
+def dashboard_tabs(spark, d):
+    """The tabs of a page of views; views that fail or lack their log have none."""
+    from almagest.cli import dashboard
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("sequence_id"), (F.col("c_custkey") * 10.0).alias("header_milliseconds"), F.lit(51.0).alias("latitude"), F.lit(-114.0).alias("longitude"), *[F.col("c_acctbal").alias(f"{n}_std_dev") for n in ("latitude", "longitude", "height")])
+    imu = c.select("sequence_id", "header_milliseconds", F.col("latitude").alias("accel_x"))
+    index = c.select("sequence_id", F.lit("BESTPOS").alias("log"))
+    rec = Recording(index, {"BESTPOS": LogTable("BESTPOS", c), "RAWIMU": LogTable("RAWIMU", imu), "INSSTDEV": LogTable("INSSTDEV", imu)}, None, index)
+    page, failed = dashboard(rec, ["position", "accuracy", "signal", "imu", "attitude_accuracy"], "views")
+    return spark.createDataFrame([(t,) for t in re.findall(r'<section id="([^"]*)">', page) if t not in failed], "tab string")

@@ -107,10 +107,10 @@ def run(spark: SparkSession, path: str, schema: str | T.StructType, processor: P
                 try:
                     with _opened(path) as f:
                         f.seek(int(start))
-                        rows = list(processor.process(f.read(int(end - start)), int(start)))
+                        rows = [r if isinstance(r, dict) else dict(zip(names, r, strict=True)) for r in processor.process(f.read(int(end - start)), int(start))]
                 except Exception as e:
                     raise RuntimeError(f"<slice {no} {start} {end}>{type(e).__name__}: {e}</slice>") from e
-                yield pd.DataFrame([r if isinstance(r, dict) else dict(zip(names, r, strict=True)) for r in rows], columns=names, dtype=object).assign(slice=int(no))[["slice", *names]]
+                yield pd.DataFrame(rows, columns=names, dtype=object).assign(slice=int(no))[["slice", *names]]
 
     slices = spark.createDataFrame([(n, a, z) for n, (a, z) in enumerate(cut)], "no int, start long, end long")
     rows = slices.repartitionByRange(max(1, len(cut)), "no").mapInPandas(work, kind) if cut else spark.createDataFrame([], kind)
