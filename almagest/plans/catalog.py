@@ -42,7 +42,8 @@ class SchemaNames:
 
 def shared_folder(spark: SparkSession) -> str:
     """Where executors and driver both read and write: the folder that the cluster names, else the warehouse."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    where = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    return "file:///" + where.removeprefix("file:").lstrip("/") if where.startswith("file:") else where
 
 
 class Files:

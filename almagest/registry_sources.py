@@ -5,12 +5,14 @@ Events and orders become messages (an order holds its lines, a pair of numbers a
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import datetime as dt
 import io
 import itertools
 import json
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -39,8 +41,11 @@ def made(spark: SparkSession, d: str, what: str, make) -> str:
     """A path that ``make`` has filled, once for each application and input."""
     key = (spark.sparkContext.applicationId, d, what)
     if key not in _MADE:
-        at = f"{shared_folder(spark).removeprefix('file://')}/registry-{uuid.uuid4().hex}/{what}"
+        root = f"{shared_folder(spark).removeprefix('file://')}/registry-{uuid.uuid4().hex}"
+        at = f"{root}/{what}"
         make(at)
+        if root.startswith("/"):
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         _MADE[key] = at
     return _MADE[key]
 
