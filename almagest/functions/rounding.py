@@ -1,4 +1,4 @@
-"""Is a difference explained by writing numbers as text? Python's decimal rounding differs from Spark's, so this is an Arrow UDF over whole columns."""
+"""Is a difference explained by writing numbers as text? Spark has no rounding to figures and no single precision inside doubles, so this is an Arrow UDF over whole columns."""
 
 from __future__ import annotations
 
@@ -20,31 +20,28 @@ EXPLANATIONS = {
 }
 
 
-def _as_decimals(values: np.ndarray, digits: np.ndarray) -> np.ndarray:
-    """A row for each number of decimals: the values as text with that many decimals and back (the exact decimal value decides, as in printing)."""
-    return np.array([[float(f"{x:.{n}f}") if np.isfinite(x) else x for x in values] for n in digits]).reshape(len(digits), len(values))
+def _met(original: np.ndarray, value: np.ndarray, scale: np.ndarray, floor: float) -> np.ndarray:
+    """Of each column: is the value, or the value as single precision holds it, a whole number of steps, and the nearest such number to the original?
 
-
-def _as_figures(values: np.ndarray, digits: np.ndarray) -> np.ndarray:
-    """A row for each number of significant figures."""
-    return np.array([[float(f"{x:.{n - 1}e}") if np.isfinite(x) else x for x in values] for n in digits]).reshape(len(digits), len(values))
-
-
-def _met(candidates: np.ndarray, values: np.ndarray, floor: float) -> np.ndarray:
-    """Of each column: is the value one of the candidates, or one of them in single precision?"""
-    within = ALIKE * np.maximum(np.abs(values), floor)
-    with np.errstate(over="ignore", invalid="ignore"):
-        single = candidates.astype(np.float32).astype(np.float64)
-        near = (np.abs(candidates - values) < within) | (np.isfinite(single) & (np.abs(single - values) < within))
-    return near.any(axis=0)
+    A step is 1 / scale; there is a row of scales for each number of digits. Where two multiples are equally near, either will do.
+    """
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        multiple = np.rint(value * scale) / scale
+        single = multiple.astype(np.float32).astype(np.float64)
+        within = ALIKE * np.maximum(np.abs(value), floor)
+        alike = (np.abs(multiple - value) < within) | (np.abs(single - value) < within)
+        return (alike & (np.abs(multiple - original) <= (0.5 + 1e-9) / scale)).any(axis=0)
 
 
 def rounded_to_places(original: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return _met(_as_decimals(original, DIGITS), value, PLACES_FLOOR)
+    return _met(original, value, np.repeat(10.0 ** DIGITS[:, None], len(value), axis=1), PLACES_FLOOR)
 
 
 def rounded_to_figures(original: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return (original != 0) & (value != 0) & np.isfinite(original) & _met(_as_figures(original, DIGITS), value, FIGURES_FLOOR)
+    real = (original != 0) & (value != 0) & np.isfinite(original)
+    top = np.floor(np.log10(np.abs(np.where(real, original, 1.0))))
+    with np.errstate(over="ignore"):
+        return real & _met(original, value, 10.0 ** (DIGITS[:, None] - 1 - top), FIGURES_FLOOR)
 
 
 def categories(original: np.ndarray, value: np.ndarray, error: np.ndarray) -> np.ndarray:
