@@ -87,7 +87,7 @@ class Trie:
 class Pieces:
     """A vocabulary: text pieces with scores, byte pieces, and the search."""
 
-    def __init__(self, pieces: list[str], scores: list[float], special: Iterable[int] = (0, 1, 2), remember: int = 300_000) -> None:
+    def __init__(self, pieces: list[str], scores: list[float], special: Iterable[int] = (0, 1, 2), remember: int = 150_000) -> None:
         special = set(special)
         self.of_byte = {int(m[1], 16): i for i, p in enumerate(pieces) if i not in special and (m := _BYTE.fullmatch(p))}
         bytes_ = set(self.of_byte.values())
