@@ -7,6 +7,7 @@ import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,16 @@ def compared(col: Column, comparator: str, value: object) -> Column:
         raise ValueError(f"unknown comparator {comparator!r}") from None
 
 
+def folding(op: Callable) -> Callable:
+    """``op`` (of a pandas Series of doubles, missing ones NaN) over a column of arrays, a batch of parents at a time."""
+
+    @F.pandas_udf("double")
+    def fold(xs: pd.Series) -> pd.Series:
+        return pd.Series([float(op(pd.Series(x, dtype="float64"))) for x in xs])
+
+    return fold
+
+
 def from_time(when: GpsTime | dt.datetime) -> Column:
     t = GpsTime.of(when)
     return (F.col(WEEK) > t.week) | ((F.col(WEEK) == t.week) & (F.col(MS) >= t.milliseconds))
@@ -183,7 +194,8 @@ class LogTable:
             return child.current.filter(compared(F.col(f"`{field}`"), comparator, value)).select(F.col(PARENT).alias("_id")).distinct()
         rows = child.current if use_current else child.base
         if callable(op):
-            fold = rows.select(PARENT, F.col(f"`{field}`").cast("double").alias("x")).groupBy(PARENT).applyInPandas(lambda key, pdf: pdf.head(1)[[PARENT]].assign(value=float(op(pdf["x"]))), f"{PARENT} long, value double")
+            number = F.coalesce(F.col(f"`{field}`").cast("double"), F.lit(float("nan")))
+            fold = rows.groupBy(PARENT).agg(F.collect_list(number).alias("x")).select(PARENT, folding(op)("x").alias("value"))
         else:
             fold = aggregated(rows, field, op, PARENT)
         return fold.filter(compared(F.col("value"), comparator, value)).select(F.col(PARENT).alias("_id"))
