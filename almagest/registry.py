@@ -475,7 +475,7 @@ def view_imu_header_time(spark, d):
 _TYPE = " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.POSITION_TYPES.items())
 
 
-@query(f"SELECT c_custkey, round((c_custkey % 360 - 180) * 20037508.34 / 180, 4) AS x, round(ln(tan((90 + (c_custkey % 170 - 85)) * pi() / 360)) / (pi() / 180) * 20037508.34 / 180, 4) AS y, coalesce(CASE c_nationkey {_TYPE} END, CAST(c_nationkey AS VARCHAR)) AS position_type_name FROM customer WHERE c_custkey % 170 - 85 <> 0 OR c_custkey % 360 - 180 <> 0")
+@query(f"SELECT c_custkey, round((c_custkey % 360 - 180) * 20037508.34 / 180, 4) AS x, round(ln(tan((90 + (c_custkey % 170 - 85)) * pi() / 360)) / (pi() / 180) * 20037508.34 / 180, 4) + 0.0 AS y, coalesce(CASE c_nationkey {_TYPE} END, CAST(c_nationkey AS VARCHAR)) AS position_type_name FROM customer WHERE c_custkey % 170 - 85 <> 0 OR c_custkey % 360 - 180 <> 0")
 def view_position(spark, d):
     c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 170 - 85).cast("double").alias("latitude"), (F.col("c_custkey") % 360 - 180).cast("double").alias("longitude"), F.col("c_custkey").alias("header_milliseconds"), F.col("c_nationkey").alias("position_type"))
     return views.position_track(c).select("c_custkey", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "position_type_name")
