@@ -545,3 +545,32 @@ def test_lines_that_share_order_number_and_flag_verify_in_any_order(spark, tmp_p
             assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, wanted)), name
     finally:
         registry.sides = real
+
+
+def test_rebuild_is_made_by_the_executors_range_by_range(spark, logfile, tmp_path, monkeypatch):
+    import json
+
+    from almagest.sources import rebuild as r
+    from almagest.sources.frames import Frames, _opened
+    from almagest.sources.writer import convert
+
+    rec = Recording.open(spark, convert(spark, logfile, str(tmp_path / "rec")))
+    on_driver, real = [], r.frame
+    monkeypatch.setattr(r, "MESSAGES", 5)
+    monkeypatch.setattr(r, "frame", lambda *a: (on_driver.append(1), real(*a))[1])
+    assert r.rebuild(rec, str(tmp_path / "b.log")) == 42 and on_driver == []
+    with _opened(str(tmp_path / "b.log")) as f:
+        payloads = [p for _, p in Frames(f, 0, f.size())]
+    assert payloads.pop(6) == b"not json" and [json.loads(p) for p in payloads] == [{"name": n, "header": h, "body": b} for n, h, b in MESSAGES]
+    few = Recording(rec.index, rec.tables, rec.unknown.limit(0), rec.whole_index)
+    with pytest.raises(RebuildError, match="message 6 "):
+        r.rebuild(few, str(tmp_path / "c.log"))
+    assert not (tmp_path / "c.log").exists()
+
+
+def test_small_slices_share_tasks_and_no_message_is_shuffled_to_be_numbered(spark, logfile):
+    from almagest.sources.writer import read_messages
+
+    rows = read_messages(spark, logfile, 10)
+    assert rows.rdd.getNumPartitions() <= 64 and "Exchange" not in rows._jdf.queryExecution().toString()
+    assert [r.sequence_id for r in rows.collect()] == list(range(42))
