@@ -574,3 +574,15 @@ def test_small_slices_share_tasks_and_no_message_is_shuffled_to_be_numbered(spar
     rows = read_messages(spark, logfile, 10)
     assert rows.rdd.getNumPartitions() <= 64 and "Exchange" not in rows._jdf.queryExecution().toString()
     assert [r.sequence_id for r in rows.collect()] == list(range(42))
+
+
+def test_logs_that_agree_are_verified_without_a_pass_for_each_question(spark, logfile, tmp_path, monkeypatch):
+    from almagest import report
+    from almagest.sources.writer import convert
+
+    def none(_):
+        raise AssertionError
+
+    monkeypatch.setattr(report, "categorised", none)
+    found = report.verify(spark, convert(spark, logfile, str(tmp_path / "rec")), logfile)
+    assert [(o.overall.messages, o.overall.verified_types, o.worst, o.categories) for o in (found["field"], found["binary"])] == [(41, 2, [], [])] * 2
