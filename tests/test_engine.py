@@ -586,3 +586,16 @@ def test_logs_that_agree_are_verified_without_a_pass_for_each_question(spark, lo
     monkeypatch.setattr(report, "categorised", none)
     found = report.verify(spark, convert(spark, logfile, str(tmp_path / "rec")), logfile)
     assert [(o.overall.messages, o.overall.verified_types, o.worst, o.categories) for o in (found["field"], found["binary"])] == [(41, 2, [], [])] * 2
+
+
+def test_a_stream_reads_the_last_batch_end_only(spark, tmp_path):
+    """The ends of all batches before were read for each batch."""
+    import json
+
+    from almagest.streaming.sink import RecordingStream
+
+    (tmp_path / "s" / "_ends").mkdir(parents=True)
+    (tmp_path / "s" / "_ends" / "9").write_text("never read")
+    (tmp_path / "s" / "_ends" / "10").write_text("42")
+    RecordingStream(spark, str(tmp_path / "s")).finish()
+    assert json.loads((tmp_path / "s" / "_metadata.json").read_text())["total_message_count"] == 42
